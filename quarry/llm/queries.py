@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import decontaminate, dedup
+from quarry.llm import decontaminate, dedup, packing, pfor, tokens
+from quarry.llm.frames import shared_dir
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +21,17 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(F.col(f"{v}.{c}") for c in ("n_words", "n_hit", "n_items")), decontaminate.digest(f"{v}.items").alias("items_sha256"), f"{v}.contaminated")
 
 
+def op5_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark).rstrip('/')}/ids-{uuid.uuid4().hex}"
+    manifest = pfor.write(_read(spark, sf_dir, "documents"), tokens.vocabulary("word_bpe_49k.json"), folder if "://" in folder else f"file://{folder}")
+    return pfor.read(manifest)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(_read(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"))
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.identities(_read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -31,7 +44,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op8_exact_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op5_binary_output, op7_packing, op8_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
