@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import decontaminate, dedup, packing, pfor, tokens
+from quarry.llm import counts, decontaminate, dedup, packing, pfor, tokens
 from quarry.llm.frames import shared_dir
 
 
@@ -27,6 +27,11 @@ def op5_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.read(manifest)
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = counts.annotate(_read(spark, sf_dir, "documents").select("doc_id", "text"), tokens.vocabulary("byte_bpe_50k.json"))
+    return out.select("doc_id", "tokens.n_bytes", "tokens.n_tokens", "tokens.over_limit", "tokens.fit_chars")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(_read(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"))
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -44,7 +49,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op5_binary_output, op7_packing, op8_exact_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op5_binary_output, op6_token_counts, op7_packing, op8_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
