@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +28,15 @@ from quarry.llm.frames import fresh
 LIMIT = 512
 #: Pairs and words that a worker remembers; beyond it starts anew.
 KEPT_PAIRS = 1_000_000
+KEPT_MARKS = 100_000
 
 #: Characters that the pattern of byte-level tokenizers takes as white space, and its contractions.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CONTRACTIONS = ("'re", "'ve", "'ll")
 
 _PARTS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+#: White space, letters, marks: three pre-tokens at most, whatever stands around.
+_EASY = re.compile(r"([ \n]?)(\w+)([!-&(-/:-@\[-`{-~]*)")
 _LEADING = re.compile(f"[{SPACE}]*")
 
 
@@ -43,36 +48,59 @@ class PrefixCounter:
 
         self.tokenizer = tokens.tokenizer(path)
         self.model = self.tokenizer.model
-        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        mapped = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters: dict[int, str] = {}  # of bytes, in the vocabulary's strings
+        for c in map(chr, [*range(0x800), *range(0x800, 0xD800, 0x400), *range(0xE000, 0x110000, 0x1000)]):
+            self.letters.update(zip(c.encode(), mapped.pre_tokenize_str(c)[0][0], strict=True))
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.vocab = {t for t in self.tokenizer.get_vocab() if t not in special}
         self.longest = max(map(len, self.vocab))
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.marks: dict[str, list[int]] = {}
+        self.before: tuple[str, list[str], list[int]] = ("", [""], [0])
 
     def _valid(self, before: str, token: str) -> bool:
-        key = (before, token)
-        if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) > KEPT_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = [t.value for t in self.model.tokenize(before + token)] == ([before, token] if before else [token])
+        if len(self.pairs) > KEPT_PAIRS:
+            self.pairs.clear()
+        known = self.pairs[before, token] = [t.value for t in self.model.tokenize(before + token)] == ([before, token] if before else [token])
         return known
 
     def word(self, text: str) -> list[int]:
-        """One pre-token, all prefixes of which are pre-tokens too: the counts of its prefixes."""
-        mapped = text if text.isascii() and text.isalpha() else "".join(x for x, _ in self.bytes.pre_tokenize_str(text))
-        last, count = [""], [0]
-        for i in range(1, len(mapped) + 1):
-            for start in range(max(0, i - self.longest), i):
+        """One pre-token, all prefixes of which are pre-tokens too: the counts of its prefixes.
+
+        What it has in common with the last word isn't computed again.
+        """
+        mapped = text.encode().decode("latin-1").translate(self.letters)
+        old, last, count = self.before
+        n, same = min(len(old), len(mapped)), 0
+        while same < n and old[same] == mapped[same]:
+            same += 1
+        del last[same + 1 :], count[same + 1 :]
+        vocab, pairs, longest = self.vocab, self.pairs, self.longest
+        for i in range(same + 1, len(mapped) + 1):
+            for start in range(i - longest if i > longest else 0, i):
                 token = mapped[start:i]
-                if token in self.vocab and self._valid(last[start], token):
-                    last.append(token)
-                    count.append(count[start] + 1)
-                    break
+                if token in vocab:
+                    known = pairs.get((last[start], token))
+                    if known or known is None and self._valid(last[start], token):
+                        last.append(token)
+                        count.append(count[start] + 1)
+                        break
+        self.before = (mapped, last, count)
         if len(mapped) == len(text):
             return count[1:]
-        ends = np.cumsum([len(c.encode()) for c in text])
-        return [count[i] for i in ends]
+        return [count[i] for i in accumulate(len(c.encode()) for c in text)]
+
+    def mark(self, text: str) -> list[int]:
+        """word() for what isn't letters, much of which comes again and again."""
+        if (out := self.marks.get(text)) is None:
+            if len(self.marks) > KEPT_MARKS:
+                self.marks.clear()
+            held, self.before = self.before, ("", [""], [0])
+            out = self.marks[text] = self.word(text)
+            self.before = held
+        return out
 
     def __call__(self, chunk: str) -> list[int]:
         """A text, or a part of one that begins where the pattern cuts in any case."""
@@ -101,13 +129,18 @@ class PrefixCounter:
     def _plain(self, text: str, out: list[int]) -> None:
         for m in _PARTS.finditer(text):
             base, part = (out[-1] if out else 0), m[0]
-            body = part[1:] if part[0] == " " else part
-            if body.isalpha():
-                out += [base + x for x in self.word(part)]
-                continue
+            if easy := _EASY.fullmatch(part):
+                lead, body, tail = easy.groups()
+                if body.isalpha():
+                    counts = [1, *(x + 1 for x in self.word(body))] if lead == "\n" else self.word(lead + body)
+                    if tail:
+                        done = counts[-1]
+                        counts += [done + x for x in self.mark(tail)]
+                    out += [base + x for x in counts] if base else counts
+                    continue
             lead = _LEADING.match(part).end()
             if lead:
-                out += [base + x for x in self.word(part[:lead])]
+                out += [base + x for x in self.mark(part[:lead])]
             done = 0
             for word, (start, end) in self.tokenizer.pre_tokenizer.pre_tokenize_str(part):
                 source = part[start:end]
@@ -116,6 +149,20 @@ class PrefixCounter:
                 done += counts[-1]
 
 
+@lru_cache(maxsize=1)
+def counter(path: str) -> tokens.Chunks:
+    """This worker's counts of chunks; what it has learned serves later tasks too."""
+    own = PrefixCounter(path)
+
+    def make(chunks: list[str]) -> list[list[int]]:
+        out: list[list[int]] = [[]] * len(chunks)
+        for i in sorted(range(len(chunks)), key=chunks.__getitem__):  # neighbours have the most in common
+            out[i] = own(chunks[i])
+        return out
+
+    return tokens.Chunks(tokens.before_spaces, make)
+
+
 VERDICT = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("fit_chars", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
 
@@ -124,9 +171,7 @@ def _pass(docs: DataFrame, path: str, name: str, kind: T.DataType, make) -> Data
     cols = [f"c{i}" if c != "text" else c for i, c in enumerate(docs.columns)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = tokens.Chunks(tokens.before_spaces, list)
-        counter = PrefixCounter(path)
-        chunks.make = lambda held: [counter(x) for x in held]
+        chunks = counter(path)
         for batch in W.sliced(batches, "text"):
             counts, by_text, by_chunk = chunks.of(batch.column("text"))
             size = np.diff(by_chunk)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import counts, decontaminate, dedup, packing, pfor, tokens
+from quarry.llm import counts, decontaminate, dedup, licenses, packing, pfor, tokens
 from quarry.llm.frames import shared_dir
 
 
@@ -48,8 +48,12 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 """
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents")).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op5_binary_output, op6_token_counts, op7_packing, op8_exact_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op5_binary_output, op6_token_counts, op7_packing, op8_exact_dedup, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
