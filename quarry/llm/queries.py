@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import counts, decontaminate, dedup, licenses, packing, pfor, tokens
+from quarry.llm import counts, decontaminate, dedup, licenses, packing, pfor, tokens, toxicity
 from quarry.llm.frames import shared_dir
 
 
@@ -48,12 +48,19 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 """
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.annotate(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
+    score = F.col("toxicity.score")
+    return out.select("doc_id", F.coalesce(toxicity.fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents")).drop("spans")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op5_binary_output, op6_token_counts, op7_packing, op8_exact_dedup, op10_license_scan)}
+    return {f.__name__: f for f in (op1_decontaminate, op5_binary_output, op6_token_counts, op7_packing, op8_exact_dedup, op9_toxicity, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
