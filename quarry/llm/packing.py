@@ -97,7 +97,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, w
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = tokens.Encoder(path, tokens.before_spaces), Packer(capacity)
+        encoder, packer = tokens.encoder(path, tokens.before_spaces), Packer(capacity)
         base = TaskContext.get().partitionId() << 33
         held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         for batch in W.sliced(batches, "text"):

@@ -8,14 +8,17 @@ distinct chunk of a slice is encoded once and kept. Chunks are told apart by
 from __future__ import annotations
 
 import os
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 from quarry.llm import words as W
 
 #: Chunks whose ids (or prefix counts) a worker keeps; beyond it starts anew.
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 1_000_000
 
 
 def tokenizer(path: str):
@@ -61,7 +64,10 @@ def before_spaces(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
     second = data[np.maximum(at - 2, 0)]
     third = data[np.maximum(at - 3, 0)]
     wide = (before >= 0x80) & (second != 0xC2) & ~np.isin(third, [0xE1, 0xE2, 0xE3])
-    starts = np.union1d(at[ascii_ | wide], bounds[:-1][np.diff(bounds) > 0])
+    first = np.zeros(len(data), dtype=bool)
+    first[at[ascii_ | wide]] = True
+    first[bounds[:-1][np.diff(bounds) > 0]] = True
+    starts = np.flatnonzero(first)
     return starts, np.append(starts[1:], len(data))
 
 
@@ -81,19 +87,22 @@ class Chunks:
     def slots(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The place of each chunk in start and size, after making those that are new."""
         hashes = W.hash_ranges(data, starts, ends, fold=False)
-        distinct, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        inverse, distinct = pd.factorize(hashes)
+        index = np.empty(len(distinct), np.int64)
+        index[inverse[::-1]] = np.arange(len(hashes) - 1, -1, -1)
         if len(self.keys) > KEPT_CHUNKS:
             self.clear()
         new = ~W.has(self.keys, distinct)
         if new.any():
-            held = [data[starts[i] : ends[i]].tobytes().decode() for i in index[new]]
-            made = self.make(held)
+            index, keys = index[new], distinct[new]
+            raw = data.tobytes()
+            made = self.make([raw[a:b].decode() for a, b in zip(starts[index].tolist(), ends[index].tolist(), strict=True)])
             size = np.fromiter(map(len, made), np.int64, len(made))
             start = len(self.pool) + np.cumsum(size) - size
-            self.pool = np.concatenate([self.pool, *(np.asarray(x, np.uint32) for x in made)])
-            keys = np.concatenate([self.keys, distinct[new]])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.start, self.size = keys[order], np.concatenate([self.start, start])[order], np.concatenate([self.size, size])[order]
+            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(made), np.uint32, int(size.sum()))])
+            order = np.argsort(keys)
+            at = np.searchsorted(self.keys, keys[order])
+            self.keys, self.start, self.size = np.insert(self.keys, at, keys[order]), np.insert(self.start, at, start[order]), np.insert(self.size, at, size[order])
         return np.searchsorted(self.keys, distinct)[inverse]
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,6 +115,12 @@ class Chunks:
         return self.pool[place], np.searchsorted(starts, bounds), np.concatenate([[0], np.cumsum(size)])
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str, cut) -> Encoder:
+    """This worker's encoder; what it has learned serves later tasks too."""
+    return Encoder(path, cut)
+
+
 class Encoder:
     """Ids of texts, as the tokenizer's own encode gives them without added special tokens."""
 
