@@ -130,7 +130,7 @@ def write(docs: DataFrame, path: str, folder: str, end: int = END, partitions: i
                 store.create_dir(base, recursive=True)
                 name = f"part-{batch.column('part')[0].as_py():06d}-{uuid.uuid4().hex}.pfor"
                 out = store.open_output_stream(f"{base}/{name}")
-                writer, encoder = Writer(out), tokens.Encoder(path, tokens.runs)
+                writer, encoder = Writer(out), tokens.encoder(path, tokens.runs)
                 part = batch.column("part")[0].as_py()
             ids, bounds = encoder.encode(batch.column("text"), end)
             rows = np.zeros(batch.num_rows, _DOCS)
