@@ -33,6 +33,11 @@ BUCKETS = np.array([1.0, 2.0, 3.0, 4.0, 5.0, 6.0])
 TOXIC_FROM = 2.0
 #: A chain starts anew after so many words.
 CHAIN = 8192
+#: For fitting, chains are shorter, and there are at most so many words in them.
+FIT_CHAIN = 256
+FIT_WORDS = 1_500_000
+#: Standard errors by which a word's log-odds are lowered.
+DOUBT = 1.5
 GROUP_BYTES = 32 << 20
 
 VERDICT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))])
@@ -44,12 +49,12 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def chains(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and lengths of chains of at most CHAIN words, and the text of each."""
+def chains(bounds: np.ndarray, limit: int = CHAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and lengths of chains of at most limit words, and the text of each."""
     size = np.diff(bounds)
-    number, owner = W.positions(np.zeros(len(size), np.int64), -(-size // CHAIN))
-    start = bounds[owner] + number * CHAIN
-    return start, np.minimum(bounds[owner + 1] - start, CHAIN), owner
+    number, owner = W.positions(np.zeros(len(size), np.int64), -(-size // limit))
+    start = bounds[owner] + number * limit
+    return start, np.minimum(bounds[owner + 1] - start, limit), owner
 
 
 def marginals(toxic: np.ndarray, steps: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -125,7 +130,7 @@ def features(p: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(size)), most, np.log1p(np.maximum(total[bounds[1:]] - total[bounds[:-1]], 0))], axis=1)
 
 
-def train(texts: pa.Array, labels: np.ndarray, rounds: int = 80) -> Model:
+def train(texts: pa.Array, labels: np.ndarray, rounds: int = 60) -> Model:
     """Fits words, chain and calibration to labelled texts. Without texts of both labels every score is the share of label 1."""
     words = W.scan(texts, W.ALNUM)
     size = np.diff(words.bounds)
@@ -136,8 +141,8 @@ def train(texts: pa.Array, labels: np.ndarray, rounds: int = 80) -> Model:
     n1 = np.add.reduceat(toxic, first) if len(keys) else np.zeros(0)
     n0 = np.add.reduceat(1 - toxic, first) if len(keys) else np.zeros(0)
     total1, total0 = int(labels.sum()), int((1 - labels).sum())
-    odds = np.log((n1 + 0.5) / (total1 + 1)) - np.log((n0 + 0.5) / (total0 + 1))
-    odds[n1 < 3] = 0
+    low = lambda a, b: np.log((a + 0.5) / (total1 + 1)) - np.log((b + 0.5) / (total0 + 1)) - DOUBT * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+    odds = low(n1, n0)
     bucket = np.searchsorted(BUCKETS, odds, side="right").astype(np.int8)
     known = np.flatnonzero(bucket)
     known = np.sort(known[np.argsort(-odds[known], kind="stable")[:KNOWN_WORDS]])
@@ -146,25 +151,31 @@ def train(texts: pa.Array, labels: np.ndarray, rounds: int = 80) -> Model:
         model.calibration[0] = np.log((total1 + 0.5) / (total0 + 0.5))
         return model
 
-    buckets = model.buckets(words.hashes)
-    gold = (labels[owner] == 1) & (buckets >= np.searchsorted(BUCKETS, TOXIC_FROM, side="right"))
-    start, length, _ = chains(words.bounds)
-    inner = np.ones(len(buckets), dtype=bool)
-    inner[start] = False
+    # In fitting, a document doesn't count among those that its own words are judged by.
+    word, label = np.searchsorted(keys, words.hashes), labels[owner]
+    buckets = np.searchsorted(BUCKETS, low(np.maximum(n1[word] - label, 0), np.maximum(n0[word] - (1 - label), 0)), side="right").astype(np.int8)
+    gold = (label == 1) & (buckets >= np.searchsorted(BUCKETS, TOXIC_FROM, side="right"))
+    start, length, _ = chains(words.bounds, FIT_CHAIN)
+    used = np.cumsum(length) <= FIT_WORDS
+    start, length = start[used], length[used]
+    fitted, first = np.zeros(len(buckets), dtype=bool), np.zeros(len(buckets), dtype=bool)
+    fitted[W.positions(start, length)[0]] = True
+    first[start] = True
     seen = np.zeros((2, 2))
-    at = np.flatnonzero(inner)
+    at = np.flatnonzero(fitted & ~first)
     np.add.at(seen, (gold[at - 1].astype(int), gold[at].astype(int)), 1)
-    held = np.bincount(buckets[gold], minlength=len(BUCKETS) + 1)
+    held = np.bincount(buckets[gold & fitted], minlength=len(BUCKETS) + 1)
     params, m, v = np.zeros(len(BUCKETS) + 5), 0.0, 0.0
     for k in range(1, rounds + 1):
         p, moves, _ = marginals(params[:-4][buckets], params[-4:].reshape(2, 2), start, length)
         want = np.bincount(buckets, weights=p, minlength=len(BUCKETS) + 1)
-        n = np.maximum(np.concatenate([np.bincount(buckets, minlength=len(BUCKETS) + 1), seen.ravel() + moves.ravel()]), 1)
+        n = np.maximum(np.concatenate([np.bincount(buckets[fitted], minlength=len(BUCKETS) + 1), seen.ravel() + moves.ravel()]), 1)
         slope = np.concatenate([held - want, (seen - moves).ravel()]) / n - 1e-3 * params
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         params = params + 0.3 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
     model.weights, model.steps = params[:-4], params[-4:].reshape(2, 2)
 
+    start, length, _ = chains(words.bounds)
     p, _, _ = marginals(model.weights[buckets], model.steps, start, length)
     x = features(p, words.bounds)
     for _ in range(50):  # Newton's method with a small ridge
@@ -186,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids[0].union(ids[1])), "doc_id")
     rows = rows.withColumn("size", F.octet_length("text")).where(F.col("size") <= sample_bytes // 8).dropDuplicates(["doc_id"])
     rows = rows.withColumn("n", F.row_number().over(key)).withColumn("bytes", F.sum("size").over(key))
-    found = rows.where((F.col("n") <= sample_rows) & (F.col("bytes") <= sample_bytes)).select("text", "label").collect()
+    found = rows.where((F.col("n") <= sample_rows) & (F.col("bytes") <= sample_bytes)).orderBy("draw", "doc_id").select("text", "label").collect()  # labels mixed, as FIT_WORDS cuts them
     return train(pa.array([r[0] for r in found], type=pa.string()), np.array([r[1] for r in found], np.int64))
 
 
