@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import counts, decontaminate, dedup, licenses, packing, pfor, tokens, toxicity
+from quarry.llm import counts, decontaminate, dedup, licenses, packing, pfor, pii, tokens, toxicity
 from quarry.llm.frames import shared_dir
 
 
@@ -21,6 +21,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(F.col(f"{v}.{c}") for c in ("n_words", "n_hit", "n_items")), decontaminate.digest(f"{v}.items").alias("items_sha256"), f"{v}.contaminated")
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", *(pii.number_of(k).alias(f"n_{k}") for k in pii.BASE), F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+
+
 def op5_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark).rstrip('/')}/ids-{uuid.uuid4().hex}"
     manifest = pfor.write(_read(spark, sf_dir, "documents"), tokens.vocabulary("word_bpe_49k.json"), folder if "://" in folder else f"file://{folder}")
@@ -60,7 +65,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op5_binary_output, op6_token_counts, op7_packing, op8_exact_dedup, op9_toxicity, op10_license_scan)}
+    return {f.__name__: f for f in (op1_decontaminate, op4_personal_data, op5_binary_output, op6_token_counts, op7_packing, op8_exact_dedup, op9_toxicity, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
