@@ -39,8 +39,17 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def fold(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z lower-cased."""
+    return _FOLD[data]
+
+
+def byte_values(data: np.ndarray) -> np.ndarray:
+    return _BYTE[data]
+
+
 @lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     def of(base: np.uint64) -> np.ndarray:
         out = np.full(n, base, dtype=np.uint64)
         out[0] = 1
@@ -89,7 +98,7 @@ def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
     while at < len(starts):
         end = max(int(np.searchsorted(ends, starts[at] + HASH_BLOCK, side="right")), at + 1)
         low, high = int(starts[at]), int(ends[end - 1])
-        up, down = _powers(max(HASH_BLOCK, 1 << int(high - low).bit_length()))
+        up, down = powers(max(HASH_BLOCK, 1 << int(high - low).bit_length()))
         part = data[low:high]
         sums = np.zeros(len(part) + 1, dtype=np.uint64)
         np.cumsum(_BYTE[_FOLD[part] if fold else part] * up[: len(part)], out=sums[1:])
