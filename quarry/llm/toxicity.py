@@ -24,8 +24,8 @@ from quarry.llm import words as W
 from quarry.llm.frames import fresh
 
 #: Labelled training rows that the model is fitted on: at most so many of each label, and so many bytes of each.
-SAMPLE_ROWS = 4000
-SAMPLE_BYTES = 24 << 20
+SAMPLE_ROWS = 2000
+SAMPLE_BYTES = 6 << 20
 #: Words that the model knows at most; those of the greatest log-odds.
 KNOWN_WORDS = 50_000
 #: Lower bounds of the log-odds buckets above 0, which is for all other words.
@@ -35,7 +35,7 @@ TOXIC_FROM = 2.0
 CHAIN = 8192
 #: For fitting, chains are shorter, and there are at most so many words in them.
 FIT_CHAIN = 256
-FIT_WORDS = 1_500_000
+FIT_WORDS = 1_000_000
 #: Standard errors by which a word's log-odds are lowered.
 DOUBT = 1.5
 GROUP_BYTES = 32 << 20
@@ -135,9 +135,12 @@ def train(texts: pa.Array, labels: np.ndarray, rounds: int = 60) -> Model:
     words = W.scan(texts, W.ALNUM)
     size = np.diff(words.bounds)
     owner = np.repeat(np.arange(len(size)), size)
-    pairs = np.unique(np.stack([words.hashes, owner.astype(np.uint64)], axis=1), axis=0) if len(owner) else np.zeros((0, 2), np.uint64)
-    toxic = labels[pairs[:, 1].astype(np.int64)]
-    keys, first = np.unique(pairs[:, 0], return_index=True)
+    order = np.lexsort((owner, words.hashes))
+    held, holder = words.hashes[order], owner[order]
+    new = np.ones(len(order), dtype=bool)  # each word once in a document
+    new[1:] = (held[1:] != held[:-1]) | (holder[1:] != holder[:-1])
+    toxic = labels[holder[new]]
+    keys, first = np.unique(held[new], return_index=True)
     n1 = np.add.reduceat(toxic, first) if len(keys) else np.zeros(0)
     n0 = np.add.reduceat(1 - toxic, first) if len(keys) else np.zeros(0)
     total1, total0 = int(labels.sum()), int((1 - labels).sum())
