@@ -122,6 +122,10 @@ def distance(a: np.ndarray, b: np.ndarray) -> float:
     return 1 - common / (len(a) + len(b) - common)
 
 
+def _pairs(members: list[int], others: list[int] | None) -> int:
+    return len(members) * len(members) // 2 if others is None else len(members) * len(others)
+
+
 class Region:
     """Connects the members of a region; sets are sorted arrays."""
 
@@ -160,7 +164,7 @@ class Region:
             window = 0.4 + 1e-9
             cells = [lambda i: to_p[i] - to_q[i] <= window, lambda i: to_q[i] - to_p[i] <= window]
             parts = [([i for i in members if c(i)], None if others is None else [i for i in others if c(i)]) for c in cells]
-            if all(len(m) + len(o or ()) < len(both) for m, o in parts):
+            if sum(_pairs(m, o) for m, o in parts) <= 0.7 * _pairs(members, others):  # else the windows hold nearly all
                 for m, o in parts:
                     self.join(m, o)
                 return
