@@ -2,11 +2,14 @@
 
 Far documents all have distance 1 from each other, so document pivots alone
 can't part them. Pivots are found in two steps. Shingles in a global order
-(frequent ones last) act as pivots of one element: two sets that link share one
-of the first n - ceil(0.8 n) + 1 shingles of either, which is the window in
-which a set goes to several regions. The smallest document of such a shingle's
-holders is the region's pivot document; all holders go to its region, so each
-pair that may link meets in a region.
+(frequent ones last) act as pivots of one element: two sets that link share s of
+the first n - ceil(0.8 n) + s shingles of either, which is the window in which
+a set goes to several regions; s is 1 + n div 16 of the smaller set, which has
+0.8 of the larger one's shingles at least. So a set links with nothing if others
+have fewer than 1 + (0.8 n) div 16 of its window in theirs. The remaining sets
+leave out the most frequent 2 (n div 16) div 5 of those that others have; both
+of a pair leave out fewer than they share, so a shared one is left. The smallest holder of a shingle names a region to which all
+holders go, so each pair that may link meets in a region.
 
 A region is joined recursively and exactly: of two pivots each member goes to
 the nearer one's cell, and also to the other's if its distances differ by 0.4
@@ -39,7 +42,9 @@ GROUP_ROWS, FREQUENT = 2048, 6
 #: Frequent shingles that are ordered last; an order only saves work.
 KEPT_FREQUENT = 200_000
 #: Ids that are sent to all tasks at most; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 500_000
+#: Windows are longer by this part of a set.
+SPARE = 16
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +99,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def prefixes(hashes: np.ndarray, bounds: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of each set's window, and the set of each."""
     size = np.diff(bounds)
-    need = np.where(size > 0, size - (4 * size + 4) // 5 + 1, 0)
+    need = np.where(size > 0, size - (4 * size + 4) // 5 + 1 + size // SPARE, 0)
     owner = np.repeat(np.arange(len(size)), size)
     late = W.has(frequent, hashes)
     order = np.lexsort((late, owner))
@@ -239,7 +244,7 @@ def classes(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     frequent = spark.sparkContext.broadcast(np.sort(np.array([r.s1 for r in top.collect()], np.int64).view(np.uint64)))  # KEPT_FREQUENT at most
     rows = seen.where("rid IS NOT NULL")
     same = ["n", "s1", "s2"]
-    sets = stored(rows.where("n > 0").groupBy(*same).agg(F.min("rid").alias("first"), F.min("doc_id").alias("least")))
+    sets = stored(rows.where("n > 0").groupBy(*same).agg(F.min("rid").alias("first"), F.min("doc_id").alias("smallest")))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.sliced(batches, "text"):
@@ -249,13 +254,17 @@ def classes(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     # Of equal sets only the first has a region; every set's window is made, as its class isn't known where its text is.
     held = stored(docs.select("rid", "text").mapInArrow(windows, "h long, rid long").join(sets.select(F.col("first").alias("rid")), "rid", "left_semi"))
-    pivots = stored(held.groupBy("h").agg(F.min("rid").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("h", "pivot"))
-    members = stored(held.join(pivots, "h").select("pivot", "rid").distinct())
-    sizes = members.groupBy("pivot").agg(F.count("*").alias("n")).select("pivot", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
-    dealt = members.join(sizes, "pivot").withColumn("chunk", F.explode(F.when(F.col("rid") == F.col("pivot"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int")))))
-    dealt = cut(dealt.select("pivot", "chunk", "chunks", "rid", F.lit(0).alias("extra")))
+    pivots = stored(held.groupBy("h").agg(F.min("rid").alias("region"), F.count("*").alias("df")).where("df > 1"))
+    shared = held.join(pivots, "h").join(sets.select(F.col("first").alias("rid"), F.expr(f"n div {SPARE}").alias("spare"), F.expr(f"(4 * n div 5) div {SPARE}").alias("least")), "rid")
+    own = Window.partitionBy("rid")
+    shared = shared.withColumn("shared", F.count("*").over(own)).where("shared > least")
+    shared = shared.withColumn("rank", F.row_number().over(own.orderBy(F.desc("df"), "h"))).where("rank > (2 * spare) div 5")
+    members = stored(shared.select("region", "rid").distinct())
+    sizes = members.groupBy("region").agg(F.count("*").alias("n"), F.min("rid").alias("pivot")).where("n > 1").select("region", "pivot", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
+    dealt = members.join(sizes, "region").withColumn("chunk", F.explode(F.when(F.col("rid") == F.col("pivot"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int")))))
+    dealt = cut(dealt.select("region", "pivot", "chunk", "chunks", "rid", F.lit(0).alias("extra")))
     texts = docs.select("rid", "text")
-    edges = _regions(texts, dealt.drop("chunks"), None, ["pivot", "chunk"])
+    edges = _regions(texts, dealt.select("region", "chunk", "rid", "extra"), None, ["region", "chunk"])
     labels = components(edges)
 
     # In regions of several chunks, what isn't connected to the pivot meets all chunks.
@@ -264,20 +273,20 @@ def classes(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
         own = labels.select(F.col("id").alias("rid"), "label")
         lead = labels.select(F.col("id").alias("pivot"), F.col("label").alias("lead"))
         apart = large.where("rid <> pivot").join(own, "rid", "left").join(lead, "pivot", "left").where("NOT coalesce(label, rid) <=> coalesce(lead, pivot)")
-        apart = cut(apart.select("pivot", "chunks", "rid"))
+        apart = cut(apart.select("region", "chunks", "rid").distinct())
         if apart.limit(1).count():
-            number = F.sum("here").over(Window.partitionBy("pivot").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
-            parts = apart.groupBy("pivot", F.pmod(F.xxhash64("rid"), F.lit(4096)).alias("part")).agg(F.count("*").alias("here")).withColumn("batch", F.floor(number / chunk).cast("int")).drop("here")
-            rest = apart.withColumn("part", F.pmod(F.xxhash64("rid"), F.lit(4096))).join(parts, ["pivot", "part"]).select("pivot", "chunks", "rid", "batch")
-            batches = rest.select("pivot", "batch").distinct()
-            there = large.join(batches, "pivot").select("pivot", "chunk", "batch", "rid", "extra")
-            here = rest.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("pivot", "chunk", "batch", "rid", F.lit(1).alias("extra"))
-            more = _regions(texts, there.union(here), labels, ["pivot", "chunk", "batch"])
+            number = F.sum("here").over(Window.partitionBy("region").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+            parts = apart.groupBy("region", F.pmod(F.xxhash64("rid"), F.lit(4096)).alias("part")).agg(F.count("*").alias("here")).withColumn("batch", F.floor(number / chunk).cast("int")).drop("here")
+            rest = apart.withColumn("part", F.pmod(F.xxhash64("rid"), F.lit(4096))).join(parts, ["region", "part"]).select("region", "chunks", "rid", "batch")
+            batches = rest.select("region", "batch").distinct()
+            there = large.join(batches, "region").select("region", "chunk", "batch", "rid", "extra")
+            here = rest.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("region", "chunk", "batch", "rid", F.lit(1).alias("extra"))
+            more = _regions(texts, there.union(here), labels, ["region", "chunk", "batch"])
             labels = components(edges.union(more))
 
     labelled = sets.join(labels.withColumnRenamed("id", "first"), "first", "left").withColumn("label", F.coalesce("label", "first"))
-    least = cut(labelled.groupBy("label").agg(F.min("least").alias("component_id")))
-    found = cut(labelled.join(least, "label").select(*same, "label", "component_id"))
+    smallest = cut(labelled.groupBy("label").agg(F.min("smallest").alias("component_id")))
+    found = cut(labelled.join(smallest, "label").select(*same, "label", "component_id"))
     return rows.join(found, same, "left").select(
         "rid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("label", F.lit(-1) - F.col("rid")).alias("label")
     )

@@ -61,6 +61,19 @@ def test_same_as_brute_force(spark, tmp_path, seed, chunk):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute_force(texts)
 
 
+def test_pairs_at_the_limit(spark, tmp_path):
+    """A set and 0.8 of it, in all sizes, beside others that share a part."""
+    rng, texts = random.Random(4), []
+    for n in range(6, 130, 3):
+        words = [f"{n}x{i}" for i in range(n)]
+        k = -(-4 * (n - 4) // 5) + 4  # words of 0.8 of the shingles
+        texts += [(10 * n, " ".join(words)), (10 * n + 1, " ".join(words[:k])), (10 * n + 2, " ".join(words[n - k + 1 :])), (10 * n + 3, " ".join(words[: n // 2] + [f"{n}y{i}" for i in range(n)]))]
+    rng.shuffle(texts)
+    documents(spark, texts).repartition(3).write.parquet(str(tmp_path / "d"))
+    out = jaccard.classes(spark.read.parquet(str(tmp_path / "d"))).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute_force(texts)
+
+
 def test_recursion_is_exact():
     rng = np.random.default_rng(5)
     for _ in range(20):
