@@ -99,3 +99,26 @@ def status_fold(events: DataFrame) -> DataFrame:
     status, progress = stage_of("event_type")
     rows = events.select(F.col("user_id").alias("document_id"), "ts", "event_id", status.alias("status"), progress.alias("progress"))
     return rows.groupBy("document_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"), F.max("progress").cast("long").alias("progress"), F.count("*").alias("n_events"), F.count_if(F.col("status") == "failed").alias("n_failed"))
+
+
+def better_text(first: Column | str, second: Column | str) -> Column:
+    """The second text only if it is more than half as long again as the first."""
+    a, b = F.coalesce(T.col(first), F.lit("")), F.coalesce(T.col(second), F.lit(""))
+    return F.when(F.length(b) > 1.5 * F.length(a), b).otherwise(a)
+
+
+def progress_of(status: Column | str, progress: Column | str) -> Column:
+    """Progress for rows that have none yet, by their status."""
+    s, p = T.col(status), T.col(progress)
+    return F.when(s == "completed", 100).when(s == "pending", 0).when(s == "processing", F.coalesce(p, F.lit(10))).otherwise(F.coalesce(p, F.lit(0)))
+
+
+def role_changes(target: DataFrame, held: DataFrame) -> DataFrame:
+    """What makes held (role, permission) equal to target: role, permission, change (add or delete)."""
+    key = ["role", "permission"]
+    return target.join(held, key, "left_anti").select(*key, F.lit("add").alias("change")).union(held.join(target, key, "left_anti").select(*key, F.lit("delete").alias("change")))
+
+
+def absent(new: DataFrame, held: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of new that held lacks, once for each key."""
+    return new.dropDuplicates(key).join(held.select(*key).distinct(), key, "left_anti")

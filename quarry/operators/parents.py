@@ -25,16 +25,25 @@ def one_each(resolved: DataFrame, page: str = "page_no") -> DataFrame:
     return resolved.groupBy(*by).agg(F.min("rank").alias("rank"), F.max_by("score", -F.col("rank")).alias("score"), F.max_by(page, "rank").alias(page), F.count("*").alias("leaves"))
 
 
-def passage_text(title: Column | str, heading: Column | str, content: Column | str) -> Column:
-    title, heading = T.strip(title), T.strip(heading)
-    return F.concat_ws("\n", F.when(title != "", F.concat(F.lit("**"), title, F.lit("**"))), F.when(heading != "", F.concat(F.lit("Section : "), heading)), content)
+def passage_text(title: Column | str, heading: Column | str, content: Column | str, figure: Column | str | None = None) -> Column:
+    """A passage as readers see it: its document's title, its section and figure, its text."""
+    heading, figure = T.strip(heading), T.strip(figure) if figure is not None else F.lit("")
+    prefix = F.concat_ws(" ", F.when(heading != "", F.concat(F.lit("[Section: "), heading, F.lit("]"))), F.when(figure != "", figure))
+    body = F.when(prefix == "", T.col(content)).when(T.col(content) == "", prefix).otherwise(F.concat(prefix, F.lit("\n\n"), T.col(content)))
+    return F.concat(F.lit("**"), F.coalesce(T.col(title), F.lit("Document sans titre")), F.lit("**\n"), body)
 
 
 def context(passages: DataFrame, most: int = 3) -> DataFrame:
-    """The numbered passages of a question as one text."""
+    """The numbered passages of a question (query_id, rank, title, passage, score) as one text, and how many they are."""
     rows = passages.where(F.col("rank") <= most)
-    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("title"), F.lit(" ("), F.format_number(F.col("score"), 3), F.lit(")\n"), F.col("content"))
-    return rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n\n").alias("context"), F.count("*").alias("n_passages"))
+    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] ("), F.format_number(F.col("score"), 2), F.lit(") "), F.col("title"), F.lit("\n"), F.col("passage"), F.lit("\n"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n---\n")
+    return rows.groupBy("query_id").agg(F.concat(text, F.lit("\n\n("), F.count("*").cast("string"), F.lit(" passages.)")).alias("context"), F.count("*").alias("n_passages"))
+
+
+def citation(content: Column | str, most: int = 200) -> Column:
+    content = T.col(content)
+    return F.when(F.length(content) > most, F.concat(F.substring(content, 1, most), F.lit("..."))).otherwise(content)
 
 
 def rebuild(leaves: DataFrame) -> DataFrame:

@@ -204,9 +204,27 @@ def text_sufficiency(s, d):
     return V.table(s, d, "documents").select("doc_id", F.expr("100 * length(text) div (1 + length(text) - length(replace(text, '\n', '')))").alias("chars_per_line"), ((n >= 30) & (n >= 50 * lines)).alias("sufficient"))
 
 
+@query("SELECT page_id, CASE WHEN length(html) > 1.5 * length(url) THEN html ELSE url END AS text FROM pages")
+def better_text(s, d):
+    return V.table(s, d, "pages").select("page_id", catalog.better_text("url", "html").alias("text"))
+
+
+@query("SELECT page_id, '/' || string_agg(w, '/' ORDER BY i) AS outline, count(*) AS n FROM (SELECT page_id, unnest(h) AS w, generate_subscripts(h, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?i)<h[12][^>]*>([^<]*)', 1) AS h FROM pages)) GROUP BY page_id")
+def section_outline(s, d):
+    """Headings of pages in order."""
+    rows = V.table(s, d, "pages").select("page_id", F.regexp_extract_all("html", F.lit("(?i)<h[12][^>]*>([^<]*)"), F.lit(1)).alias("h")).where(F.size("h") > 0)
+    return rows.select("page_id", F.concat(F.lit("/"), F.array_join("h", "/")).alias("outline"), F.size("h").cast("long").alias("n"))
+
+
 # lexical
 
 
+@query("SELECT chunk_id, content ILIKE '%norme%' OR content ILIKE '%and%' AS any_term FROM chunk WHERE content ILIKE '%norme%' OR content ILIKE '%the %'")
+def ilike_any(s, d):
+    c = F.col("content")
+    return V.chunk(s, d).where(c.ilike("%norme%") | c.ilike("%the %")).select("chunk_id", (c.ilike("%norme%") | c.ilike("%and%")).alias("any_term"))
+
+
 @query("SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM ltop WHERE rank <= 15")
 def lexical_topk(s, d):
     return lexical.top_k(_questions(s, d), V.chunk(s, d), 15).select("query_id", "chunk_id", _r("score"), F.col("rank").cast("long").alias("rank"))
@@ -389,6 +407,58 @@ def rag_pipeline(s, d):
     return out.select("query_id", "document_id", _r("score"), "rank")
 
 
+# parents
+
+
+def _tree(s, d):
+    """Windows of four below a block, blocks below a section: leaves are windows and blocks."""
+    c = V.chunk(s, d)
+    window = c.select("document_id", F.concat(F.lit("w"), "chunk_index").alias("node_id"), F.concat(F.lit("b"), F.expr("chunk_index div 4")).alias("parent_node_id"), F.lit(True).alias("is_leaf"))
+    block = c.select("document_id", F.concat(F.lit("b"), F.expr("chunk_index div 4")).alias("node_id"), F.lit("s0").alias("parent_node_id"), F.lit(True).alias("is_leaf")).distinct()
+    section = c.select("document_id", F.lit("s0").alias("node_id"), F.lit(None).cast("string").alias("parent_node_id"), F.lit(False).alias("is_leaf")).distinct()
+    return window.union(block).union(section)
+
+
+@query("SELECT query_id, document_id, 's0' AS target_id, min(rank) AS rank, round(arg_max(score, -rank), 6) AS score, arg_max(page_no, rank) AS page_no, count(*) AS leaves FROM (SELECT query_id, chunk_id // 1000000 AS document_id, rank, score, chunk_id % 1000000 // 4 AS page_no FROM ltop WHERE rank <= 15) GROUP BY query_id, document_id")
+def parent_resolution(s, d):
+    top = lexical.top_k(_questions(s, d), V.chunk(s, d), 15).select("query_id", F.expr("chunk_id div 1000000").alias("document_id"), F.concat(F.lit("w"), F.expr("chunk_id % 1000000")).alias("node_id"), F.col("rank").cast("long").alias("rank"), "score", F.expr("chunk_id % 1000000 div 4").alias("page_no"))
+    return parents.one_each(parents.resolve(top, _tree(s, d))).select("query_id", "document_id", "target_id", "rank", _r("score"), "page_no", "leaves")
+
+
+_PASSAGE = "'**' || d.title || '**' || chr(10) || '[Section: ' || d.folder || ']' || chr(10) || chr(10) || c.content"
+
+
+def _passages(s, d):
+    rows = V.chunk(s, d).join(V.document(s, d).select("document_id", "title", "folder"), "document_id")
+    return rows.withColumn("passage", parents.passage_text("title", "folder", "content"))
+
+
+@query(f"""SELECT query_id, string_agg('[' || rank || '] (' || printf('%.2f', round(score, 2)) || ') ' || d.title || chr(10) || {_PASSAGE} || chr(10), chr(10) || '---' || chr(10) ORDER BY rank) || chr(10) || chr(10) || '(' || count(*) || ' passages.)' AS context, count(*) AS n_passages
+    FROM ltop l JOIN chunk c USING (chunk_id) JOIN doc d ON d.document_id = c.document_id WHERE rank <= 3 GROUP BY query_id""")
+def context_string(s, d):
+    top = lexical.top_k(_questions(s, d), V.chunk(s, d), 3).join(_passages(s, d), "chunk_id")
+    return parents.context(top.select("query_id", "rank", "title", "passage", F.round("score", 2).alias("score")))
+
+
+@query(f"SELECT c.document_id, chunk_index, {_PASSAGE} AS passage FROM chunk c JOIN doc d USING (document_id)")
+def passages(s, d):
+    return _passages(s, d).select("document_id", "chunk_index", "passage")
+
+
+@query("SELECT query_id, rank, round(score, 2) AS score, CASE WHEN length(content) > 200 THEN left(content, 200) || '...' ELSE content END AS excerpt, c.document_id FROM ltop l JOIN chunk c USING (chunk_id) WHERE rank <= 5")
+def citations(s, d):
+    top = lexical.top_k(_questions(s, d), V.chunk(s, d), 5).join(V.chunk(s, d), "chunk_id")
+    return top.select("query_id", F.col("rank").cast("long").alias("rank"), _r("score", 2), parents.citation("content").alias("excerpt"), "document_id")
+
+
+@query("SELECT document_id, page_no, node, image_id FROM (SELECT document_id, chunk_index // 2 AS page_no, chunk_id AS node, row_number() OVER (PARTITION BY document_id, chunk_index // 2 ORDER BY chunk_index) AS n FROM chunk) JOIN (SELECT l_orderkey AS document_id, l_linenumber // 3 AS page_no, l_partkey AS image_id, row_number() OVER (PARTITION BY l_orderkey, l_linenumber // 3 ORDER BY l_extendedprice, l_partkey) AS n FROM lineitem) USING (document_id, page_no, n)")
+def picture_pairs(s, d):
+    """Chunks of a page and the order lines that stand for its pictures."""
+    leaves = V.chunk(s, d).select("document_id", F.expr("chunk_index div 2").alias("page_no"), "chunk_index", F.col("chunk_id").alias("node"))
+    images = V.table(s, d, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.expr("l_linenumber div 3").cast("long").alias("page_no"), F.col("l_extendedprice").alias("top"), F.col("l_partkey").alias("image_id"))
+    return parents.paired(leaves, images).select("document_id", "page_no", "node", "image_id")
+
+
 # catalog
 
 
@@ -456,6 +526,38 @@ def space_access(s, d):
     return catalog.visible(spaces, V.table(s, d, "customer").select(F.col("c_custkey").alias("user_id"))).select("space_id", "user_id")
 
 
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 100 WHEN 'O' THEN 0 WHEN 'P' THEN 10 END AS progress FROM orders")
+def progress_backfill(s, d):
+    status = F.element_at(F.create_map(*map(F.lit, ("F", "completed", "O", "pending", "P", "processing"))), F.col("o_orderstatus"))
+    return V.table(s, d, "orders").select("o_orderkey", catalog.progress_of(status, F.lit(None).cast("int")).alias("progress"))
+
+
+@query("""SELECT role, permission, 'add' AS change FROM (SELECT c_mktsegment AS role, c_nationkey AS permission FROM customer EXCEPT SELECT o_orderpriority, 0 FROM orders EXCEPT SELECT c_mktsegment, c_nationkey FROM customer WHERE c_acctbal > 9000)
+    UNION ALL SELECT o_orderpriority, 0, 'delete' FROM (SELECT DISTINCT o_orderpriority FROM orders)""")
+def role_sync(s, d):
+    c = V.table(s, d, "customer").select(F.col("c_mktsegment").alias("role"), F.col("c_nationkey").cast("long").alias("permission"), "c_acctbal")
+    held = c.where("c_acctbal > 9000").select("role", "permission").union(V.table(s, d, "orders").select("o_orderpriority", F.lit(0).cast("long"))).distinct()
+    return catalog.role_changes(c.select("role", "permission").distinct(), held)
+
+
+@query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49)")
+def insert_if_absent(s, d):
+    return catalog.absent(V.table(s, d, "part").select("p_partkey"), V.table(s, d, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey")), ["p_partkey"])
+
+
+@query("SELECT conv_id AS conversation_id, turn, role, text AS content FROM conversations WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1")
+def first_question(s, d):
+    by = Window.partitionBy("conversation_id").orderBy("turn")
+    return V.message(s, d).where("role = 'user'").withColumn("n", F.row_number().over(by)).where("n = 1").drop("n")
+
+
+@query("SELECT document_id, content_rank, chunk_index FROM (SELECT document_id, chunk_index // 3 AS content_rank, chunk_index FROM chunk QUALIFY row_number() OVER (PARTITION BY document_id, chunk_index // 3 ORDER BY length(content) DESC, chunk_id DESC) = 1)")
+def best_row_each(s, d):
+    rows = V.chunk(s, d).withColumn("content_rank", F.expr("chunk_index div 3"))
+    by = Window.partitionBy("document_id", "content_rank").orderBy(F.length("content").desc(), F.desc("chunk_id"))
+    return rows.withColumn("n", F.row_number().over(by)).where("n = 1").select("document_id", "content_rank", "chunk_index")
+
+
 _STAGE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, (v, _) in catalog.STAGES.items()) + " END"
 _PROGRESS = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, (_, v) in catalog.STAGES.items()) + " END"
 

@@ -114,9 +114,10 @@ def test_parents(spark):
     leaves = spark.createDataFrame([(9, 1, "w", 1, 0.9, 3), (9, 1, "t", 2, 0.8, 4), (9, 1, "gone", 3, 0.1, 5)], "query_id long, document_id long, node_id string, rank long, score double, page_no long")
     out = {r.target_id: r for r in parents.one_each(parents.resolve(leaves, nodes)).collect()}
     assert (out["s"].rank, out["s"].score, out["s"].page_no, out["s"].leaves) == (1, 0.9, 4, 2) and out["gone"].leaves == 1
-    passages = spark.createDataFrame([(9, 1, "T", "body", 0.5), (9, 2, "U", "more", 0.25)], "query_id long, rank long, title string, content string, score double")
-    assert parents.context(passages).first().context == "[1] T (0.500)\nbody\n\n[2] U (0.250)\nmore"
+    passages = spark.createDataFrame([(9, 1, "T", "body", 0.5), (9, 2, "U", "more", 0.25)], "query_id long, rank long, title string, passage string, score double")
+    assert parents.context(passages).first().context == "[1] (0.50) T\nbody\n\n---\n[2] (0.25) U\nmore\n\n\n(2 passages.)"
     assert one(spark, parents.passage_text("t", "h", F.lit("body")), t="T", h="") == "**T**\nbody"
+    assert one(spark, parents.passage_text("t", "h", F.lit("body"), F.lit("Fig")), t="T", h="S") == "**T**\n[Section: S] Fig\n\nbody"
     pics = spark.createDataFrame([(1, 2, 5, "n1"), (1, 2, 6, "n2")], "document_id long, page_no long, chunk_index long, node_id string")
     images = spark.createDataFrame([(1, 2, 9.0, "i2"), (1, 2, 1.0, "i1"), (1, 2, 20.0, "i3")], "document_id long, page_no long, top double, image_id string")
     assert {(r.node_id, r.image_id) for r in parents.paired(pics, images).collect()} == {("n1", "i1"), ("n2", "i2")}
