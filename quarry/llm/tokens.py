@@ -18,7 +18,7 @@ import pyarrow as pa
 from quarry.llm import words as W
 
 #: Chunks whose ids (or prefix counts) a worker keeps; beyond it starts anew.
-KEPT_CHUNKS = 1_000_000
+KEPT_CHUNKS = 600_000
 
 
 def tokenizer(path: str):

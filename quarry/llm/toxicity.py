@@ -38,7 +38,7 @@ FIT_CHAIN = 256
 FIT_WORDS = 1_000_000
 #: Standard errors by which a word's log-odds are lowered.
 DOUBT = 1.5
-GROUP_BYTES = 32 << 20
+GROUP_BYTES = 8 << 20
 
 VERDICT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))])
 _VERDICT = pa.struct([("score", pa.float64()), ("spans", pa.list_(pa.list_(pa.int64())))])
