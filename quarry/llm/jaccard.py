@@ -260,7 +260,7 @@ def classes(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     shared = shared.withColumn("shared", F.count("*").over(own)).where("shared > least")
     shared = shared.withColumn("rank", F.row_number().over(own.orderBy(F.desc("df"), "h"))).where("rank > (2 * spare) div 5")
     members = stored(shared.select("region", "rid").distinct())
-    sizes = members.groupBy("region").agg(F.count("*").alias("n"), F.min("rid").alias("pivot")).where("n > 1").select("region", "pivot", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
+    sizes = cut(members.groupBy("region").agg(F.count("*").alias("n"), F.min("rid").alias("pivot")).where("n > 1").select("region", "pivot", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")))
     dealt = members.join(sizes, "region").withColumn("chunk", F.explode(F.when(F.col("rid") == F.col("pivot"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int")))))
     dealt = cut(dealt.select("region", "pivot", "chunk", "chunks", "rid", F.lit(0).alias("extra")))
     texts = docs.select("rid", "text")
