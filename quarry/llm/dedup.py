@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarry.llm.frames import LETTERS, cut, fresh
+from quarry.llm.frames import LETTERS, cut, fresh, stored
 
 BLOCK_BYTES = 8192
 
@@ -54,7 +54,7 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     contents = texts.select("rid", F.col("norm").cast("binary").alias("body")).join(whole, "rid", "left_semi")
     contents = _blocks(contents, block_bytes).withColumn("h", F.xxhash64("block"))
     numbers = occurrences.select("rid", "pos", "oid")
-    contents = contents.join(numbers, ["rid", "pos"])
+    contents = stored(contents.join(numbers, ["rid", "pos"]))
     names = cut(contents.groupBy("h", "block").agg(F.min("oid").alias("name")))
     level = cut(contents.join(names, ["h", "block"]).select("rid", "pos", "last", "oid", "name"))
 
