@@ -24,8 +24,8 @@ from quarry.llm import words as W
 from quarry.llm.frames import fresh
 
 #: Labelled training rows that the model is fitted on: at most so many of each label, and so many bytes of each.
-SAMPLE_ROWS = 2000
-SAMPLE_BYTES = 6 << 20
+SAMPLE_ROWS = 4000
+SAMPLE_BYTES = 8 << 20
 #: Words that the model knows at most; those of the greatest log-odds.
 KNOWN_WORDS = 50_000
 #: Lower bounds of the log-odds buckets above 0, which is for all other words.
@@ -145,6 +145,7 @@ def train(texts: pa.Array, labels: np.ndarray, rounds: int = 60) -> Model:
     n0 = np.add.reduceat(1 - toxic, first) if len(keys) else np.zeros(0)
     total1, total0 = int(labels.sum()), int((1 - labels).sum())
     low = lambda a, b: np.log((a + 0.5) / (total1 + 1)) - np.log((b + 0.5) / (total0 + 1)) - DOUBT * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+    del order, held, holder, new, toxic, first
     odds = low(n1, n0)
     bucket = np.searchsorted(BUCKETS, odds, side="right").astype(np.int8)
     known = np.flatnonzero(bucket)
@@ -159,28 +160,26 @@ def train(texts: pa.Array, labels: np.ndarray, rounds: int = 60) -> Model:
     buckets = np.searchsorted(BUCKETS, low(np.maximum(n1[word] - label, 0), np.maximum(n0[word] - (1 - label), 0)), side="right").astype(np.int8)
     gold = (label == 1) & (buckets >= np.searchsorted(BUCKETS, TOXIC_FROM, side="right"))
     start, length, _ = chains(words.bounds, FIT_CHAIN)
-    used = np.cumsum(length) <= FIT_WORDS
+    used = np.cumsum(length) <= max(FIT_WORDS, length[0])
     start, length = start[used], length[used]
-    fitted, first = np.zeros(len(buckets), dtype=bool), np.zeros(len(buckets), dtype=bool)
-    fitted[W.positions(start, length)[0]] = True
-    first[start] = True
+    fitted, gold = buckets[: length.sum()], gold[: length.sum()]  # chains lie one after another
+    inner = np.ones(len(fitted), dtype=bool)
+    inner[start] = False
     seen = np.zeros((2, 2))
-    at = np.flatnonzero(fitted & ~first)
+    at = np.flatnonzero(inner)
     np.add.at(seen, (gold[at - 1].astype(int), gold[at].astype(int)), 1)
-    held = np.bincount(buckets[gold & fitted], minlength=len(BUCKETS) + 1)
+    held = np.bincount(fitted[gold], minlength=len(BUCKETS) + 1)
     params, m, v = np.zeros(len(BUCKETS) + 5), 0.0, 0.0
     for k in range(1, rounds + 1):
-        p, moves, _ = marginals(params[:-4][buckets], params[-4:].reshape(2, 2), start, length)
-        want = np.bincount(buckets, weights=p, minlength=len(BUCKETS) + 1)
-        n = np.maximum(np.concatenate([np.bincount(buckets[fitted], minlength=len(BUCKETS) + 1), seen.ravel() + moves.ravel()]), 1)
+        p, moves, _ = marginals(params[:-4][fitted], params[-4:].reshape(2, 2), start, length)
+        want = np.bincount(fitted, weights=p, minlength=len(BUCKETS) + 1)
+        n = np.maximum(np.concatenate([np.bincount(fitted, minlength=len(BUCKETS) + 1), seen.ravel() + moves.ravel()]), 1)
         slope = np.concatenate([held - want, (seen - moves).ravel()]) / n - 1e-3 * params
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         params = params + 0.3 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
     model.weights, model.steps = params[:-4], params[-4:].reshape(2, 2)
 
-    start, length, _ = chains(words.bounds)
-    p, _, _ = marginals(model.weights[buckets], model.steps, start, length)
-    x = features(p, words.bounds)
+    x = np.concatenate([features(*_part(model, buckets, words.bounds[a : a + 257])) for a in range(0, len(size), 256)])
     for _ in range(50):  # Newton's method with a small ridge
         s = model.scores(x)
         slope = x.T @ (labels - s) - 0.5 * model.calibration
@@ -189,6 +188,13 @@ def train(texts: pa.Array, labels: np.ndarray, rounds: int = 60) -> Model:
     return model
 
 
+def _part(model: Model, buckets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of some texts, and their bounds from 0."""
+    own = bounds - bounds[0]
+    start, length, _ = chains(own)
+    return marginals(model.weights[buckets[bounds[0] : bounds[-1]]], model.steps, start, length)[0], own
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Fits on labelled rows outside fold 0: at most sample_rows and sample_bytes of each label, chosen by a hash of the id.
 
