@@ -19,7 +19,7 @@ from quarry.llm.dedup import normalised
 
 #: The phrases and labels of the contract.
 PHRASES = {
-    "mit license": "mit",
+    "under the mit license": "mit",
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }

@@ -26,6 +26,20 @@ def test_same_as_brute_force(spark):
         assert not r.n_base or r.score == 1.0
 
 
+def test_phrases_of_the_contract(spark):
+    """The phrases are written out here, so that a shortened one is noticed."""
+    phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+    texts = [(1, "It is released Under the MIT License, see below"), (2, "mit license"), (3, "under mit license the mit license"), (4, "x under the under the mit license under the MIT-License."), (5, "the apache license, version 2"), (6, "a CC BY-NC work under the mit license")]
+    out = {r.doc_id: r for r in licenses.scan(documents(spark, texts)).collect()}
+    for i, t in texts:
+        words = re.findall("[a-z0-9]+", t.lower())
+        places = [(at, label) for p, label in phrases.items() for n in [len(p.split())] for at in range(len(words) - n + 1) if words[at : at + n] == p.split()]
+        at = [x for x, _ in places]
+        r = out[i]
+        assert (r.n_base, r.first_word, r.last_word, r.base_labels) == (len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places})))
+        assert (r.score == 1.0) == bool(at)
+
+
 def test_statements(spark):
     cut = "Redistribution and use in source and binary forms, with or without any modification, are permitted provided the following conditions are met"
     out = {r.doc_id: r for r in licenses.scan(documents(spark, [(1, "x y " + cut + " z"), (2, "a work licensed under the GNU General Public License, version 3."), (3, "forms of the binary are met")])).collect()}
