@@ -198,7 +198,9 @@ def _part(model: Model, buckets: np.ndarray, bounds: np.ndarray) -> tuple[np.nda
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Fits on labelled rows outside fold 0: at most sample_rows and sample_bytes of each label, chosen by a hash of the id.
 
-    Rows without id, text or label are left out; of several labels of one id the greatest counts.
+    Rows without id, text or label are left out; of several labels of one id the greatest counts. Two more bounds hold:
+    texts over an eighth of sample_bytes (1 MB) never enter the sample, and the chain's weights are fitted on its first
+    FIT_WORDS words only; the words' log-odds and the calibration are taken from the whole sample.
     """
     known = labels.where("toxic IN (0, 1)").where(fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     key = Window.partitionBy("label").orderBy("draw", "doc_id")
