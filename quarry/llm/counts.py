@@ -154,11 +154,11 @@ def counter(path: str) -> tokens.Chunks:
     """This worker's counts of chunks; what it has learned serves later tasks too."""
     own = PrefixCounter(path)
 
-    def make(chunks: list[str]) -> list[list[int]]:
+    def make(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         out: list[list[int]] = [[]] * len(chunks)
         for i in sorted(range(len(chunks)), key=chunks.__getitem__):  # neighbours have the most in common
             out[i] = own(chunks[i])
-        return out
+        return tokens.flat(out)
 
     return tokens.Chunks(tokens.before_spaces, make)
 

@@ -49,7 +49,7 @@ def _segmenter(path: str) -> tuple:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    runs = tokens.Chunks(None, lambda held: model.encode(held, num_threads=1))
+    runs = tokens.Chunks(None, lambda held: tokens.flat(model.encode(held, num_threads=1)))
     return model, runs
 
 

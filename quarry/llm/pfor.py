@@ -33,6 +33,8 @@ BLOCK = 256
 #: The share of a block's ids that fit its width.
 SHARE = 0.95
 END = 1
+#: Bytes of text that go to one file, about; with less text, the cluster's cores share it while each gets as much as LEAST_BYTES.
+FILE_BYTES, LEAST_BYTES = 32 << 20, 4 << 20
 _BLOCKS = np.dtype([("start", "<u8"), ("least", "<u4"), ("width", "u1"), ("exceptions", "<u2")])
 _DOCS = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("n_tokens", "<u8")])
 
@@ -114,10 +116,14 @@ def write(docs: DataFrame, path: str, folder: str, end: int = END, partitions: i
     """Writes the ids of all texts below folder, a URI; gives the manifest: part, file, n_docs, n_tokens.
 
     Documents are dealt by ranges of doc_id and sorted within; rows of one
-    doc_id are ordered by their text. A null doc_id comes first, a null text
-    is the end id alone. Empty partitions write no file.
+    doc_id are ordered by their text, repeated rows are written each. A null
+    doc_id comes first, a null or empty text is the end id alone, a very long one
+    has a file of its own size. Other columns aren't read. Empty partitions and
+    an empty table write no file.
     """
-    partitions = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if partitions is None:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        partitions = max(-(-size // FILE_BYTES), min(docs.sparkSession.sparkContext.defaultParallelism, -(-size // LEAST_BYTES)), 1)
     tie = F.xxhash64("text")
     rows = docs.select("doc_id", "text").repartitionByRange(partitions, F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie, F.col("text"))
     rows = rows.select(F.spark_partition_id().alias("part"), "doc_id", "text")
@@ -180,10 +186,13 @@ def _documents(uri: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
 
 
 def read(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
-    """Each document of the files: doc_id, start (ids of all before it), n_tokens, ids_crc32, and its ids if wanted."""
+    """Each document of the files: doc_id, start (ids of all before it), n_tokens, ids_crc32, and its ids if wanted.
+
+    Of a manifest without files there are no rows.
+    """
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = manifest.select("file", before.alias("before"))  # a row for each file
-    files = files.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
+    files = files.repartition(max(manifest.count(), 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

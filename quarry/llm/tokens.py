@@ -17,8 +17,10 @@ import pyarrow as pa
 
 from quarry.llm import words as W
 
-#: Chunks whose ids (or prefix counts) a worker keeps; beyond it starts anew.
-KEPT_CHUNKS = 600_000
+#: Chunks whose ids a worker keeps at most between slices.
+KEPT_CHUNKS = 1_000_000
+#: Chunks that are encoded as one text, parted by a special token.
+JOINED = 4096
 
 
 def tokenizer(path: str):
@@ -71,18 +73,39 @@ def before_spaces(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
     return starts, np.append(starts[1:], len(data))
 
 
-class Chunks:
-    """Keeps a sequence of integers for each distinct chunk."""
+def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All integers of some lists, and the lists' sizes."""
+    size = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum())), size
+
 
-    def __init__(self, cut, make) -> None:
-        """cut: chunks' ranges in bytes of texts; make: a sequence of integers for each of some chunks."""
-        self.cut, self.make = cut, make
-        self.clear()
+class Chunks:
+    """Keeps a sequence of integers for each distinct chunk; beyond KEPT_CHUNKS the more used half stays."""
 
-    def clear(self) -> None:
+    def __init__(self, cut, make, kept: int = KEPT_CHUNKS) -> None:
+        """cut: chunks' ranges in bytes of texts; make: for some chunks, all their integers and how many each has."""
+        self.cut, self.make, self.kept = cut, make, kept
         self.keys = np.zeros(0, np.uint64)
-        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint32)
+        self.start, self.size, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.filled = np.zeros(1 << 16, np.uint32), 0
+
+    def evict(self) -> None:
+        """Leaves the more used half; uses count half from now on."""
+        stay = np.sort(np.argsort(-self.used, kind="stable")[: self.kept // 2])
+        place, _ = W.positions(self.start[stay], self.size[stay])
+        self.pool, self.filled = self.pool[place], len(place)
+        self.keys, self.size, self.used = self.keys[stay], self.size[stay], self.used[stay] // 2
+        self.start = np.cumsum(self.size) - self.size
+
+    def add(self, keys: np.ndarray, used: np.ndarray, made: np.ndarray, size: np.ndarray) -> None:
+        """Takes in new chunks, in ascending order of their keys."""
+        if self.filled + len(made) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.filled], np.zeros(self.filled + len(made), np.uint32)])
+        self.pool[self.filled : self.filled + len(made)] = made
+        at = np.searchsorted(self.keys, keys)
+        start = self.filled + np.cumsum(size) - size
+        self.filled += len(made)
+        self.keys, self.start, self.size, self.used = (np.insert(a, at, b) for a, b in ((self.keys, keys), (self.start, start), (self.size, size), (self.used, used)))
 
     def slots(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The place of each chunk in start and size, after making those that are new."""
@@ -90,20 +113,20 @@ class Chunks:
         inverse, distinct = pd.factorize(hashes)
         index = np.empty(len(distinct), np.int64)
         index[inverse[::-1]] = np.arange(len(hashes) - 1, -1, -1)
-        if len(self.keys) > KEPT_CHUNKS:
-            self.clear()
-        new = ~W.has(self.keys, distinct)
-        if new.any():
-            index, keys = index[new], distinct[new]
-            raw = data.tobytes()
-            made = self.make([raw[a:b].decode() for a, b in zip(starts[index].tolist(), ends[index].tolist(), strict=True)])
-            size = np.fromiter(map(len, made), np.int64, len(made))
-            start = len(self.pool) + np.cumsum(size) - size
-            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(made), np.uint32, int(size.sum()))])
-            order = np.argsort(keys)
-            at = np.searchsorted(self.keys, keys[order])
-            self.keys, self.start, self.size = np.insert(self.keys, at, keys[order]), np.insert(self.start, at, start[order]), np.insert(self.size, at, size[order])
-        return np.searchsorted(self.keys, distinct)[inverse]
+        used = np.bincount(inverse, minlength=len(distinct))
+        order = np.argsort(distinct)
+        if len(self.keys) > self.kept:
+            self.evict()
+        known = W.has(self.keys, distinct[order])
+        self.used[np.searchsorted(self.keys, distinct[order[known]])] += used[order[known]]
+        new = order[~known]
+        if len(new):
+            raw, at = data.tobytes(), index[new]
+            made, size = self.make([raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            self.add(distinct[new], used[new], made, size)
+        slot = np.empty(len(distinct), np.int64)
+        slot[order] = np.searchsorted(self.keys, distinct[order])
+        return slot[inverse]
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All integers of the texts' chunks, the bounds of each text in chunks, the chunks' bounds in integers."""
@@ -127,9 +150,25 @@ class Encoder:
     def __init__(self, path: str, cut) -> None:
         self.tokenizer = tokenizer(path)
         self.chunks = Chunks(cut, self._encode)
-
-    def _encode(self, chunks: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.mark = next(((i, x.content) for i, x in sorted(added.items()) if x.special and not (x.normalized or x.lstrip or x.rstrip or x.single_word)), None)
+
+    def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks. A special token parts a text before all else, so chunks may stand between such tokens."""
+        ids, sizes = [], []
+        for a in range(0, len(chunks), JOINED):
+            held = chunks[a : a + JOINED]
+            text = self.mark[1].join(held) if self.mark else ""
+            if self.mark and text.count(self.mark[1]) == len(held) - 1:
+                out = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+                bounds = np.concatenate([[-1], np.flatnonzero(out == self.mark[0]), [len(out)]])
+                ids.append(np.delete(out, bounds[1:-1]))
+                sizes.append(np.diff(bounds) - 1)
+            else:  # a chunk that holds the token itself
+                out, size = flat([x.ids for x in self.tokenizer.encode_batch_fast(held, add_special_tokens=False)])
+                ids.append(out)
+                sizes.append(size)
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the bounds of each text's; end is put after each text."""
