@@ -3,8 +3,9 @@
 Overlong documents are first cut into full windows. What remains goes, longest
 first, into the open window of the least room that still holds it, which a
 segment tree over remaining room finds. Each partition packs its own rows, in
-groups of a bounded number of ids whose windows stay open for later groups, so
-ids never move and memory doesn't grow with the partition.
+groups of a bounded number of ids. Of the windows that have room left, those of
+the most room stay open for later groups, a bounded number, so ids never move
+and memory doesn't grow with the partition.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ CAPACITY = 2048
 END = 1
 #: Ids that a task holds before it packs them.
 GROUP_IDS = 8 << 20
+#: Windows that stay open from group to group at most.
+OPEN_WINDOWS = 1 << 16
 
 
 class Room:
@@ -38,6 +41,18 @@ class Room:
             self.open[room].append(window)
             self._change(room, 1)
 
+    def close(self, limit: int) -> None:
+        """Closes the windows of the least room, but for limit of them."""
+        over = self.count[1] - limit
+        for room, held in enumerate(self.open):
+            if over <= 0:
+                return
+            gone = min(over, len(held))
+            if gone:
+                del held[:gone]
+                self._change(room, -gone)
+                over -= gone
+
     def _change(self, room: int, by: int) -> None:
         at = self.leaves + room
         while at:
@@ -68,8 +83,8 @@ class Room:
 class Packer:
     """Assigns (sequence, offset) to lengths; windows stay open between calls."""
 
-    def __init__(self, capacity: int = CAPACITY) -> None:
-        self.capacity, self.room, self.sequences = capacity, Room(capacity), 0
+    def __init__(self, capacity: int = CAPACITY, limit: int = OPEN_WINDOWS) -> None:
+        self.capacity, self.limit, self.room, self.sequences = capacity, limit, Room(capacity), 0
 
     def window(self) -> int:
         self.sequences += 1
@@ -82,6 +97,7 @@ class Packer:
             room, window = self.room.take(n) or (self.capacity, self.window())
             sequence[i], offset[i] = window, self.capacity - room
             self.room.add(room - n, window)
+        self.room.close(self.limit)
         return sequence, offset
 
 
@@ -102,7 +118,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, w
         held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         for batch in W.sliced(batches, "text"):
             held.append((batch.column("doc_id"), *encoder.encode(batch.column("text"), end)))
-            if sum(len(x[1]) for x in held) >= GROUP_IDS:
+            if sum(len(x[1]) for x in held) >= GROUP_IDS:  # the last text may be longer than a group; it is packed whole
                 yield _pieces(held, packer, base, with_ids)
                 held = []
         if held:

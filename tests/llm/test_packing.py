@@ -27,6 +27,14 @@ def test_tightest_window():
             room[room.index(k)] = k - lengths[i]
 
 
+def test_closed_windows():
+    room = packing.Room(50)
+    for k in range(1, 41):
+        room.add(k, 100 + k)
+    room.close(15)
+    assert room.count[1] == 15 and room.take(1) == (26, 126) and room.take(40) == (40, 140) and room.take(41) is None
+
+
 def check(spark, docs):
     """Every id in one piece, pieces gapless, digests right; gives padding and all tokens."""
     tk = tokens.tokenizer(PATH)
