@@ -9,14 +9,15 @@ of the end's.
 
 Beside it stands a plain count model: log10((c + 1) / (N + V + 1)) for each
 word. Word counts come from all training texts. Documents are taken in blocks
-of consecutive rows: a block gives its distinct words with their counts, these
-are summed over the corpus and joined back to the blocks that hold the word,
-and each block scores its documents with them. Words are told apart by 64-bit
-hashes.
+of neighbouring rows of about one size, bounded in bytes: a block gives its
+distinct words with their counts, these are summed over the corpus and joined
+back to the blocks that hold the word, and each block scores its documents with
+them. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,10 +30,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quarry.llm import tokens, words as W
 from quarry.llm.frames import stored
 
-#: Rows of a block; its words and counts are in memory together.
-BLOCK_ROWS = 2048
-#: Longer words are scored in parts of so many bytes, which no piece crosses.
-PART_BYTES = 4096
+#: Rows of a block of short texts, whose words and counts are in memory together. A text of more than the first size is in a
+#: block of a sixteenth as many rows, so that a block has 32 MB at most; one of more than the second has its own.
+BLOCK_ROWS, SIZES = 2048, (16 << 10, 256 << 10)
+#: Words of more bytes are scored one by one; their matches are looked up for so many ends at once.
+ALONE, STRETCH = 1024, 1 << 16
 KEPT_WORDS = 2_000_000
 MARK = "▁".encode()
 ALPHA = 0.1  # added to each piece's count
@@ -81,9 +83,9 @@ class Lattice:
 
     def score(self, words: list[bytes]) -> np.ndarray:
         out = np.zeros(len(words))
-        short = [i for i, w in enumerate(words) if len(w) <= PART_BYTES]
+        short = [i for i, w in enumerate(words) if len(w) <= ALONE]
         for i in set(range(len(words))) - set(short):
-            out[i] = self._forward([words[i][a : a + PART_BYTES] for a in range(0, len(words[i]), PART_BYTES)]).sum()
+            out[i] = self._long(words[i])
         short.sort(key=lambda i: len(words[i]))
         at = 0
         while at < len(short):
@@ -92,8 +94,44 @@ class Lattice:
             at += len(group)
         return out / np.log(10)
 
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are pieces, and those pieces' weights."""
+        at = np.searchsorted(self.keys, hashes)
+        at[at == len(self.keys)] = 0
+        found = np.flatnonzero(self.keys[at] == hashes)
+        return found, self.values[at[found]]
+
+    def _long(self, word: bytes) -> float:
+        """The same recursion over one word of any length; of its states only those are held that a piece can reach."""
+        most = max(x for x in self.lengths if x <= len(word))
+        lengths = [x for x in self.lengths if x <= most]
+        up, down = W.powers(W.HASH_BLOCK)
+        alpha = [-np.inf] * most + [0.0]  # of the last places up to the stretch's start
+        for base in range(0, len(word), STRETCH):
+            low = max(base - most, 0)
+            data = W.byte_values(np.frombuffer(word[low : base + STRETCH], np.uint8))
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(data * up[: len(data)], out=sums[1:])
+            ends, sizes, weights = [], [], []
+            for length in lengths:
+                end = np.arange(max(base - low + 1, length), len(data) + 1)
+                found, value = self._find(W.mix((sums[end] - sums[end - length]) * down[end - length]))
+                ends.append(end[found])
+                sizes.append(np.full(len(found), length))
+                weights.append(value)
+            end, size, weight = np.concatenate(ends), np.concatenate(sizes), np.concatenate(weights)
+            order = np.argsort(end, kind="stable")
+            first = np.searchsorted(end[order], np.arange(base - low + 1, len(data) + 2)).tolist()
+            size, weight = size[order].tolist(), weight[order].tolist()
+            for k, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
+                terms = [alpha[most + 1 + k - size[j]] + weight[j] for j in range(a, b)]
+                top = max(terms, default=-np.inf)
+                alpha.append(top + math.log(sum(math.exp(x - top) for x in terms)) if top > -np.inf else top)
+            alpha = alpha[-most - 1 :]
+        return alpha[-1]
+
     def _forward(self, words: list[bytes]) -> np.ndarray:
-        """Natural logarithms; words in ascending length or alone."""
+        """Natural logarithms; words in ascending length."""
         n, size = len(words), np.fromiter(map(len, words), np.int64, len(words))
         most = int(size.max())
         data = np.zeros((n, most), np.uint8)
@@ -110,11 +148,9 @@ class Lattice:
                 if length > end:
                     break
                 hashes = W.mix((sums[live, end] - sums[live, end - length]) * down[end - length])
-                at = np.searchsorted(self.keys, hashes)
-                at[at == len(self.keys)] = 0
-                found = np.flatnonzero(self.keys[at] == hashes)
+                found, value = self._find(hashes)
                 if len(found):
-                    best[found] = np.logaddexp(best[found], alpha[live[found], end - length] + self.values[at[found]])
+                    best[found] = np.logaddexp(best[found], alpha[live[found], end - length] + value)
             alpha[live, end] = best
         return alpha[np.arange(n), size]
 
@@ -160,17 +196,21 @@ def _gather(path: str):
         return pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(np.concatenate([hashes, seen])), pa.array(np.concatenate([n, [int(train.sum())], count[seen]]))], names=["block", "h", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: dict[int, list[pa.RecordBatch]] = {0: [], 1: [], 2: []}  # by size
         for batch in batches:
             blocks = batch.column("block").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and b > a and held[0].column("block")[0].as_py() != blocks[a]:
-                    yield whole(held)
-                    held = []
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield whole(held)
+            for kind in np.unique(blocks & 3).tolist():
+                own = np.flatnonzero((blocks & 3) == kind)
+                part, number = batch.take(pa.array(own)), blocks[own]
+                cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(own)]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    if held[kind] and held[kind][0].column("block")[0].as_py() != number[a]:
+                        yield whole(held[kind])
+                        held[kind] = []
+                    held[kind].append(part.slice(a, b - a))
+        for rows in held.values():
+            if rows:
+                yield whole(rows)
 
     def whole(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held).combine_chunks()
@@ -185,13 +225,18 @@ SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def score(docs: DataFrame, path: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    docs must read the same again, as tables do. Texts are lower-cased (A-Z);
-    a null or empty one is the end alone. Repeated rows count and are scored
-    each. An empty table gives no rows.
+    docs must read the same again, as tables do; a block that holds other words
+    than before is an error. Texts are lower-cased (A-Z); a null or empty one is
+    the end alone. Very long texts have blocks of their own and very long words
+    are scored whole. Repeated rows count and are scored each. An empty table
+    gives no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select(F.expr(f"rid div {block_rows}").alias("block"), "doc_id", "held_out", "text")
+    size, few = F.octet_length("text"), max(block_rows // 16, 1)
+    first = lambda n: F.expr(f"(rid div {n}) * {n} * 4")
+    block = F.when(size <= SIZES[0], first(block_rows)).when(size <= SIZES[1], first(few) + 1).otherwise(first(1) + 2)
+    rows = rows.select(block.alias("block"), "doc_id", "held_out", "text")
     seen = stored(rows.select("block", "held_out", "text").mapInArrow(_gather(path), "block long, h long, n long"))
     counts = stored(seen.where("block >= 0").groupBy("h").agg(F.sum("n").alias("c")))
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
@@ -213,6 +258,8 @@ def score(docs: DataFrame, path: str, block_rows: int = BLOCK_ROWS) -> DataFrame
         out = []
         for part in W.sliced(iter(left.combine_chunks().to_batches()), "text"):
             words, inverse, distinct, first = _distinct(part.column("text"))
+            if not W.has(keys, distinct.view(np.int64)).all():
+                raise ValueError("the documents were read in another order than before")
             c = count[np.searchsorted(keys, distinct.view(np.int64))] if len(distinct) else np.zeros(0, np.int64)
             data = words.data.tobytes()
             marginal = lattice.of(distinct, lambda i: data[words.starts[first[i]] : words.ends[first[i]]]) if len(distinct) else np.zeros(0)
