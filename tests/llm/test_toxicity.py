@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import toxicity
@@ -10,21 +11,64 @@ from tests.llm.common import awkward, documents
 BAD = ["vile", "nasty", "Foul", "rotten"]
 
 
-def test_marginals_by_enumeration():
+def enumerated(emit, steps):
+    """Marginals of state 1, of both a word and the one before, and the partition function, by all paths of one text."""
+    n = len(emit)
+    paths = {y: np.exp(sum(emit[i] * s for i, s in enumerate(y)) + sum(steps[s, t] for s, t in itertools.pairwise(y))) for y in itertools.product((0, 1), repeat=n)}
+    z = sum(paths.values())
+    p = sum(np.array(y) * w for y, w in paths.items()) / z
+    both = sum(np.array([0, *(s * t for s, t in itertools.pairwise(y))]) * w for y, w in paths.items()) / z
+    return p, both, z
+
+
+@pytest.mark.parametrize("stretch", [1, 3, 256])
+def test_marginals_by_enumeration(monkeypatch, stretch):
+    monkeypatch.setattr(toxicity, "STRETCH", stretch)
     rng = np.random.default_rng(1)
-    toxic, steps = rng.normal(size=11), rng.normal(size=(2, 2))
-    start, length = np.array([0, 4, 5]), np.array([4, 1, 6])
-    p, moves, log_z = toxicity.marginals(toxic, steps, start, length)
-    want, want_moves, want_z = np.zeros(11), np.zeros((2, 2)), 0.0
-    for a, n in zip(start, length, strict=True):
-        paths = {y: np.exp(sum(toxic[a + i] * s for i, s in enumerate(y)) + sum(steps[s, t] for s, t in itertools.pairwise(y))) for y in itertools.product((0, 1), repeat=int(n))}
-        z = sum(paths.values())
-        want_z += np.log(z)
-        for y, w in paths.items():
-            want[a : a + n] += np.array(y) * w / z
-            for s, t in itertools.pairwise(y):
-                want_moves[s, t] += w / z
-    assert np.allclose(p, want) and np.allclose(moves, want_moves) and np.isclose(log_z, want_z)
+    emit, steps, bounds = rng.normal(size=18), rng.normal(size=(2, 2)), np.array([0, 4, 4, 5, 11, 18])
+    p, both, scale = toxicity.marginals(emit, toxicity.starts(bounds, 18), steps)
+    for a, b in itertools.pairwise(bounds):
+        if b > a:
+            want_p, want_both, z = enumerated(emit[a:b], steps)
+            assert np.allclose(p[a:b], want_p) and np.allclose(both[a:b], want_both) and np.isclose(scale[a:b].sum(), np.log(z))
+
+
+def test_long_text_is_one_chain():
+    """9,000 words: the same as a plain recursion over all of them."""
+    rng = np.random.default_rng(2)
+    emit, steps = rng.normal(size=9000) - 1, np.array([[0.0, -3.0], [-3.0, 3.0]])
+    p, _, scale = toxicity.marginals(emit, toxicity.starts(np.array([0, 9000]), 9000), steps)
+    forward, log_z = np.zeros((9000, 2)), 0.0
+    for t in range(9000):
+        x = (forward[t - 1] @ np.exp(steps) if t else np.ones(2)) * [1, np.exp(emit[t])]
+        forward[t], log_z = x / x.sum(), log_z + np.log(x.sum())
+    after, want = np.ones(2), np.zeros(9000)
+    for t in range(8999, -1, -1):
+        both = forward[t] * after
+        want[t] = both[1] / both.sum()
+        after = np.exp(steps) @ (after * [1, np.exp(emit[t])])
+        after /= after.sum()
+    assert np.allclose(p, want) and np.isclose(scale.sum(), log_z)
+
+
+def test_slope_of_the_latent_likelihood(monkeypatch):
+    """The fit's dense steps go along the numerical slope of the documents' log probability."""
+    rng = np.random.default_rng(3)
+    emit, steps, bounds, labels = rng.normal(size=9), np.array([[0.0, 0.3], [-0.2, 0.5]]), np.array([0, 4, 9]), np.array([1, 0])
+    first = toxicity.starts(bounds, 9)
+
+    def value(emit, steps):
+        z = toxicity.totals(toxicity.marginals(emit, first, steps)[2], bounds)  # the path without toxic words has potential 0
+        return np.log1p(-np.exp(-z[0])) - z[1]
+
+    p, both, scale = toxicity.marginals(emit, first, steps)
+    pull = np.repeat(np.where(labels == 1, 1 / np.expm1(toxicity.totals(scale, bounds)), -1.0), np.diff(bounds))
+    for i in range(9):
+        d = np.zeros(9)
+        d[i] = 1e-6
+        assert np.isclose((value(emit + d, steps) - value(emit - d, steps)) / 2e-6, p[i] * pull[i], atol=1e-6)
+    d = np.array([[0, 0], [0, 1e-6]])
+    assert np.isclose((value(emit, steps + d) - value(emit, steps - d)) / 2e-6, (both * pull).sum(), atol=1e-6)
 
 
 def corpus(spark, n=600):
