@@ -1,11 +1,12 @@
 """License scans by diagonal voting, in DataFrame operations only.
 
-Each pair of neighbouring words of a document is joined, by its hash, to the
-places where templates hold the same pair. A joint place votes for a diagonal:
-the document's position minus the template's. Votes are summed by document,
-template and diagonal, neighbouring diagonals (small insertions or omissions)
-are merged, and what gets enough of a template's votes is a span of it. Hashes
-only propose: the words of each joint place are compared.
+Each run of three words of a document is joined, by its hash, to the places
+where templates hold the same run. A joint place votes for a diagonal: the
+document's position minus the template's. Votes are summed by document, template
+and diagonal, neighbouring diagonals (small insertions or omissions) are merged,
+and what gets enough of a template's votes is a span of it. Hashes only propose:
+the words of each joint place are compared. Templates are a table of any size;
+it is sent to all tasks only while it has few rows.
 
 For the phrases of the contract every vote of one diagonal is needed, so a
 span is just a place where the phrase's words stand consecutively.
@@ -44,56 +45,78 @@ STATEMENTS = {
 }
 #: Words within a document, after lower-casing A-Z.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Pairs so frequent in any text that they don't vote for statements.
-COMMON = {("of", "the"), ("to", "the"), ("in", "the"), ("at", "the"), ("with", "the"), ("that", "the"), ("and", "the"), ("this", "is"), ("it", "is")}
+#: Words of a run, as many as the shortest phrase has.
+K = 3
+#: Rows of templates that are sent to all tasks at most; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 #: The hash of the place that every document has.
 NONE = -1
 #: Diagonals of one statement that lie so near are merged.
 NEAR = 3
-#: The share of a statement's votes that a span needs.
-LEAST = 0.8
+#: The share of a statement's votes that a span needs; a changed word costs k of them.
+LEAST = 0.7
 
 
-def templates(spark: SparkSession, phrases: dict[str, str] | None = None, statements: dict[str, str] | None = None) -> DataFrame:
-    """A row for each voting pair of words: template, label, base, votes (of the whole template), at, left, right; and an empty row."""
-    rows: list[tuple] = [(None, None, None, None, None, None, None)]  # what documents without votes join
-    for base, texts in ((True, PHRASES if phrases is None else phrases), (False, STATEMENTS if statements is None else statements)):
-        for text, label in texts.items():
-            words = text.split()
-            pairs = [(i, a, b) for i, (a, b) in enumerate(zip(words, words[1:], strict=False)) if base or (a, b) not in COMMON]
-            rows += [(f"{'phrase' if base else 'statement'}: {text}", label, base, len(pairs), *p) for p in pairs]
-    return spark.createDataFrame(rows, "template string, label string, base boolean, votes int, at int, left string, right string")
+def grams(words: Column | str, k: int) -> Column:
+    """pos and gram (the words, joined) of each run of k words; the run's hash is that of the gram."""
+    words = F.col(words) if isinstance(words, str) else words
+    last = F.size(words) - k
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(i.alias("pos"), F.array_join(F.slice(words, i + 1, k), " ").alias("gram")))
+    return F.when(last >= 0, runs).otherwise(F.slice(runs, 1, 0))
 
 
-def votes(docs: DataFrame, places: DataFrame) -> DataFrame:
+def statements(spark: SparkSession) -> DataFrame:
+    """The contract's phrases and well-known statements: text, label, base."""
+    rows = [(t, label, True) for t, label in PHRASES.items()] + [(t, label, False) for t, label in STATEMENTS.items()]
+    return spark.createDataFrame(rows, "text string, label string, base boolean")
+
+
+def templates(table: DataFrame, k: int = K) -> DataFrame:
+    """A row for each run of k words of a table (text, label, base): template, label, base, votes (of the whole template), at, gram.
+
+    Texts are cut into words as documents are. Repeated rows are one template;
+    texts of fewer than k words, or null, have no runs and are never found.
+    """
+    words = F.regexp_extract_all(normalised(F.col("text")), F.lit(WORD), F.lit(0))
+    rows = table.select(words.alias("words"), "label", "base").where(F.size("words") >= k).distinct()
+    name = F.concat_ws(" ", F.when(F.col("base"), "phrase:").otherwise("statement:"), F.array_join("words", " "), F.lit("="), "label")
+    rows = rows.select(name.alias("template"), "label", "base", (F.size("words") - k + 1).alias("votes"), F.explode(grams("words", k)).alias("x"))
+    return rows.select("template", "label", "base", "votes", F.col("x.pos").alias("at"), "x.gram")
+
+
+def votes(docs: DataFrame, places: DataFrame, k: int = K, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Joint places of documents and templates, and one row without template for each document."""
     words = F.regexp_extract_all(normalised(F.col("text")), F.lit(WORD), F.lit(0))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", words.alias("words"))
-    n = F.size("words")
-    pairs = F.zip_with("words", F.slice("words", 2, F.greatest(n, F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
-    own = F.concat(pairs, F.array(F.lit(NONE)))  # an extra place, after the words, keeps documents without votes
-    rows = rows.select("rid", "doc_id", "words", n.cast("long").alias("n_words"), F.posexplode(own).alias("pos", "h"))
-    joint = rows.join(F.broadcast(places), "h")  # the templates are fixed, a few hundred rows
-    none = F.col("template").isNull()
-    same = (F.get("words", F.col("pos")) == F.col("left")) & (F.get("words", F.col("pos") + 1) == F.col("right"))
-    return joint.where(F.when(none, F.col("pos") == F.col("n_words")).otherwise(same)).select("rid", "doc_id", "n_words", "template", "label", "base", "votes", "at", F.col("pos").cast("long").alias("pos"))
+    rows = rows.select("rid", "doc_id", "words", F.size("words").cast("long").alias("n_words"))  # the runs' rows don't carry the words
+    none = F.struct(F.size("words").alias("pos"), F.lit(None).cast("string").alias("gram"))  # keeps documents without votes
+    rows = rows.select("rid", "doc_id", "n_words", F.explode(F.concat(grams("words", k), F.array(none))).alias("x"))
+    rows = rows.select("rid", "doc_id", "n_words", F.col("x.pos").cast("long").alias("pos"), F.col("x.gram").alias("gram"), F.coalesce(F.xxhash64("x.gram"), F.lit(NONE)).alias("h"))
+    held = places.select(F.xxhash64("gram").alias("h"), F.col("gram").alias("held"), "template", "label", "base", "votes", "at")
+    empty = docs.sparkSession.range(1).select(F.lit(NONE).cast("long").alias("h"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in held.schema.fields[1:]))
+    if places.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        joint = rows.join(F.broadcast(held.union(empty)), "h").where(F.col("gram").eqNullSafe(F.col("held")))
+    else:  # rows without votes needn't be shuffled by their one key
+        joint = rows.where("gram IS NOT NULL").join(held, "h").where("gram = held").unionByName(rows.where("gram IS NULL").join(F.broadcast(empty), "h"))
+    return joint.select("rid", "doc_id", "n_words", "template", "label", "base", "votes", "at", "pos")
 
 
-def scan(docs: DataFrame, places: DataFrame | None = None, near: int = NEAR, least: float = LEAST) -> DataFrame:
+def scan(docs: DataFrame, table: DataFrame | None = None, near: int = NEAR, least: float = LEAST, k: int = K, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     spans: label, first word, word after the last, share of votes. score: the
     greatest share that a template got, 1 where a phrase stands, 0 where
     nothing voted. A null text has no words. A document without places has
-    nulls for first_word and last_word and empty labels. Repeated rows each get
-    their row; an empty table gives none.
+    nulls for first_word and last_word and empty labels. Texts of any length are
+    read whole, with a row for each of their words. Repeated rows each get their
+    row; an empty table gives none. table: text, label, base; the contract's
+    phrases and well-known statements, unless given. Without templates nothing votes.
     """
-    places = templates(docs.sparkSession) if places is None else places
-    places = places.withColumn("h", F.when(F.col("template").isNull(), F.lit(NONE)).otherwise(F.xxhash64("left", "right")))
-    joint = votes(docs, places).repartition("rid")
+    places = templates(statements(docs.sparkSession) if table is None else table, k)
+    joint = votes(docs, places, k, broadcast_rows).repartition("rid")
     key = ["rid", "doc_id", "n_words", "template"]
     diagonals = joint.groupBy(*key, (F.col("pos") - F.col("at")).alias("diagonal")).agg(
-        F.count("*").alias("got"), F.min("pos").alias("low"), (F.max("pos") + 2).alias("high"), F.first("votes").alias("votes"), F.first("base").alias("base"), F.first("label").alias("label"),
+        F.count("*").alias("got"), F.min("pos").alias("low"), (F.max("pos") + k).alias("high"), F.first("votes").alias("votes"), F.first("base").alias("base"), F.first("label").alias("label"),
     )
     order = Window.partitionBy("rid", "template").orderBy("diagonal")
     step = F.col("diagonal") - F.lag("diagonal").over(order)

@@ -47,6 +47,27 @@ def test_statements(spark):
     assert "gpl-3" in out[2].labels and out[3].labels == "" and out[3].score < 0.2
 
 
+def test_table_of_templates(spark):
+    """Templates of one's own, joined by a shuffle; short and repeated ones; none at all."""
+    table = spark.createDataFrame([("All rights  RESERVED by the maker", "own", False), ("all rights reserved by the maker", "own", False), ("two words", "short", True), (None, "null", True), ("a b c", "abc", True)], "text string, label string, base boolean")
+    docs = documents(spark, [(1, "x. All rights reserved, by the Maker!"), (2, "a b c a b c"), (3, "two words"), (4, None)])
+    for limit in (0, 100):
+        out = {r.doc_id: r for r in licenses.scan(docs, table, broadcast_rows=limit).collect()}
+        assert [out[i].labels for i in (1, 2, 3, 4)] == ["own", "abc", "", ""] and (out[2].n_base, out[2].first_word, out[2].last_word) == (2, 0, 3)
+        assert [tuple(x)[:3] for x in out[1].spans] == [(1, 7, "own")]
+    assert [r.score for r in licenses.scan(docs, table.limit(0)).collect()] == [0.0] * 4
+
+
+def test_time_in_proportion_to_a_text(spark):
+    """A text of many words doesn't carry them into each row."""
+    import time
+
+    docs = documents(spark, [(1, "some words of no licence " * 60_000 + "under the mit license")])
+    began = time.time()
+    r = licenses.scan(docs).first()
+    assert (r.n_words, r.n_base, r.first_word) == (300_004, 1, 300_000) and time.time() - began < 60
+
+
 def test_awkward_and_empty(spark):
     docs = awkward(spark).withColumn("rid", F.lit(3)).withColumn("label", F.lit("x"))
     assert licenses.scan(docs).count() == docs.count()
