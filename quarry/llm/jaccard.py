@@ -1,22 +1,30 @@
-"""Exact Jaccard join of word shingle sets by pivots, regions and triangle-inequality windows.
+"""Exact Jaccard join of word shingle sets by pivots, Voronoi regions and triangle-inequality windows.
 
 Far documents all have distance 1 from each other, so document pivots alone
-can't part them. Pivots are found in two steps. Shingles in a global order
-(frequent ones last) act as pivots of one element: two sets that link share s of
-the first n - ceil(0.8 n) + s shingles of either, which is the window in which
-a set goes to several regions; s is 1 + n div 16 of the smaller set, which has
-0.8 of the larger one's shingles at least. So a set links with nothing if others
-have fewer than 1 + (0.8 n) div 16 of its window in theirs. The remaining sets
-leave out the most frequent 2 (n div 16) div 5 of those that others have; both
-of a pair leave out fewer than they share, so a shared one is left. The smallest holder of a shingle names a region to which all
-holders go, so each pair that may link meets in a region.
-
-A region is joined recursively and exactly: of two pivots each member goes to
-the nearer one's cell, and also to the other's if its distances differ by 0.4
-at most; by the triangle inequality no linked pair is parted. Pairs that are
-connected already aren't compared. A region of many members is dealt out in
-chunks, each with the pivot; members that don't get connected to the pivot are
-then compared with all chunks.
+would put every document into every region. A shingle index makes the first
+cut, into parts of which each linked pair shares one. Shingles have a global order (frequent
+ones last): two sets that link share s of the first n - ceil(0.8 n) + s
+shingles of either; s is 1 + n div 16 of the smaller set, which has 0.8 of the
+larger one's shingles at least. So a set links with nothing if others have
+fewer than 1 + (0.8 n) div 16 of its window in theirs. The remaining sets leave
+out the most frequent 2 (n div 16) div 5 of those that others have; both of a
+pair leave out fewer than they share, so a shared one is left. The smallest
+holder of such a shingle names a part, to which all holders go.
+
+A part is joined by document pivots. Each member's distances from the pivots
+are taken. It goes to the region of its nearest pivot p if that is at most 0.4
+away, and also to that of any pivot q within 0.6 whose distance is greater by
+0.4 at most; a member that is farther from all pivots goes to a rest. Linked
+sets have a distance of 0.2 at most, so by the triangle inequality they meet in
+a region or in the rest. Regions are joined recursively. A pivot has been
+compared with all of its region and leaves it. Where regions would overlap too
+much, only the pivots leave; then, and in a rest, the next pivots are twice as
+many. Members that are connected already aren't compared: a region ends when it
+is connected.
+
+Regions of few members are joined by one task each, with the recursion in
+numpy; larger ones in rounds of Spark, dealt out in chunks, to each of which the
+pivots go.
 
 Equal sets are one class (told by 128 bits of hash) and joined once; shingles
 are told apart by 64-bit hashes.
@@ -24,7 +32,9 @@ are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +44,19 @@ from quarry.llm import words as W
 from quarry.llm.frames import cut, fresh, stored
 
 SHINGLE = 5
-#: Members of a region that one task joins at once.
-CHUNK = 256
-LEAF = 12
+#: Members and shingles of a region that one task joins at once; a single longer text is joined whole.
+CHUNK, CHUNK_SHINGLES = 1024, 1 << 20
+#: Pivots of a large region in its first round; their number doubles in a rest and while regions overlap too much, up to a chunk.
+PIVOTS = 128
+#: Regions that a member may go to on average; else the region stays whole.
+OVERLAP = 1.5
+#: How far a member may be from the pivot whose region it belongs to, and the distance of linked sets.
+HOME, LINK = 0.4, 0.2
 #: Rows whose shingles are counted together; a shingle that so many of them hold is frequent.
 GROUP_ROWS, FREQUENT = 2048, 6
 #: Frequent shingles that are ordered last; an order only saves work.
 KEPT_FREQUENT = 200_000
-#: Ids that are sent to all tasks at most; more are joined by a shuffle.
+#: Rows of ids that are sent to all tasks at most; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Windows are longer by this part of a set.
 SPARE = 16
@@ -108,27 +123,28 @@ def prefixes(hashes: np.ndarray, bounds: np.ndarray, frequent: np.ndarray) -> tu
     return hashes[order][keep], owner[keep]
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether 100 * intersection >= 80 * union."""
-    if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
-        return False
-    common = common_size(a, b)
-    return 5 * common >= 4 * (len(a) + len(b) - common)
+def overlaps(sets: list[np.ndarray], pivots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each set and each pivot link (100 * intersection >= 80 * union), and their distances."""
+    held, size = np.concatenate(pivots), np.fromiter(map(len, pivots), np.int64, len(pivots))
+    owner = np.repeat(np.arange(len(pivots)), size)
+    order = np.argsort(held, kind="stable")
+    held, owner = held[order], owner[order]
+    common = np.zeros((len(sets), len(pivots)), np.int64)
+    for i, own in enumerate(sets):
+        low, high = np.searchsorted(held, own), np.searchsorted(held, own, side="right")
+        at, _ = W.positions(low, high - low)
+        common[i] = np.bincount(owner[at], minlength=len(pivots))
+    union = np.fromiter(map(len, sets), np.int64, len(sets))[:, None] + size - common
+    return 5 * common >= 4 * union, 1 - common / union
 
 
-def common_size(a: np.ndarray, b: np.ndarray) -> int:
-    if len(a) > len(b):
-        a, b = b, a
-    return int(W.has(b, a).sum())
-
-
-def distance(a: np.ndarray, b: np.ndarray) -> float:
-    common = common_size(a, b)
-    return 1 - common / (len(a) + len(b) - common)
-
-
-def _pairs(members: list[int], others: list[int] | None) -> int:
-    return len(members) * len(members) // 2 if others is None else len(members) * len(others)
+def regions(distance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of member and pivot for each region a member goes to; pivot -1 is the rest."""
+    nearest = distance.min(axis=1)
+    window = np.minimum(nearest + 2 * LINK, HOME + LINK) + 1e-9
+    member, pivot = np.nonzero(distance <= window[:, None])
+    rest = np.flatnonzero(nearest > HOME)
+    return np.concatenate([member, rest]), np.concatenate([pivot, np.full(len(rest), -1)])
 
 
 class Region:
@@ -136,7 +152,7 @@ class Region:
 
     def __init__(self, sets: list[np.ndarray], known: list[int] | None = None) -> None:
         """known: numbers of what is connected already."""
-        self.sets, self.root = sets, list(range(len(sets)))
+        self.sets, self.root, self.splits = sets, list(range(len(sets))), 0
         first: dict[int, int] = {}
         for i, k in enumerate(known or []):
             self.root[i] = first.setdefault(k, i)
@@ -147,63 +163,101 @@ class Region:
             i = self.root[i]
         return i
 
-    def compare(self, i: int, j: int) -> None:
+    def link(self, i: int, j: int) -> None:
         a, b = self.find(i), self.find(j)
-        if a != b and linked(self.sets[i], self.sets[j]):
-            self.root[max(a, b)] = min(a, b)
-
-    def join(self, members: list[int], others: list[int] | None = None) -> None:
-        """Compares all members, or members with others only."""
-        if len({self.find(i) for i in (*members, *(others or ()))}) < 2:
-            return
-        both = members + (others or [])
-        if len(both) > LEAF:
-            p = both[0]
-            to_p = {i: distance(self.sets[i], self.sets[p]) for i in both}
-            q = max(both, key=to_p.__getitem__)
-            to_q = {i: distance(self.sets[i], self.sets[q]) for i in both}
-            for i in both:
-                for pivot, d in ((p, to_p[i]), (q, to_q[i])):
-                    if d <= 0.3:
-                        self.compare(i, pivot)
-            window = 0.4 + 1e-9
-            cells = [lambda i: to_p[i] - to_q[i] <= window, lambda i: to_q[i] - to_p[i] <= window]
-            parts = [([i for i in members if c(i)], None if others is None else [i for i in others if c(i)]) for c in cells]
-            if sum(_pairs(m, o) for m, o in parts) <= 0.7 * _pairs(members, others):  # else the windows hold nearly all
-                for m, o in parts:
-                    self.join(m, o)
-                return
-        if others is None:
-            for k, i in enumerate(members):
-                for j in members[k + 1 :]:
-                    self.compare(i, j)
-        else:
-            for i in members:
-                for j in others:
-                    self.compare(i, j)
+        self.root[max(a, b)] = min(a, b)
+
+    def join(self, members: list[int]) -> None:
+        """Finds all links of members that aren't connected."""
+        waiting = [members]
+        while waiting:
+            members = waiting.pop()
+            groups = Counter(map(self.find, members))
+            if len(groups) < 2:
+                continue
+            common = groups.most_common(1)[0][0]
+            pivots = [i for i in members if self.find(i) != common][: 1 if len(members) < 8 else 4]
+            rest = [i for i in members if i not in pivots]
+            both = pivots + rest
+            links, distance = overlaps([self.sets[i] for i in both], [self.sets[i] for i in pivots])
+            for i, j in zip(*np.nonzero(links), strict=True):
+                self.link(both[i], pivots[j])
+            member, pivot = regions(distance[len(pivots) :])
+            parts = [[rest[i] for i in member[pivot == p].tolist()] for p in range(-1, len(pivots))]
+            if sum(len(x) ** 2 for x in parts) <= 0.7 * len(rest) ** 2:
+                self.splits += 1
+                waiting += [x for x in parts if len(x) > 1]
+            else:
+                waiting.append(rest)
+
+
+def _sets(table: pa.Table) -> list[np.ndarray]:
+    """Shingle sets of the rows; their sizes are those that the first pass has seen, or the rows have changed their order."""
+    out: list[np.ndarray] = []
+    for batch in W.sliced(iter(table.select(["text"]).to_batches()), "text"):
+        hashes, bounds = shingles(batch.column("text"))
+        out += [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    if [len(x) for x in out] != table["size"].to_pylist():
+        raise ValueError("the documents were read in another order than before")
+    return out
 
 
 def _connect(table: pa.Table) -> pa.Table:
-    """Joins a region's chunk: links (a, b) between classes. Columns: rid, text, label (what is connected), extra."""
-    table = table.sort_by([("rid", "ascending"), ("extra", "ascending")]).combine_chunks()
-    rid, extra = table["rid"].to_numpy(), table["extra"].to_numpy()
-    first = np.ones(len(rid), dtype=bool)
-    first[1:] = rid[1:] != rid[:-1]  # a rest that lies in the chunk itself
-    sets: list[np.ndarray] = []
-    for batch in W.sliced(iter(table.select(["text"]).to_batches()), "text"):
-        hashes, bounds = shingles(batch.column("text"))
-        sets += [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    region = Region(sets, table["label"].to_pylist())
+    """Joins a region: links (a, b) between classes. Columns: rid, text, size, label (what is connected)."""
+    table = table.sort_by("rid").combine_chunks()
+    rid = table["rid"].to_pylist()
+    region = Region(_sets(table), table["label"].to_pylist())
     start = [region.find(i) for i in range(len(rid))]
-    if extra.any():
-        region.join(np.flatnonzero(extra == 1).tolist(), np.flatnonzero(extra == 0).tolist())
-    else:
-        region.join(np.flatnonzero(first).tolist())
+    region.join([i for i in range(len(rid)) if not i or rid[i] != rid[i - 1]])
     end = [region.find(i) for i in range(len(rid))]
-    new = sorted({(rid[a].item(), rid[b].item()) for a, b in zip(start, end, strict=True) if rid[a] != rid[b]})
+    new = sorted({(rid[a], rid[b]) for a, b in zip(start, end, strict=True) if rid[a] != rid[b]})
     return pa.table({"a": pa.array([x for x, _ in new], pa.int64()), "b": pa.array([x for _, x in new], pa.int64())})
 
 
+def _measure(table: pa.Table) -> pa.Table:
+    """A chunk's members and their region's pivots. Rows of kind 0: a link, of a member and the least pivot that it links with; 1: a region
+    that a member goes to (pivot -1 is the rest, -2 all of the region, where its parts would overlap too much), with the least pivot
+    that it links with as label, or the label it had; 2: two pivots that members connect.
+    """
+    table = table.sort_by("rid").combine_chunks()
+    sets, rid, label, is_pivot = _sets(table), table["rid"].to_numpy(), table["label"].to_numpy(), table["pivot"].to_numpy(zero_copy_only=False)
+    pivots, members = np.flatnonzero(is_pivot), np.flatnonzero(~is_pivot)
+    linked, distance = overlaps([sets[i] for i in members], [sets[i] for i in pivots])
+    some = linked.any(axis=1)
+    least = rid[pivots[linked.argmax(axis=1)]]
+    label = np.where(some, least, label[members])
+    group, edges = Region([]), []
+    group.root = list(range(len(pivots)))
+    for i, j in zip(*np.nonzero(linked), strict=True):
+        first = int(linked[i].argmax())
+        if group.find(first) != group.find(int(j)):
+            group.link(first, int(j))
+            edges.append((rid[pivots[first]], rid[pivots[j]]))
+    free = np.flatnonzero(~np.isin(rid[members], rid[pivots]))  # pivots have met all and leave
+    member, pivot = regions(distance[free]) if len(free) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    if len(member) > OVERLAP * len(free):
+        member, pivot = np.arange(len(free)), np.full(len(free), -2)
+    went, at = free[member], np.flatnonzero(some)
+    a = np.concatenate([rid[members[at]], rid[members[went]], np.array([x for x, _ in edges], np.int64)])
+    b = np.concatenate([least[at], np.where(pivot < 0, pivot, rid[pivots[np.maximum(pivot, 0)]]), np.array([x for _, x in edges], np.int64)])
+    nothing = np.full(len(edges), -1)
+    size = np.concatenate([np.full(len(at), -1), table["size"].to_numpy()[members[went]], nothing])
+    labels = np.concatenate([label[at], label[went], nothing])
+    kind = np.repeat(np.arange(3, dtype=np.int32), [len(at), len(went), len(edges)])
+    return pa.table({"cell": np.full(len(a), table["cell"][0].as_py()), "rid": a, "pivot": b, "size": size, "label": labels, "kind": kind})
+
+
+def _roots(table: pa.Table) -> pa.Table:
+    """Of a region's pivots that members connect: cell, pivot, root."""
+    rows = list(zip(table["rid"].to_pylist(), table["pivot"].to_pylist(), strict=True))
+    ids = sorted({x for r in rows for x in r})
+    place, group = {x: i for i, x in enumerate(ids)}, Region([])
+    group.root = list(range(len(ids)))
+    for x, y in rows:
+        group.link(place[x], place[y])
+    return pa.table({"cell": np.full(len(ids), table["cell"][0].as_py()), "pivot": np.array(ids, np.int64), "root": np.array([ids[group.find(i)] for i in range(len(ids))], np.int64)})
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, label (the smallest id that is connected) of all ends of edges (a, b)."""
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
@@ -219,23 +273,70 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _regions(docs: DataFrame, members: DataFrame, labels: DataFrame | None, keys: list[str]) -> DataFrame:
-    """Links within regions: members (rid, keys, extra) get their texts."""
-    if labels is not None:
-        members = members.join(labels.withColumnRenamed("id", "rid"), "rid", "left")
-    members = members.withColumn("label", F.coalesce(F.col("label") if labels is not None else F.lit(None), F.col("rid")))
-    small = members.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(members) if small else members, "rid")
-    return stored(texts.groupBy(*keys).applyInArrow(_connect, "a long, b long"))
+def links(texts: DataFrame, cells: DataFrame, chunk: int = CHUNK, pivots: int = PIVOTS, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """Links (a, b) that connect whatever is linked within a region.
 
-
-def classes(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    cells: cell, rid, size (shingles); texts: rid, text. Both are read in each round, so they should be tables.
+    Members of one label are connected; of a region that a pivot leads, lead is the pivot's label.
+    """
+    none = F.lit(None).cast("long")
+    cells = cells.select("cell", "rid", "size", F.col("rid").alias("label"), none.alias("lead"), F.lit(0).alias("tries"))
+    found, few = [], []
+    while True:
+        # What isn't connected with the region's pivot is open; pivots are chosen among it.
+        draw = F.xxhash64("rid", "tries")
+        is_open = ~F.col("label").eqNullSafe(F.col("lead"))
+        sizes = cells.groupBy("cell", "tries").agg(
+            F.count("*").alias("members"), F.sum("size").alias("shingles"), F.min("label").alias("low"), F.max("label").alias("high"), F.sum(is_open.cast("long")).alias("n_open"),
+            F.min(F.when(is_open, F.struct(draw.alias("draw"), "rid"))).alias("first"),
+        )
+        large = stored(sizes.where((F.col("members") > chunk) | (F.col("shingles") > CHUNK_SHINGLES) & (F.col("members") > 2)).drop("tries"))
+        n_large = large.count()
+        send = F.broadcast if n_large <= broadcast_ids else lambda x: x
+        few.append((cells.join(send(large.select("cell")), "cell", "left_anti") if n_large else cells).select("cell", "rid", "size", "label"))
+        large = large.where("low <> high")
+        if not n_large:
+            break
+        chunks = F.ceil(F.greatest(F.col("members") / chunk, F.col("shingles") / CHUNK_SHINGLES)).cast("int")
+        is_pivot = is_open & ((F.pmod(draw, "n_open") < F.least(F.lit(pivots) * F.pow(F.lit(2), F.col("tries")), F.lit(chunk))) | (F.col("rid") == F.col("first.rid")))
+        rows = cells.join(send(large), "cell").select("cell", "rid", "size", "label", chunks.alias("chunks"), is_pivot.alias("pivot"))
+        dealt = rows.withColumn("pivot", F.lit(False)).withColumn("chunk", F.pmod(F.xxhash64("rid"), "chunks").cast("int"))
+        dealt = dealt.unionByName(rows.where("pivot").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))))
+        met = stored(texts.join(dealt.drop("chunks"), "rid").groupBy("cell", "chunk").applyInArrow(_measure, "cell long, rid long, pivot long, size long, label long, kind int"))
+        found += [met.where("kind = 0 AND rid <> pivot").select(F.col("pivot").alias("a"), F.col("rid").alias("b")), met.where("kind = 2").select(F.col("rid").alias("a"), F.col("pivot").alias("b"))]
+        roots = cut(met.where("kind = 2").select("cell", "rid", "pivot").distinct().groupBy("cell").applyInArrow(_roots, "cell long, pivot long, root long"))
+        n_roots = roots.count()
+        near = (lambda x: F.broadcast(x)) if n_roots <= broadcast_ids else (lambda x: x)
+        # A region whose parts would overlap too much in a chunk stays whole, led by the label of the most members.
+        linked = met.where("kind = 0").join(near(roots.select("cell", "pivot", "root")), ["cell", "pivot"], "left").groupBy("cell", F.coalesce("root", "pivot").alias("leader")).count()
+        parts = met.where("kind = 1")
+        whole = parts.groupBy("cell").agg(F.min("pivot").alias("least"), F.count("*").alias("n")).join(large.select("cell", "members"), "cell")
+        whole = whole.join(linked.groupBy("cell").agg(F.max_by("leader", "count").alias("leader")), "cell", "left")
+        old = cells.select("cell", "tries").distinct().join(send(whole), "cell").select("cell", "tries", ((F.col("least") == -2) | (F.col("n") > OVERLAP * F.col("members"))).alias("whole"), "leader")
+        parts = parts.join(send(old), "cell")
+        parts = parts.join(near(roots.select("cell", F.col("pivot").alias("label"), F.col("root").alias("own"))), ["cell", "label"], "left")
+        parts = parts.join(near(roots.select("cell", "pivot", F.col("root").alias("leading"))), ["cell", "pivot"], "left")
+        parts = parts.select(
+            F.when(F.col("whole"), F.xxhash64("cell", F.lit(-2))).otherwise(F.xxhash64("cell", "pivot")).alias("cell"), "rid", "size", F.coalesce("own", "label").alias("label"),  # should two regions get one number, they are joined together
+            F.when(F.col("whole"), F.col("leader")).when(F.col("pivot") >= 0, F.coalesce("leading", "pivot")).alias("lead"), F.when(F.col("whole") | (F.col("pivot") < 0), F.col("tries") + 1).otherwise(0).alias("tries"),
+        )
+        cells = stored(parts.distinct())
+    rows = reduce(DataFrame.union, few)
+    mixed = rows.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("cell")
+    rows = rows.join(mixed, "cell", "left_semi") if found else rows  # such regions have few members
+    last = stored(texts.join(rows, "rid").groupBy("cell").applyInArrow(_connect, "a long, b long"))
+    return reduce(DataFrame.union, [last, *found])
+
+
+def classes(docs: DataFrame, chunk: int = CHUNK, pivots: int = PIVOTS, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """One row for each row of docs: rid, doc_id, n_shingles, component_id, label (one for each group).
 
     rid is monotonically_increasing_id() over docs, which must read the same
-    again, as tables do. A text without words, or null, has no shingles, is
-    linked with nothing, and has its own doc_id. Repeated rows are one class.
-    A null doc_id is never the smallest while another is there. An empty table gives no rows.
+    again, as tables do; a set of another size than before is an error. A text
+    without words, or null, has no shingles, is linked with nothing, and has its
+    own doc_id. A very long text is joined whole. Repeated rows are one class. A
+    null doc_id is never the smallest while another is there. An empty table
+    gives no rows.
     """
     spark = docs.sparkSession
     docs = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -252,37 +353,19 @@ def classes(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
             h, owner = prefixes(hashes, bounds, frequent.value)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("rid").take(pa.array(owner))], names=["h", "rid"])
 
-    # Of equal sets only the first has a region; every set's window is made, as its class isn't known where its text is.
+    # Of equal sets only the first has a part; every set's window is made, as its class isn't known where its text is.
     held = stored(docs.select("rid", "text").mapInArrow(windows, "h long, rid long").join(sets.select(F.col("first").alias("rid")), "rid", "left_semi"))
-    pivots = stored(held.groupBy("h").agg(F.min("rid").alias("region"), F.count("*").alias("df")).where("df > 1"))
-    shared = held.join(pivots, "h").join(sets.select(F.col("first").alias("rid"), F.expr(f"n div {SPARE}").alias("spare"), F.expr(f"(4 * n div 5) div {SPARE}").alias("least")), "rid")
+    holders = stored(held.groupBy("h").agg(F.min("rid").alias("holder"), F.count("*").alias("df")).where("df > 1"))
+    shared = held.join(holders, "h").join(sets.select(F.col("first").alias("rid"), F.col("n").alias("size"), F.expr(f"n div {SPARE}").alias("spare"), F.expr(f"(4 * n div 5) div {SPARE}").alias("least")), "rid")
     own = Window.partitionBy("rid")
     shared = shared.withColumn("shared", F.count("*").over(own)).where("shared > least")
     shared = shared.withColumn("rank", F.row_number().over(own.orderBy(F.desc("df"), "h"))).where("rank > (2 * spare) div 5")
-    members = stored(shared.select("region", "rid").distinct())
-    sizes = cut(members.groupBy("region").agg(F.count("*").alias("n"), F.min("rid").alias("pivot")).where("n > 1").select("region", "pivot", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")))
-    dealt = members.join(sizes, "region").withColumn("chunk", F.explode(F.when(F.col("rid") == F.col("pivot"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int")))))
-    dealt = cut(dealt.select("region", "pivot", "chunk", "chunks", "rid", F.lit(0).alias("extra")))
-    texts = docs.select("rid", "text")
-    edges = _regions(texts, dealt.select("region", "chunk", "rid", "extra"), None, ["region", "chunk"])
-    labels = components(edges)
-
-    # In regions of several chunks, what isn't connected to the pivot meets all chunks.
-    large = dealt.where("chunks > 1")
-    if large.limit(1).count():
-        own = labels.select(F.col("id").alias("rid"), "label")
-        lead = labels.select(F.col("id").alias("pivot"), F.col("label").alias("lead"))
-        apart = large.where("rid <> pivot").join(own, "rid", "left").join(lead, "pivot", "left").where("NOT coalesce(label, rid) <=> coalesce(lead, pivot)")
-        apart = cut(apart.select("region", "chunks", "rid").distinct())
-        if apart.limit(1).count():
-            number = F.sum("here").over(Window.partitionBy("region").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
-            parts = apart.groupBy("region", F.pmod(F.xxhash64("rid"), F.lit(4096)).alias("part")).agg(F.count("*").alias("here")).withColumn("batch", F.floor(number / chunk).cast("int")).drop("here")
-            rest = apart.withColumn("part", F.pmod(F.xxhash64("rid"), F.lit(4096))).join(parts, ["region", "part"]).select("region", "chunks", "rid", "batch")
-            batches = rest.select("region", "batch").distinct()
-            there = large.join(batches, "region").select("region", "chunk", "batch", "rid", "extra")
-            here = rest.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("region", "chunk", "batch", "rid", F.lit(1).alias("extra"))
-            more = _regions(texts, there.union(here), labels, ["region", "chunk", "batch"])
-            labels = components(edges.union(more))
+    members = stored(shared.select(F.col("holder").alias("cell"), "rid", "size").distinct())
+    alone = members.groupBy("cell").agg(F.min("rid").alias("rid"), F.count("*").alias("n")).where("n = 1")
+    members = stored(members.join(alone.select("cell", "rid"), ["cell", "rid"], "left_anti"))
+    wanted = members.select("rid").distinct()
+    texts = stored(docs.select("rid", "text").join(F.broadcast(wanted) if members.count() <= broadcast_ids else wanted, "rid", "left_semi"))
+    labels = components(links(texts, members, chunk, pivots, broadcast_ids))
 
     labelled = sets.join(labels.withColumnRenamed("id", "first"), "first", "left").withColumn("label", F.coalesce("label", "first"))
     smallest = cut(labelled.groupBy("label").agg(F.min("smallest").alias("component_id")))

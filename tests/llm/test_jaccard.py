@@ -53,7 +53,7 @@ def corpus(seed, n=160):
     return texts + [(n, ""), (n + 1, None), (n + 2, " "), (n + 3, "w1 w2"), (n + 4, "W1\tw2")]
 
 
-@pytest.mark.parametrize(("seed", "chunk"), [(1, 256), (2, 5), (3, 3)])
+@pytest.mark.parametrize(("seed", "chunk"), [(1, 1024), (2, 5)])
 def test_same_as_brute_force(spark, tmp_path, seed, chunk):
     texts = corpus(seed)
     documents(spark, texts).repartition(3).write.parquet(str(tmp_path / "d"))
@@ -75,6 +75,7 @@ def test_pairs_at_the_limit(spark, tmp_path):
 
 
 def test_recursion_is_exact():
+    splits = 0
     rng = np.random.default_rng(5)
     for _ in range(20):
         base = [rng.integers(0, 2**63, rng.integers(5, 60), dtype=np.uint64) for _ in range(4)]
@@ -86,10 +87,30 @@ def test_recursion_is_exact():
             sets.append(np.unique(s))
         fast, slow = jaccard.Region(sets), jaccard.Region(sets)
         fast.join(list(range(70)))
-        for i in range(70):
-            for j in range(i):
-                slow.compare(i, j)
+        links, _ = jaccard.overlaps(sets, sets)
+        for i, j in zip(*np.nonzero(links), strict=True):
+            a, b = set(sets[i].tolist()), set(sets[j].tolist())
+            assert 5 * len(a & b) >= 4 * len(a | b)
+            slow.link(i, j)
         assert [fast.find(i) for i in range(70)] == [slow.find(i) for i in range(70)]
+        splits += fast.splits
+    assert splits >= 20
+
+
+def test_rounds_of_large_regions(spark, tmp_path):
+    """All texts hold common passages, so that regions are large and overlap; ids are joined by a shuffle."""
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(40)]
+    base = [passage + [f"b{k}x{i}" for i in range(rng.choice([8, 15, 60]))] for k in range(9)]
+    texts = []
+    for i in range(150):
+        words = list(rng.choice(base))
+        for _ in range(rng.randrange(0, 4)):
+            words[rng.randrange(len(words))] = f"r{rng.randrange(30)}"
+        texts.append((i, " ".join(words)))
+    documents(spark, texts).repartition(3).write.parquet(str(tmp_path / "d"))
+    out = jaccard.classes(spark.read.parquet(str(tmp_path / "d")), chunk=6, pivots=2, broadcast_ids=0).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute_force(texts)
 
 
 def test_awkward_and_empty(spark):
