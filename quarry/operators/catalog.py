@@ -5,40 +5,74 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarry.functions import text as T
+from quarry.session import cut
 
 
-def ancestors(folders: DataFrame, depth: int = 16) -> DataFrame:
-    """folder_id, ancestor_id, distance of all folders (folder_id, parent_id), themselves included; at most depth levels, so cycles end."""
-    up = folders.select(F.col("folder_id").alias("_at"), F.col("parent_id").alias("_up"))
-    level = folders.select("folder_id", F.col("folder_id").alias("ancestor_id"), F.lit(0).cast("long").alias("distance"))
-    out = level
-    for _ in range(depth):
-        level = level.join(up, level.ancestor_id == up["_at"]).where("_up IS NOT NULL").select("folder_id", F.col("_up").alias("ancestor_id"), (F.col("distance") + 1).alias("distance"))
+def ancestors(folders: DataFrame) -> DataFrame:
+    """folder_id, ancestor_id, distance of all folders (folder_id, parent_id), themselves included, at any depth.
+
+    Goes up until nothing new comes, so that cycles end: a folder in one has each of its members once.
+    """
+    up = cut(folders.select(F.col("folder_id").alias("_at"), F.col("parent_id").alias("_up")).where("_up IS NOT NULL"))
+    out = level = cut(folders.select("folder_id", F.col("folder_id").alias("ancestor_id"), F.lit(0).cast("long").alias("distance")))
+    while True:
+        level = level.join(up, level.ancestor_id == up["_at"]).select("folder_id", F.col("_up").alias("ancestor_id"), (F.col("distance") + 1).alias("distance"))
+        level = cut(level.join(out.select("folder_id", "ancestor_id"), ["folder_id", "ancestor_id"], "left_anti"))
+        if level.isEmpty():
+            return out
         out = out.union(level)
-    return out
 
 
-def paths(folders: DataFrame, depth: int = 16) -> DataFrame:
+def paths(folders: DataFrame) -> DataFrame:
     """folder_id, path from the root, depth."""
     names = folders.select(F.col("folder_id").alias("ancestor_id"), "name")
-    rows = ancestors(folders, depth).join(names, "ancestor_id")
+    rows = ancestors(folders).join(names, "ancestor_id")
     order = F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "name")))
     return rows.groupBy("folder_id").agg(F.array_join(F.transform(order, lambda x: x["name"]), "/").alias("path"), F.max("distance").alias("depth"))
 
 
-def folder_totals(folders: DataFrame, documents: DataFrame, depth: int = 16) -> DataFrame:
+def folder_totals(folders: DataFrame, documents: DataFrame) -> DataFrame:
     """folder_id with the documents (folder_id, size) of itself and all below, and their size."""
     own = documents.groupBy("folder_id").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-    rows = ancestors(folders, depth).join(own, "folder_id", "left").groupBy(F.col("ancestor_id").alias("folder_id"))
+    rows = ancestors(folders).join(own, "folder_id", "left").groupBy(F.col("ancestor_id").alias("folder_id"))
     return rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_documents"), F.coalesce(F.sum("size"), F.lit(0)).alias("size"), (F.count("*") - 1).alias("n_below"))
 
 
-def move_allowed(folders: DataFrame, moves: DataFrame, depth: int = 16) -> DataFrame:
+def move_allowed(folders: DataFrame, moves: DataFrame) -> DataFrame:
     """moves (folder_id, target_id) with allowed: not into the folder itself or below it."""
-    below = ancestors(folders, depth).select(F.col("folder_id").alias("target_id"), F.col("ancestor_id").alias("folder_id"), F.lit(True).alias("_below"))
+    below = ancestors(folders).select(F.col("folder_id").alias("target_id"), F.col("ancestor_id").alias("folder_id"), F.lit(True).alias("_below"))
     return moves.join(below, ["folder_id", "target_id"], "left").select("folder_id", "target_id", F.col("_below").isNull().alias("allowed"))
 
 
+def after_delete(folders: DataFrame, documents: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Folders and documents (folder_id) that stay when folders (gone: folder_id) and all below them go."""
+    below = ancestors(folders).join(gone.select(F.col("folder_id").alias("ancestor_id")), "ancestor_id", "left_semi").select("folder_id").distinct()
+    return folders.join(below, "folder_id", "left_anti"), documents.join(below, "folder_id", "left_anti")
+
+
+def levels(folders: DataFrame) -> DataFrame:
+    """folder_id, level (steps to the root), is_leaf (nothing's parent); chunks with parents are such trees, too."""
+    deep = ancestors(folders).groupBy("folder_id").agg(F.max("distance").alias("level"))
+    parents = folders.select(F.col("parent_id").alias("folder_id")).distinct().withColumn("_parent", F.lit(True))
+    return deep.join(parents, "folder_id", "left").select("folder_id", "level", F.col("_parent").isNull().alias("is_leaf"))
+
+
+def linked(held: DataFrame, link: DataFrame, unlink: DataFrame) -> DataFrame:
+    """Links (document_id, space_id) after some are set and others taken away; doing so again changes nothing."""
+    key = ["document_id", "space_id"]
+    return held.select(*key).union(link.select(*key)).distinct().join(unlink.select(*key).distinct(), key, "left_anti")
+
+
+def replaced(held: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """held with all rows of new's keys replaced by new's."""
+    return held.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+
+
+def orphans(rows: DataFrame, key: str, held: DataFrame) -> DataFrame:
+    """Rows whose key is null or that held (of one column) lacks."""
+    return rows.join(held.toDF(key).distinct(), key, "left_anti")
+
+
 def conversations(messages: DataFrame) -> DataFrame:
     """conversation_id, number of messages, title: the first question's first 50 letters."""
     first = F.min_by(F.when(F.col("role") == "user", F.col("content")), F.when(F.col("role") == "user", F.col("turn")))

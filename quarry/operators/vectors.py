@@ -8,8 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Queries that are sent to all tasks at once.
-BLOCK = 4096
+#: Queries that are sent to all tasks at once, and those that meet a batch of rows in one product.
+BLOCK, PART = 65_536, 4096
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -23,37 +23,51 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """The k rows nearest to each query: query_id, row_id, score. Both have id and embedding.
+    """The k rows nearest to each query: query_id, row_id, score, rank. Both have id and embedding.
 
     Queries go to the tasks in blocks of a fixed number; each task keeps its best
-    k rows for each query, so k rows a task and query are shuffled. Zero vectors
-    have no score and are left out. Ties go to the smaller id.
+    k rows for each query over all of its batches, so k rows a task and query are
+    shuffled. Zero vectors have no score and are left out. Ties go to the smaller id.
     """
+    return top_k_within(queries.withColumn("_all", F.lit(0)), rows.withColumn("_all", F.lit(0)), k, "_all")
+
+
+def top_k_within(queries: DataFrame, rows: DataFrame, k: int, by: str) -> DataFrame:
+    """As top_k, among the rows that have the query's value of by (an integer); others aren't compared."""
     queries = queries.where("embedding IS NOT NULL")
-    number = queries.count()
-    parts = queries.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(-(-number // BLOCK) or 1)))
+    blocks = max(-(-queries.count() // BLOCK), 1)
+    parts = queries.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    own = rows.where("embedding IS NOT NULL").where(dot("embedding", "embedding") > 0).select("id", "embedding", F.col(by).cast("long").alias("by"))
     out = None
-    for b in range(-(-number // BLOCK) or 1):
-        held = parts.where(F.col("_block") == b).select("id", "embedding").toPandas()  # about BLOCK queries
-        ids = held["id"].to_numpy()
-        matrix = _unit(held["embedding"])
-
-        def best(batches: Iterator[pd.DataFrame], ids=ids, matrix=matrix) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                own = _unit(batch["embedding"])
-                if not len(own) or not len(matrix):
-                    continue
-                scores = matrix @ own.T
-                near = np.argpartition(-scores, min(k, scores.shape[1]) - 1, axis=1)[:, :k]
-                edge = np.take_along_axis(scores, near, axis=1).min(axis=1)
-                q, r = np.nonzero(scores >= edge[:, None] - 1e-12)  # with all ties
-                keep = ~np.isnan(scores[q, r])
-                yield pd.DataFrame({"query_id": ids[q][keep], "row_id": batch["id"].to_numpy()[r][keep], "score": scores[q, r][keep]})
-
-        part = rows.where("embedding IS NOT NULL").where(dot("embedding", "embedding") > 0).select("id", "embedding").mapInPandas(best, "query_id long, row_id long, score double")
+    for b in range(blocks):
+        held = parts.where(F.col("_block") == b).select("id", "embedding", F.col(by).alias("by")).toPandas()  # about BLOCK queries
+        part = own.mapInPandas(_keeper(held["id"].to_numpy(), _unit(held["embedding"]), held["by"].to_numpy(), k), "query_id long, row_id long, score double")
         out = part if out is None else out.union(part)
-    by = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "row_id")
-    return out.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "row_id")
+    return out.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+
+
+def _keeper(ids: np.ndarray, matrix: np.ndarray, by: np.ndarray, k: int):
+    """What keeps a task's best k rows for each query."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # place of the query, row, score
+        for batch in batches:
+            for value in np.intersect1d(batch["by"].to_numpy(), by):
+                rows = batch[batch["by"].to_numpy() == value]
+                units, row_ids, mine = _unit(rows["embedding"]), rows["id"].to_numpy(), np.flatnonzero(by == value)
+                for a in range(0, len(mine), PART):
+                    scores = np.nan_to_num(matrix[mine[a : a + PART]] @ units.T, nan=-2.0)
+                    edge = -np.partition(-scores, min(k, scores.shape[1]) - 1, axis=1)[:, min(k, scores.shape[1]) - 1]
+                    q, r = np.nonzero((scores >= edge[:, None] - 1e-8) & (scores > -2.0))  # with all ties
+                    best = [np.concatenate(x) for x in zip(best, (mine[a + q], row_ids[r], scores[q, r]), strict=True)]
+            order = np.lexsort((best[1], -np.round(best[2], 9), best[0]))
+            best = [x[order] for x in best]
+            rank = np.arange(len(best[0])) - np.searchsorted(best[0], best[0])
+            best = [x[rank < k] for x in best]
+        yield pd.DataFrame({"query_id": ids[best[0]], "row_id": best[1], "score": best[2]})
+
+    return run
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:

@@ -71,6 +71,11 @@ VIEWS = {
     "strong": "SELECT *, coalesce(vector_similarity, -1) >= 0.25 OR hybrid_score >= 0.06 OR lexical_norm >= 0.12 OR kag_norm >= 0.12 AS s FROM fused",
     "kept": "SELECT * EXCLUDE (s) FROM strong QUALIFY s OR NOT bool_or(s) OVER (PARTITION BY query_id)",
     "page": r"SELECT page_id, regexp_replace(" + "regexp_replace(" * 10 + r"html, '<script\b[^>]*>.*?</script>', ' ', 'gis'), '<style\b[^>]*>.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'g'), '&quot;?', '" + '"' + r"', 'g'), '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&nbsp;?', ' ', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&#39;?', '''', 'g'), '&amp;?', '&', 'g') AS t FROM pages",
+    "element": f"""SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos, kind, content FROM (SELECT page_id, i, CASE lower(split_part(part, chr(2), 1)) WHEN 'p' THEN 'paragraph' WHEN 'li' THEN 'list' ELSE 'title' END AS kind,
+        {strip("regexp_replace(regexp_replace(split_part(split_part(split_part(part, chr(2), 2), '</ul>', 1), '</article>', 1), '<[^>]*>', ' ', 'g'), '[[:space:]]+', ' ', 'g')")} AS content
+        FROM (SELECT page_id, unnest(x) AS part, generate_subscripts(x, 1) AS i FROM (SELECT page_id, string_split(regexp_replace(html, '<(h[1-6]|p|li)([[:space:]][^>]*)?>', chr(1) || '\\1' || chr(2), 'gi'), chr(1))[2:] AS x FROM pages))) WHERE content <> ''""",
+    "headed": """SELECT page_id, pos, kind, content, heading, dense_rank() OVER (PARTITION BY page_id ORDER BY first) - 1 AS section FROM (SELECT *, min(pos) OVER (PARTITION BY page_id, heading) AS first FROM
+        (SELECT *, coalesce(last_value(CASE WHEN kind = 'title' THEN content END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '__no_heading__') AS heading FROM element) WHERE kind <> 'title')""",
     "folder": "SELECT user_id AS folder_id, CASE WHEN user_id > 0 THEN user_id // 4 END AS parent_id, 'f' || user_id AS name FROM (SELECT DISTINCT user_id FROM events UNION SELECT 0)",
     "up": "SELECT f.folder_id, f.folder_id AS ancestor_id, 0 AS distance FROM folder f UNION ALL SELECT u.folder_id, f.parent_id, u.distance + 1 FROM up u JOIN folder f ON f.folder_id = u.ancestor_id WHERE f.parent_id IS NOT NULL AND f.parent_id IN (SELECT folder_id FROM folder)",
 }

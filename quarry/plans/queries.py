@@ -177,9 +177,9 @@ def html_text(s, d):
     return V.table(s, d, "pages").select("page_id", T.html_text("html").alias("text"))
 
 
-@query(f"SELECT doc_id, {O.normalized('left(text, 80)')} AS name FROM documents")
+@query(f"SELECT doc_id, {O.normalized('text')} AS name FROM documents")
 def normalize_names(s, d):
-    return V.table(s, d, "documents").select("doc_id", T.normalize_name(F.substring("text", 1, 80)).alias("name"))
+    return V.table(s, d, "documents").select("doc_id", T.normalize_name("text").alias("name"))
 
 
 @query(f"SELECT item_id, array_to_string({O.terms('text')}, ' ') AS terms, len({O.terms('text')}) AS n_terms FROM benchmark")

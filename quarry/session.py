@@ -1,4 +1,4 @@
-"""What a session needs so that its Python workers find this package."""
+"""What a session needs: its workers find this package, and lineage is cut in the shared folder."""
 
 from __future__ import annotations
 
@@ -6,11 +6,28 @@ import os
 import shutil
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder of the cluster, spark.checkpoint.dir; one of our own only where none is set and all is on one machine, as in tests."""
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="spark-"))
+    return spark.conf.get("spark.checkpoint.dir")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder and cuts its lineage."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package to the executors, unless they find it by PYTHONPATH or the working folder."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

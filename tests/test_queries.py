@@ -9,7 +9,7 @@ import os
 import duckdb
 import pytest
 
-from quarry.plans import queries
+from quarry.plans import more, queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
