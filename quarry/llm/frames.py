@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from quarry.session import cut, shared_dir  # noqa: F401
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -18,21 +19,6 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; one of our own only where none is set, as in tests."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="spark-"))
-    return spark.conf.get("spark.checkpoint.dir")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and cuts its lineage."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> DataFrame:
     """Writes df as a Parquet table to the shared folder and reads it back."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
