@@ -10,32 +10,37 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quarry.functions import text as T
 
 
-def _starts(n: Column, size: Column, step: Column) -> Column:
-    """Starts of windows: the last one is the first that reaches the end."""
-    count = F.when(n <= size, 1).otherwise(F.ceil((n - size) / step) + 1)
-    return F.transform(F.sequence(F.lit(0), count.cast("int") - 1), lambda i: i * step)
+def _windows(text: Column, size: Column, step: Column, trim: bool = True) -> Column:
+    """Windows as an array of start_char, end_char (untrimmed), content; the last is the first that reaches the end. They overlap by a step at most.
 
+    The text is cut into steps in one pass, and each window is a step and the start of the next.
+    """
+    steps = F.regexp_extract_all(text, F.concat(F.lit("(?s).{1,"), step.cast("string"), F.lit("}")), F.lit(0))
+    joined = F.zip_with(steps, F.slice(steps, 2, F.greatest(F.size(steps), F.lit(1))), lambda p, q: F.concat(p, F.coalesce(q.substr(F.lit(1), size - step), F.lit(""))))
+    n = F.length(text)
+    count = F.when(n <= size, 1).otherwise(F.ceil((n - size) / step) + 1).cast("int")
+    return F.transform(F.slice(joined, F.lit(1), count), lambda w, i: F.struct((i * step).cast("long").alias("start_char"), F.least(i * step + size, n).cast("long").alias("end_char"), (T.strip(w) if trim else w).alias("content")))
 
-def fixed_windows(docs: DataFrame, size: int | Column, overlap: int | Column, text: str = "content", order: str | None = None) -> DataFrame:
-    """docs, with text replaced by trimmed windows: chunk_index, start_char, end_char (untrimmed). Blank windows go."""
-    size = F.lit(size) if isinstance(size, int) else size
-    overlap = F.lit(overlap) if isinstance(overlap, int) else overlap
+
+def _full(windows: Column) -> Column:
+    return F.filter(windows, lambda w: w["content"] != "")
+
+
+def fixed_windows(docs: DataFrame, size: int, overlap: int, text: str = "content") -> DataFrame:
+    """docs, with text replaced by trimmed windows: chunk_index, start_char, end_char (untrimmed). Blank windows go. No shuffle; overlap is half of size at most."""
     key = [c for c in docs.columns if c != text]
-    rows = docs.where(F.length(text) > 0).select(*key, text, F.length(text).alias("_n"), size.alias("_size"), (size - overlap).alias("_step"))
-    rows = rows.select("*", F.explode(_starts(F.col("_n"), F.col("_size"), F.col("_step"))).alias("start_char"))
-    part = T.strip(F.substring(F.col(text), F.col("start_char") + 1, F.col("_size")))
-    rows = rows.select(*key, part.alias(text), F.col("start_char").cast("long").alias("start_char"), F.least(F.col("start_char") + F.col("_size"), F.col("_n")).cast("long").alias("end_char")).where(F.col(text) != "")
-    by = Window.partitionBy("document_id").orderBy(*([order] if order else []), "start_char")
-    return rows.withColumn("chunk_index", F.row_number().over(by).cast("long") - 1)
+    windows = _full(_windows(F.col(text), F.lit(size), F.lit(size - overlap)))
+    rows = docs.where(F.length(text) > 0).select(*key, F.posexplode(windows).alias("chunk_index", "_w"))
+    return rows.select(*key, F.col("_w.content").alias(text), "_w.start_char", "_w.end_char", F.col("chunk_index").cast("long").alias("chunk_index"))
 
 
 def sliding_windows(blocks: DataFrame, size: int, overlap: int, text: str = "content") -> DataFrame:
     """Windows of blocks that are longer than size, untrimmed: window_index, window_count, content."""
     overlap = max(0, min(overlap, size // 2))
     key = [c for c in blocks.columns if c != text]
-    rows = blocks.where(F.length(text) > size).withColumn("_starts", _starts(F.length(text), F.lit(size), F.lit(size - overlap)))
-    rows = rows.select(*key, text, F.size("_starts").cast("long").alias("window_count"), F.posexplode("_starts").alias("window_index", "_at"))
-    return rows.select(*key, F.col("window_index").cast("long").alias("window_index"), "window_count", F.substring(F.col(text), F.col("_at") + 1, F.lit(size)).alias(text))
+    rows = blocks.where(F.length(text) > size).select(*key, _windows(F.col(text), F.lit(size), F.lit(size - overlap), trim=False).alias("_w"))
+    rows = rows.select(*key, F.size("_w").cast("long").alias("window_count"), F.posexplode("_w").alias("window_index", "_x"))
+    return rows.select(*key, F.col("window_index").cast("long").alias("window_index"), "window_count", F.col("_x.content").alias(text))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -45,10 +50,18 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 
 def adaptive(docs: DataFrame) -> DataFrame:
-    """Windows of paragraphs whose size and overlap depend on the paragraph's class."""
-    rows = paragraphs(docs).withColumn("content_type", T.content_class("content"))
-    by = lambda procedure, normative, other: F.when(F.col("content_type") == "procedure", procedure).when(F.col("content_type") == "normative", normative).otherwise(other)
-    return fixed_windows(rows, by(900, 2000, 4000), by(225, 200, 600), order="part")
+    """Windows of paragraphs whose size and overlap depend on the paragraph's class: document_id, part, content_type, content, start_char, end_char, chunk_index. No shuffle."""
+    by = lambda kind, procedure, normative, other: F.when(kind == "procedure", procedure).when(kind == "normative", normative).otherwise(other)
+    parts = F.transform(F.split(F.coalesce("content", F.lit("")), r"\n\s*\n+"), lambda p, i: F.struct(i.cast("long").alias("part"), T.strip(p).alias("content")))
+    parts = F.transform(F.filter(parts, lambda p: p["content"] != ""), lambda p: F.struct(p["part"].alias("part"), T.content_class(p["content"]).alias("kind"), p["content"].alias("content")))
+    rows = docs.select("document_id", parts.alias("_parts"))
+
+    def cut(p: Column) -> Column:
+        size, step = by(p["kind"], 900, 2000, 4000), by(p["kind"], 675, 1800, 3400)
+        return F.transform(_full(_windows(p["content"], size, step)), lambda w: F.struct(p["part"].alias("part"), p["kind"].alias("content_type"), w["content"].alias("content"), w["start_char"].alias("start_char"), w["end_char"].alias("end_char")))
+
+    rows = rows.select("document_id", F.posexplode(F.flatten(F.transform("_parts", cut))).alias("chunk_index", "_w"))
+    return rows.select("document_id", "_w.*", F.col("chunk_index").cast("long").alias("chunk_index"))
 
 
 def h2_sections(docs: DataFrame) -> DataFrame:

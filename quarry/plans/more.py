@@ -223,14 +223,13 @@ def candidate_names(s, d):
     return found.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 5").drop("seen")
 
 
-@query(f"""WITH q5 AS (SELECT query_id, unnest(list_filter(w, lambda x, i: list_position(w, x) = i)[1:5]) AS term FROM (SELECT query_id, list_filter(regexp_extract_all(strip_accents(lower(content)), '[a-z0-9]+'), lambda w: length(w) > 3 AND NOT list_contains({O._STOP}, w)) AS w FROM (SELECT doc_id AS query_id, left(split_part(text, chr(10), 1), 200) AS content FROM documents WHERE doc_id % 50 = 0))),
-    m AS (SELECT * FROM ({O.sql('SELECT * FROM mention')})),
-    ex AS (SELECT query_id, chunk_id, max(relevance) AS score FROM m JOIN q5 ON name = term GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(max(relevance), 9) DESC, chunk_id) <= 15),
-    n AS (SELECT query_id, count(ex.chunk_id) AS n FROM (SELECT DISTINCT query_id FROM q5) LEFT JOIN ex USING (query_id) GROUP BY query_id),
-    pn AS (SELECT DISTINCT query_id, name FROM (SELECT DISTINCT name FROM m) JOIN q5 ON contains(name, term)),
-    pt AS (SELECT query_id, chunk_id, max(relevance) AS score FROM m JOIN pn USING (name) WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.query_id = pn.query_id AND ex.chunk_id = m.chunk_id) GROUP BY ALL)
+@query(f"""SELECT * FROM (WITH q5 AS (SELECT query_id, unnest(list_filter(w, lambda x, i: list_position(w, x) = i)[1:5]) AS term FROM (SELECT query_id, list_filter(regexp_extract_all(strip_accents(lower(content)), '[a-z0-9]+'), lambda w: length(w) > 3 AND NOT list_contains({O._STOP}, w)) AS w FROM question)),
+    ex AS (SELECT query_id, chunk_id, max(relevance) AS score FROM mention JOIN q5 ON name = term GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(max(relevance), 9) DESC, chunk_id) <= 15),
+    few AS (SELECT query_id, count(ex.chunk_id) AS n FROM (SELECT DISTINCT query_id FROM q5) LEFT JOIN ex USING (query_id) GROUP BY query_id),
+    pn AS (SELECT DISTINCT query_id, name FROM (SELECT DISTINCT name FROM mention) JOIN q5 ON contains(name, term)),
+    pt AS (SELECT query_id, m.chunk_id, max(relevance) AS score FROM mention m JOIN pn USING (name) WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.query_id = pn.query_id AND ex.chunk_id = m.chunk_id) GROUP BY ALL)
     SELECT query_id, chunk_id, round(score, 6) AS score, false AS partial FROM ex UNION ALL
-    SELECT query_id, chunk_id, round(score, 6), true FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS r FROM pt JOIN n USING (query_id) WHERE n < 7) WHERE r <= 15 - n""")
+    SELECT query_id, chunk_id, round(score, 6), true FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS r FROM pt JOIN few USING (query_id) WHERE n < 7) WHERE r <= 15 - n)""")
 def partial_names(s, d):
     terms = Q._questions(s, d).select("query_id", F.explode(F.slice(T.meaningful_words("content"), 1, 5)).alias("term"))
     return graph.with_partial_names(terms, V.mention(s, d), 15).select("query_id", "chunk_id", Q._r("score"), "partial")
