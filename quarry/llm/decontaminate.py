@@ -10,7 +10,6 @@ words are looked up whole, by the hash of exactly as many words.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from quarry.llm import words as W
-from quarry.llm.frames import fresh
+from quarry.llm.frames import fresh, stored
 
 SPAN = 13  # words of a window
 K = 5  # words of a hashed gram
@@ -179,9 +178,8 @@ def _joined(docs: DataFrame, bench: DataFrame, name: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.diff(words.bounds)[owner]), pa.array(prints.view(np.int64)), pa.array(at - words.bounds[owner]), batch.column("item").take(pa.array(owner))], names=["k", "print", "at", "owner"])
 
     bench = bench.distinct()
-    held = bench.mapInArrow(item_prints, schema).persist()
+    held = stored(bench.mapInArrow(item_prints, schema))
     short = [r[0] for r in held.where(F.col("k") < SPAN).select("k").distinct().collect()]  # at most 12 numbers
-    held.unpersist()
 
     def doc_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.sliced(batches, "text"):
@@ -216,23 +214,3 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that aren't contaminated, as they are."""
     name = fresh("decontamination", docs.columns)
     return annotate(docs, benchmark).where(~F.col(f"{name}.contaminated")).drop(name)
-
-
-def brute_force(texts: list[str | None], items: list[tuple[object, str | None]]) -> list[tuple[int, int, int, str, bool]]:
-    """The contract's definition word by word, for tests."""
-    import re
-
-    cut = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
-    out = []
-    for text in texts:
-        doc, hit, ids = cut(text), set(), set()
-        for key, item in items:
-            own = cut(item)
-            n = min(SPAN, len(own))
-            wins = {tuple(own[i : i + n]) for i in range(len(own) - n + 1)} if n else set()
-            for i in range(len(doc) - n + 1) if n else ():
-                if tuple(doc[i : i + n]) in wins:
-                    hit |= set(range(i, i + n))
-                    ids.add(str(key))
-        out.append((len(doc), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(doc)))
-    return out

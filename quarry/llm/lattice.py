@@ -31,8 +31,8 @@ from quarry.llm import tokens, words as W
 from quarry.llm.frames import stored
 
 #: Rows of a block of short texts, whose words and counts are in memory together. A text of more than the first size is in a
-#: block of a sixteenth as many rows, so that a block has 32 MB at most; one of more than the second has its own.
-BLOCK_ROWS, SIZES = 2048, (16 << 10, 256 << 10)
+#: block of a sixteenth as many rows, so that a block has 64 MB at most; one of more than the second has its own.
+BLOCK_ROWS, SIZES = 4096, (16 << 10, 128 << 10)
 #: Words of more bytes are scored one by one; their matches are looked up for so many ends at once.
 ALONE, STRETCH = 1024, 1 << 16
 KEPT_WORDS = 2_000_000

@@ -15,12 +15,29 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.annotate(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
     v = "decontamination"
     return out.select("doc_id", *(F.col(f"{v}.{c}") for c in ("n_words", "n_hit", "n_items")), decontaminate.digest(f"{v}.items").alias("items_sha256"), f"{v}.contaminated")
 
 
+OP1_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+s AS (SELECT item, least(13, len(w)) AS k, unnest(list_transform(range(1, len(w) - least(13, len(w)) + 2), lambda i: array_to_string(w[i:i + least(13, len(w)) - 1], ' '))) AS g FROM b WHERE len(w) > 0),
+k AS (SELECT DISTINCT k FROM s),
+g AS (SELECT r, k, unnest(range(1, len(w) - k + 2)) AS i, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g FROM d JOIN k ON len(w) >= k),
+h AS (SELECT r, i, k, item FROM g JOIN s USING (k, g)),
+n AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT r, i, k FROM h)) GROUP BY r),
+m AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN m USING (r)
+"""
+
+
 def op2_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score(_read(spark, sf_dir, "documents"), tokens.vocabulary("piece_bpe_32k.model"))
 
@@ -29,6 +46,20 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+OP3_SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+x AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM d),
+u AS MATERIALIZED (SELECT min(r) AS a, any_value(len(s)) AS n, any_value(s) AS s, k FROM (SELECT r, s, md5(array_to_string(list_sort(s), chr(10))) AS k FROM x WHERE len(s) > 0) GROUP BY k),
+e AS (SELECT a, n, unnest(s) AS h FROM u),
+p AS MATERIALIZED (SELECT l.a, m.a AS b FROM e l JOIN e m ON l.h = m.h AND l.a < m.a AND 5 * least(l.n, m.n) >= 4 * greatest(l.n, m.n) GROUP BY l.a, m.a, l.n, m.n HAVING 5 * count(*) >= 4 * (l.n + m.n - count(*))),
+q AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+c AS (SELECT a, a AS o FROM u UNION SELECT q.b, c.o FROM c JOIN q USING (a)),
+g AS (SELECT a, min(o) AS o FROM c GROUP BY a),
+f AS (SELECT x.r, x.doc_id, len(x.s) AS n, g.o FROM x LEFT JOIN (SELECT k, a FROM u) u ON len(x.s) > 0 AND md5(array_to_string(list_sort(x.s), chr(10))) = u.k LEFT JOIN g USING (a))
+SELECT doc_id, n AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY o) END AS component_id FROM f
+"""
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", *(pii.number_of(k).alias(f"n_{k}") for k in pii.BASE), F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
@@ -77,4 +108,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op3_jaccard_join": OP3_SQL, "op8_exact_dedup": OP8_SQL}

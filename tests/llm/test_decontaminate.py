@@ -1,4 +1,6 @@
+import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,13 +24,31 @@ def corpus(seed=3):
     return texts + [(60, "A a, a " * 40), (61, None), (62, ""), (62, "")], items
 
 
+def brute_force(texts: list[str | None], items: list[tuple[object, str | None]]) -> list[tuple[int, int, int, str, bool]]:
+    """The contract's definition word by word, for tests."""
+    cut = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    out = []
+    for text in texts:
+        doc, hit, ids = cut(text), set(), set()
+        for key, item in items:
+            own = cut(item)
+            n = min(D.SPAN, len(own))
+            wins = {tuple(own[i : i + n]) for i in range(len(own) - n + 1)} if n else set()
+            for i in range(len(doc) - n + 1) if n else ():
+                if tuple(doc[i : i + n]) in wins:
+                    hit |= set(range(i, i + n))
+                    ids.add(str(key))
+        out.append((len(doc), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(doc)))
+    return out
+
+
 @pytest.mark.parametrize("limit", [D.BROADCAST_BYTES, -1])
 def test_same_as_brute_force(spark, limit):
     texts, items = corpus()
     bench = spark.createDataFrame(items, "item_id long, text string")
     out = D.annotate(documents(spark, texts), bench, broadcast_bytes=limit)
     got = out.select("doc_id", "decontamination.*").withColumn("sha", D.digest("items"))
-    want = D.brute_force([t for _, t in texts], [("" if i is None else i, t) for i, t in items])
+    want = brute_force([t for _, t in texts], [("" if i is None else i, t) for i, t in items])
     rows = sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.sha, r.contaminated) for r in got.collect())
     assert rows == sorted((i, *w) for (i, _), w in zip(texts, want, strict=True))
     assert sum(r[5] for r in rows) > 5
