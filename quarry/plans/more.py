@@ -8,6 +8,7 @@ from quarry.functions import text as T
 from quarry.operators import catalog, chunking, extraction, graph, rerank, structure, tables, vectors
 from quarry.plans import oracle as O
 from quarry.plans import queries as Q
+from quarry.plans import retrieval
 from quarry.plans.queries import query
 from quarry.sources import views as V
 
@@ -213,6 +214,25 @@ def rerank_two_stages(s, d):
     return rerank.two_stages(_candidates(s, d), 10, _share).select("query_id", "chunk_id", Q._r("first_score"), Q._r("rerank_score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"""SELECT query_id, document_id, block, row_number() OVER (PARTITION BY query_id ORDER BY best) AS rank, way FROM (WITH
+    c AS (SELECT x.*, document_id, chunk_index, content, row_number() OVER (PARTITION BY query_id ORDER BY round(hybrid_score, 9) DESC, chunk_id) AS place FROM skept x JOIN chunk USING (chunk_id) QUALIFY place <= 45),
+    st AS (SELECT query_id, avg(coalesce(vector_similarity, 0)) >= 0.85 AS stop FROM c WHERE place <= 5 GROUP BY query_id),
+    a AS (SELECT query_id, chunk_id, c.content AS content, terms FROM c JOIN st USING (query_id) JOIN (SELECT query_id, list_distinct({O.terms('content')}) AS terms FROM question) USING (query_id) WHERE NOT stop),
+    a1 AS (SELECT *, {_share_sql('left(content, 800)')} AS s1 FROM a QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s1, 9) DESC, chunk_id) <= 25),
+    a2 AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round({_share_sql('content')}, 9) DESC, chunk_id) AS rank, 'rerank' AS way FROM a1 QUALIFY rank <= 10),
+    b AS (SELECT query_id, chunk_id, place AS rank, 'direct' AS way FROM c JOIN st USING (query_id) WHERE stop AND place <= 10),
+    f AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY n / n_terms DESC, chunk_id DESC) AS rank, 'fallback' AS way FROM (SELECT query_id, chunk_id, n_terms, count(*) AS n FROM (SELECT DISTINCT chunk_id, term FROM posting) JOIN term USING (term)
+        WHERE chunk_id // 1000000 % 5 = query_id % 5 AND query_id NOT IN (SELECT query_id FROM c) GROUP BY ALL) QUALIFY rank <= 10)
+    SELECT query_id, document_id, chunk_index // 4 AS block, min(rank) AS best, min(way) AS way FROM (SELECT * FROM a2 UNION ALL SELECT * FROM b UNION ALL SELECT * FROM f) JOIN chunk USING (chunk_id) GROUP BY ALL)""")
+def answer_passages(s, d):
+    """The whole way from questions to passages, within the questions' spaces."""
+    v, space = Q._vectors(s, d), F.col("document_id") % 5
+    q = Q._questions(s, d).join(v.select(F.col("id").alias("query_id"), "embedding"), "query_id", "left").withColumn("space_id", F.col("query_id") % 5)
+    chunks = V.chunk(s, d).select("chunk_id", "document_id", "chunk_index", "content", space.alias("space_id"))
+    held = v.select((F.col("id") * 1_000_000).alias("id"), "embedding", (F.col("id") % 5).alias("space_id"))
+    return retrieval.answer(q, chunks, held, V.space_mention(s, d), _share)
+
+
 @query("""SELECT query_id, name, n, rank FROM (SELECT query_id, name, count(*) AS n, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, min(v.rank), name) AS rank FROM vtop v JOIN mention m ON m.chunk_id = v.row_id * 1000000 GROUP BY query_id, name) WHERE rank <= 5""")
 def candidate_names(s, d):
     """The names that most of a question's candidates mention; of equals the one first seen."""
@@ -224,7 +244,7 @@ def candidate_names(s, d):
 
 
 @query(f"""SELECT * FROM (WITH q5 AS (SELECT query_id, unnest(list_filter(w, lambda x, i: list_position(w, x) = i)[1:5]) AS term FROM (SELECT query_id, list_filter(regexp_extract_all(strip_accents(lower(content)), '[a-z0-9]+'), lambda w: length(w) > 3 AND NOT list_contains({O._STOP}, w)) AS w FROM question)),
-    ex AS (SELECT query_id, chunk_id, max(relevance) AS score FROM mention JOIN q5 ON name = term GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(max(relevance), 9) DESC, chunk_id) <= 15),
+    ex AS (SELECT query_id, chunk_id, max(relevance) AS score FROM mention JOIN q5 ON name = term GROUP BY query_id, chunk_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(max(relevance), 9) DESC, chunk_id) <= 15),
     few AS (SELECT query_id, count(ex.chunk_id) AS n FROM (SELECT DISTINCT query_id FROM q5) LEFT JOIN ex USING (query_id) GROUP BY query_id),
     pn AS (SELECT DISTINCT query_id, name FROM (SELECT DISTINCT name FROM mention) JOIN q5 ON contains(name, term)),
     pt AS (SELECT query_id, m.chunk_id, max(relevance) AS score FROM mention m JOIN pn USING (name) WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.query_id = pn.query_id AND ex.chunk_id = m.chunk_id) GROUP BY ALL)
@@ -235,6 +255,22 @@ def partial_names(s, d):
     return graph.with_partial_names(terms, V.mention(s, d), 15).select("query_id", "chunk_id", Q._r("score"), "partial")
 
 
+_HOP = """n{h} AS (SELECT query_id, name FROM (SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, min(rank), name) AS r FROM h{p} JOIN mention USING (chunk_id) GROUP BY query_id, name) WHERE r <= 6),
+    h{h} AS (SELECT query_id, chunk_id, {h} AS hop, score, rank FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM
+    (SELECT query_id, chunk_id, max(relevance) AS score FROM mention JOIN n{h} USING (name) WHERE {seen} GROUP BY ALL)) WHERE rank <= 20)"""
+_SEEN = "NOT EXISTS (SELECT 1 FROM h{i} z WHERE z.query_id = n{h}.query_id AND z.chunk_id = mention.chunk_id)"
+
+
+@query(f"""SELECT query_id, chunk_id, hop, round(score, 6) AS score FROM (WITH h0 AS (SELECT query_id, chunk_id, 0 AS hop, score, rank FROM gtop WHERE rank <= 15),
+    {", ".join(_HOP.format(h=h, p=h - 1, seen=" AND ".join(_SEEN.format(i=i, h=h) for i in range(h))) for h in (1, 2, 3))}
+    SELECT * FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hop, rank, chunk_id) <= 80)""")
+def multi_hop(s, d):
+    """Candidates of the graph, and what three hops over their most frequent names add."""
+    held = V.mention(s, d).withColumn("space_id", F.lit(0))
+    names = Q._questions(s, d).select("query_id", F.lit(0).alias("space_id"), F.explode(T.meaningful_words("content")).alias("name"))
+    return graph.hops(graph.retrieve(names, held, 15), held).select("query_id", "chunk_id", "hop", Q._r("score"))
+
+
 @query("""SELECT space_id, alias, min(name) AS name FROM (SELECT DISTINCT space_id, name, left(name, 6) AS alias FROM sm) WHERE length(alias) >= 2 AND alias <> name GROUP BY space_id, alias""")
 def alias_registration(s, d):
     """The first six letters of names as aliases; the first name in order keeps one that several have."""

@@ -80,6 +80,25 @@ VIEWS = {
     "up": "SELECT f.folder_id, f.folder_id AS ancestor_id, 0 AS distance FROM folder f UNION ALL SELECT u.folder_id, f.parent_id, u.distance + 1 FROM up u JOIN folder f ON f.folder_id = u.ancestor_id WHERE f.parent_id IS NOT NULL AND f.parent_id IN (SELECT folder_id FROM folder)",
 }
 
+#: The same within the question's space, one of a document's two.
+VIEWS |= {
+    "sv": "SELECT q.id AS query_id, r.id * 1000000 AS chunk_id, list_cosine_similarity(q.e, r.e) AS score FROM vec q JOIN vec r ON q.id % 5 = r.id % 5 JOIN question ON query_id = q.id QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY round(list_cosine_similarity(q.e, r.e), 9) DESC, r.id) <= 45",
+    "sl": """SELECT * FROM (SELECT query_id, chunk_id, sum(1.0 / (last - start + 1)) AS score FROM cover WHERE chunk_id // 1000000 % 5 = query_id % 5 GROUP BY query_id, chunk_id)
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) <= 45""",
+    "sseed": "SELECT DISTINCT query_id, query_id % 5 AS space_id, name FROM qname",
+    "snear": """SELECT DISTINCT z.query_id, z.space_id, y.name FROM sseed z JOIN sm x ON x.name = z.name AND x.space_id = z.space_id JOIN sm y ON y.space_id = x.space_id AND y.chunk_id = x.chunk_id
+        WHERE NOT EXISTS (SELECT 1 FROM sseed o WHERE o.query_id = z.query_id AND o.name = y.name)""",
+    "sg": """SELECT * FROM (SELECT query_id, chunk_id, min(stage) AS stage, arg_min(r, stage) AS score FROM (SELECT query_id, chunk_id, stage, max(r) AS r FROM
+        (SELECT query_id, chunk_id, relevance AS r, 0 AS stage FROM sm JOIN sseed USING (space_id, name) UNION ALL SELECT query_id, chunk_id, relevance * 0.88, 1 FROM sm JOIN snear USING (space_id, name)) GROUP BY ALL) GROUP BY query_id, chunk_id)
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY stage, round(score, 9) DESC, chunk_id) <= 45""",
+    "ssignals": """SELECT query_id, chunk_id, max(v) AS v, max(l) AS l, max(k) AS k FROM (SELECT query_id, chunk_id, score AS v, NULL AS l, NULL AS k FROM sv
+        UNION ALL SELECT query_id, chunk_id, NULL, score, NULL FROM sl UNION ALL SELECT query_id, chunk_id, NULL, NULL, score FROM sg) GROUP BY ALL""",
+    "sscaled": VIEWS["scaled"].replace("FROM signals", "FROM ssignals"),
+    "sfused": VIEWS["fused"].replace("FROM scaled", "FROM sscaled"),
+    "sstrong": VIEWS["strong"].replace("FROM fused", "FROM sfused"),
+    "skept": VIEWS["kept"].replace("FROM strong", "FROM sstrong"),
+}
+
 
 def sql(body: str) -> str:
     """body after the views that it names, directly or not."""

@@ -273,15 +273,14 @@ def neighbor_expansion(s, d):
     spaces = V.document_space(s, d).select("space_id").distinct()
     names = _questions(s, d).select("query_id", F.explode(T.meaningful_words("content")).alias("name"))
     seeds = names.join(V.space_mention(s, d).select("space_id", "name").distinct().join(spaces, "space_id"), "name").select("query_id", "space_id", "name")
-    edges = graph.co_occurrence(V.space_mention(s, d))
-    return graph.neighbours(edges, seeds).join(names.select("query_id", "name"), ["query_id", "name"], "left_anti").select("query_id", "space_id", "name", "weight")
+    return graph.mentioned_with(V.space_mention(s, d), seeds).join(names.select("query_id", "name"), ["query_id", "name"], "left_anti").select("query_id", "space_id", "name", "weight")
 
 
 @query("SELECT query_id, chunk_id, stage, round(score, 6) AS score, rank FROM gtop WHERE rank <= 15")
 def graph_retrieval(s, d):
     held = V.mention(s, d).withColumn("space_id", F.lit(0))
     names = _questions(s, d).select("query_id", F.lit(0).alias("space_id"), F.explode(T.meaningful_words("content")).alias("name"))
-    return graph.retrieve(names, held, graph.co_occurrence(held), 15).select("query_id", "chunk_id", "stage", _r("score"), F.col("rank").cast("long").alias("rank"))
+    return graph.retrieve(names, held, 15).select("query_id", "chunk_id", "stage", _r("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("""SELECT space_id, chunk_id, count(DISTINCT name) AS shared FROM sm WHERE document_id % 50 <> 0 AND
@@ -354,7 +353,7 @@ def _signals(s, d):
     words = lexical.top_k(q, V.chunk(s, d), 45)
     held = V.mention(s, d).withColumn("space_id", F.lit(0))
     names = q.select("query_id", F.lit(0).alias("space_id"), F.explode(T.meaningful_words("content")).alias("name"))
-    return vector, words, graph.retrieve(names, held, graph.co_occurrence(held), 45)
+    return vector, words, graph.retrieve(names, held, 45)
 
 
 _FUSED = ("query_id", "chunk_id", "vector_similarity", "lexical_norm", "kag_norm", "hybrid_score")

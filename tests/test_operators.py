@@ -102,7 +102,7 @@ def test_graph(spark):
     assert {(r.a, r.b, r.weight) for r in edges.collect()} == {("a", "b", 1), ("b", "c", 1)}
     seeds = spark.createDataFrame([(7, 0, "a")], "query_id long, space_id long, name string")
     assert [r.name for r in graph.neighbours(edges, seeds).collect()] == ["b"]
-    out = graph.retrieve(seeds, m, edges, 10).orderBy("rank").collect()
+    out = graph.retrieve(seeds, m, 10).orderBy("rank").collect()
     assert [(r.chunk_id, r.stage, round(r.score, 2)) for r in out] == [(1, 0, 1.0), (2, 1, 0.88)]
     raw = spark.createDataFrame([(1, "Vis-M4", "x", 0.4, 0), (1, "vis m4", "x", 2.0, 1), (1, "?", "x", 1.0, 2), (1, "Vis M4", "y", None, 3)], "chunk_id long, name string, entity_type string, importance double, pos long")
     assert {(r.name, r.entity_type, r.importance) for r in graph.canonical(raw).collect()} == {("vis m4", "x", 1.0), ("Vis M4", "y", 1.0)}
