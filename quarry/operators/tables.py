@@ -32,6 +32,9 @@ def parse(rows: DataFrame, text: str = "content") -> DataFrame:
     return rows.withColumn("empty", F.map_from_entries(F.filter(empty, lambda e: F.size(e["col2"]) > 0))).drop("_lines", "_raw")
 
 
+#: The words of row texts and summaries are those that readers of the tables expect: col, [vide], [décalage probable], Tableau, Ligne, p., →.
+
+
 def row_text(headers: Column, line: Column, number: Column, total: Column, heading: Column, caption: Column, page: Column, suspicious: Column) -> Column:
     """A row as a sentence that repeats its headers."""
     pairs = F.transform(F.arrays_zip(headers.alias("h"), line.alias("c")), lambda x, i: F.concat(F.lit("col"), (i + 1).cast("string"), F.when(x["h"] != "", F.concat(F.lit(":"), x["h"])).otherwise(""), F.lit("="), F.when(x["c"] != "", x["c"]).otherwise("[vide]")))
