@@ -206,7 +206,11 @@ def annotate(docs: DataFrame, path: str, limit: int = LIMIT, out: str = "tokens"
 
 
 def prefix_table(docs: DataFrame, path: str, out: str = "prefix_tokens") -> DataFrame:
-    """docs with an array: the token count of each prefix, from one code point to all of the text."""
+    """docs with an array: the token count of each prefix, from one code point to all of the text.
+
+    A null or empty text has an empty array. Rows, repeated ones too, and other columns stay as they are; a clashing name gets
+    underscores; an empty table gives no rows. A very long text has as long an array.
+    """
 
     def make(n_bytes: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(counts.astype(np.int32)))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quarry.llm.frames import LETTERS, cut, fresh, stored
 
 BLOCK_BYTES = 8192
+CHANGED = "the documents were read in another order than before"
 
 
 def normalised(text: Column) -> Column:
@@ -34,8 +35,8 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """For each row of docs: rid, doc_id, keep_id, keep_rid, group_size, kept, text_sha256.
 
     rid is monotonically_increasing_id() over docs, which must give the same
-    rows in the same order when read again, as tables do. Null texts equal
-    empty ones. Of equal texts the row with the largest doc_id stays (null is
+    rows in the same order when read again, as tables do; a block that isn't what
+    it was is an error. Null texts equal empty ones. Of equal texts the row with the largest doc_id stays (null is
     the smallest), of repeated rows with that doc_id the last read. Any number
     of blocks is named, in as many rounds as the logarithm of the longest text.
     """
@@ -52,9 +53,10 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     shared = occurrences.select("rid", "pos", "last", "oid", "h").join(again, "h")
     whole = cut(shared.groupBy("rid").agg(F.count("*").alias("n"), F.first("last").alias("last")).where("n = last + 1").select("rid"))
     contents = texts.select("rid", F.col("norm").cast("binary").alias("body")).join(whole, "rid", "left_semi")
-    contents = _blocks(contents, block_bytes).withColumn("h", F.xxhash64("block"))
-    numbers = occurrences.select("rid", "pos", "oid")
-    contents = stored(contents.join(numbers, ["rid", "pos"]))
+    contents = _blocks(contents, block_bytes)
+    numbers = occurrences.select("rid", "pos", "oid", "h")
+    same = F.when(F.xxhash64("block") == F.col("h"), F.col("h")).otherwise(F.raise_error(F.lit(CHANGED)))
+    contents = stored(contents.join(numbers, ["rid", "pos"]).withColumn("h", same))
     names = cut(contents.groupBy("h", "block").agg(F.min("oid").alias("name")))
     level = cut(contents.join(names, ["h", "block"]).select("rid", "pos", "last", "oid", "name"))
 
@@ -86,6 +88,7 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 def deduplicate(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs that stay, as they are."""
-    rid = fresh("rid", docs.columns)
-    dropped = identities(docs, block_bytes).where("not kept").select(F.col("rid").alias(rid))
-    return docs.withColumn(rid, F.monotonically_increasing_id()).join(dropped, rid, "left_anti").drop(rid)
+    rid, gone = fresh("rid", docs.columns), fresh("gone", docs.columns)
+    dropped = identities(docs, block_bytes).where("not kept").select(F.col("rid").alias(rid), F.struct("doc_id").alias(gone))
+    stays = F.when(F.col(gone).isNull(), True).when(F.col(f"{gone}.doc_id").eqNullSafe(F.col("doc_id")), False).otherwise(F.raise_error(F.lit(CHANGED)))
+    return docs.withColumn(rid, F.monotonically_increasing_id()).join(dropped, rid, "left").where(stays).drop(rid, gone)

@@ -167,5 +167,12 @@ def test_pipeline(spark, folder):
     pieces_are_right(rows, kept)
 
 
+def test_pipeline_of_an_empty_table(spark, folder, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{folder[0]}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_every_query_is_tested():
     assert set(TYPES) == set(queries.queries())
