@@ -1,4 +1,9 @@
-"""The corpus pipeline: documents through five stages, each written as Parquet and read again by the next."""
+"""The corpus pipeline: documents through five stages, each written as Parquet and read again by the next.
+
+Null texts count as empty in every stage, so of all of them one row stays; null doc_ids are kept as such. Of repeated rows one
+stays. All but the last stage return the columns of documents, extra ones too. Empty tables give no rows. Texts of any length
+are read whole. What the stages leave in the shared folder isn't deleted, as the result is read from there.
+"""
 
 from __future__ import annotations
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import catalog, chunking, fusion, graph, parents, tables, vectors
+from quarry.operators import catalog, chunking, extraction, fusion, graph, parents, tables, vectors
 from quarry.streaming import status
 
 
@@ -148,3 +148,29 @@ def test_awkward_tables(spark):
     for f in (lambda d: chunking.fixed_windows(d, 10, 2), lambda d: chunking.sliding_windows(d, 10, 2), chunking.adaptive, chunking.h2_sections, chunking.sentence_chunks, tables.parse):
         assert f(empty).count() == 0
         f(docs(spark, None, "", " ", "été " * 50)).count()
+
+
+def test_folders_at_any_depth(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i > 1 else None, f"n{i}") for i in range(1, 41)] + [(50, 51, "x"), (51, 50, "y"), (52, 50, "z")], "folder_id long, parent_id long, name string")
+    paths = {r.folder_id: (r.path, r.depth) for r in catalog.paths(chain).collect()}
+    assert paths[40] == ("/".join(f"n{i}" for i in range(1, 41)), 39)
+    assert {r.ancestor_id for r in catalog.ancestors(chain).where("folder_id = 52").collect()} == {50, 51, 52}  # a cycle ends
+    moves = spark.createDataFrame([(1, 40), (40, 1), (50, 51)], "folder_id long, target_id long")
+    assert {(r.folder_id, r.target_id): r.allowed for r in catalog.move_allowed(chain, moves).collect()} == {(1, 40): False, (40, 1): True, (50, 51): False}
+    left, docs = catalog.after_delete(chain, chain.select("folder_id"), spark.createDataFrame([(3,)], "folder_id long"))
+    assert {r.folder_id for r in left.collect()} == {1, 2, 50, 51, 52} == {r.folder_id for r in docs.collect()}
+
+
+def test_extraction(spark):
+    texts = ['```json\n[{"name": " A b ", "type": "Norme_Doc", "importance": 0.2}, {"name": "x", "type": "norme_doc"}, {"name": "cc", "type": "other"}, {"name": "dd", "type": "regle_pose", "importance": 7}]\n```', "so: [1, 2", None, "[]"]
+    out = [r.e for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(extraction.entities("t").alias("e")).collect()]
+    assert [tuple(x) for x in out[0]] == [("A b", "norme_doc", 1.0), ("dd", "regle_pose", 1.0)] and not out[1] and not out[2] and out[3] == []
+    rows = spark.createDataFrame([(1, "a"), (2, " "), (3, None), (4, "bad"), (5, "cd")], "id long, content string").coalesce(1)
+
+    def embedder(batch):
+        if "bad" in batch:
+            raise ValueError("no")
+        return [[float(len(t))] for t in batch]
+
+    found = {r.id: r.embedding for r in extraction.embed(rows, embedder, batch=1, tries=2, wait=0).collect()}
+    assert found == {1: [1.0], 2: None, 3: None, 4: None, 5: [2.0]}
