@@ -91,7 +91,7 @@ def votes(docs: DataFrame, places: DataFrame, k: int = K, broadcast_rows: int =
     rows = rows.select("rid", "doc_id", "words", F.size("words").cast("long").alias("n_words"))  # the runs' rows don't carry the words
     none = F.struct(F.size("words").alias("pos"), F.lit(None).cast("string").alias("gram"))  # keeps documents without votes
     rows = rows.select("rid", "doc_id", "n_words", F.explode(F.concat(grams("words", k), F.array(none))).alias("x"))
-    rows = rows.select("rid", "doc_id", "n_words", F.col("x.pos").cast("long").alias("pos"), F.col("x.gram").alias("gram"), F.coalesce(F.xxhash64("x.gram"), F.lit(NONE)).alias("h"))
+    rows = rows.select("rid", "doc_id", "n_words", F.col("x.pos").cast("long").alias("pos"), F.col("x.gram").alias("gram"), F.when(F.col("x.gram").isNull(), F.lit(NONE)).otherwise(F.xxhash64("x.gram")).alias("h"))
     held = places.select(F.xxhash64("gram").alias("h"), F.col("gram").alias("held"), "template", "label", "base", "votes", "at")
     empty = docs.sparkSession.range(1).select(F.lit(NONE).cast("long").alias("h"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in held.schema.fields[1:]))
     if places.limit(broadcast_rows + 1).count() <= broadcast_rows:
