@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarry.functions import text as T
 from quarry.operators import fusion, graph, lexical, rerank, vectors
+from quarry.session import cut
 
 
 def retrieve(questions: DataFrame, documents: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame, mentions: DataFrame, k: int = 15, over: int = 3) -> DataFrame:
@@ -48,7 +49,7 @@ def answer(questions: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame, me
     texts = chunks.select("chunk_id", "document_id", "chunk_index", "content").dropDuplicates(["chunk_id"])
     kept = fusion.keep_strong(fusion.fuse(vector, words, linked)).join(texts, "chunk_id")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("hybrid_score", 9)), "chunk_id")
-    kept = kept.withColumn("place", F.row_number().over(order)).where(F.col("place") <= pool)
+    kept = cut(kept.withColumn("place", F.row_number().over(order)).where(F.col("place") <= pool))  # few rows, read four times
     stop = fusion.early_stop(kept.select("query_id", F.col("place").alias("rank"), F.coalesce("vector_similarity", F.lit(0.0)).alias("score")), 5).select("query_id", "stop")
     kept = kept.join(stop, "query_id")
     asked = kept.where("NOT stop").join(questions.select("query_id", F.col("content").alias("query")), "query_id").select("query_id", "query", "chunk_id", "content", F.col("hybrid_score").alias("score"))
