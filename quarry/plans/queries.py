@@ -118,7 +118,18 @@ def h2_sections(s, d):
     return chunking.h2_sections(lines).drop("end_char")
 
 
-@query(None)
+def _last(mark: str) -> str:
+    """Where a mark stands last in a piece p, from 0; -1 if nowhere."""
+    return f"CASE WHEN contains(p, {mark}) THEN length(p) - strpos(reverse(p), reverse({mark})) - length({mark}) + 1 ELSE -1 END"
+
+
+_STOP = "greatest(" + ", ".join(f"({_last(m)})" for m in ("'. '", "'! '", "'? '", "chr(10) || chr(10)")) + ")"
+_PIECE = f"(SELECT document_id, t, k, s, CASE WHEN {_STOP} > 400 THEN {_STOP} + 1 WHEN ({_last(chr(39) + ' ' + chr(39))}) > 450 THEN ({_last(chr(39) + ' ' + chr(39))}) ELSE 500 END AS n FROM (SELECT *, substr(t, s + 1, 500) AS p FROM r WHERE s + 500 < length(t)))"
+
+
+@query(f"""SELECT document_id, chunk_index, content FROM (WITH RECURSIVE r AS (SELECT document_id, content AS t, 0 AS k, CAST(0 AS BIGINT) AS s FROM doc WHERE length(content) > 500 UNION ALL SELECT document_id, t, k + 1, s + n - 50 FROM {_PIECE}),
+    x AS (SELECT document_id, k, {O.strip("substr(t, s + 1, CAST(n AS BIGINT))")} AS content FROM {_PIECE} UNION ALL SELECT document_id, k, {O.strip("substr(t, s + 1)")} FROM r WHERE s + 500 >= length(t))
+    SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY k) - 1 AS chunk_index, content FROM x WHERE content <> '' UNION ALL SELECT document_id, 0, content FROM doc WHERE length(content) BETWEEN 1 AND 500)""")
 def sentence_chunks(s, d):
     return chunking.sentence_chunks(V.document(s, d))
 
