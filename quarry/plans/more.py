@@ -385,3 +385,22 @@ def model_list(s, d):
     rows = V.table(s, d, "part").groupBy("p_brand").agg(F.collect_set("p_type").alias("t"))
     kept = F.filter("t", lambda x: x.startswith("S") & ~x.contains("PLATED"))
     return rows.select("p_brand", F.array_join(F.array_sort(F.array_union(kept, F.array(F.lit("STANDARD DEFAULT")))), "|").alias("models"))
+
+
+@query(f"""SELECT s.space_id, t.type, coalesce(n, 0) AS n FROM (SELECT DISTINCT space_id FROM ds) s, (SELECT unnest({_TYPES}) AS type) t LEFT JOIN
+    (SELECT space_id, ({_TYPES})[length(name) % 8 + 1] AS type, count(DISTINCT name) AS n FROM sm GROUP BY ALL) c ON c.space_id = s.space_id AND c.type = t.type""")
+def taxonomy_counts(s, d):
+    """Names of each space by all ten classes, those without names too (here: classes by a name's length)."""
+    kinds = F.array(*map(F.lit, extraction.TYPES))
+    held = V.space_mention(s, d).select("space_id", F.element_at(kinds, F.length("name") % 8 + 1).alias("type"), "name").groupBy("space_id", "type").agg(F.count_distinct("name").alias("n"))
+    all_ = V.document_space(s, d).select("space_id").distinct().select("space_id", F.explode(kinds).alias("type"))
+    return all_.join(held, ["space_id", "type"], "left").select("space_id", "type", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("""SELECT document_id, count(*) AS waiting, min(chunk_index) AS first FROM chunk WHERE NOT (chunk_index = 0 AND document_id IN (SELECT vec_id FROM embeddings)) AND document_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY document_id""")
+def embedding_backlog(s, d):
+    """Leaves that wait for a vector, of documents that haven't failed (here: that aren't toxic)."""
+    done = V.table(s, d, "embeddings").select(F.col("vec_id").alias("document_id"), F.lit(0).cast("long").alias("chunk_index"))
+    failed = V.table(s, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("document_id"))
+    rows = V.chunk(s, d).select("document_id", "chunk_index").join(done, ["document_id", "chunk_index"], "left_anti").join(failed, "document_id", "left_anti")
+    return rows.groupBy("document_id").agg(F.count("*").alias("waiting"), F.min("chunk_index").alias("first"))
