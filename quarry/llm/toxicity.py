@@ -273,10 +273,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
     Of each label there are at most sample_rows rows and sample_bytes bytes in
     it, and no row of more than row_bytes; all words of the sample count. Rows
     without id, text or label are left out; of several labels of one id the
-    greatest counts, of several texts of one id the least.
+    greatest counts, of several texts of one id the least. As the sample holds
+    another share of label 1 than all labelled rows, the calibration's constant
+    is moved by the difference of log-odds.
     """
     known = labels.where("toxic IN (0, 1)").where(fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    known = known.join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("draw", F.xxhash64("doc_id"))
+    known = stored(known.join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("draw", F.xxhash64("doc_id")))
+    share = {r.label: r["count"] for r in known.groupBy("label").count().collect()}  # two rows
     drawn = [known.where(F.col("label") == y).orderBy("draw", "doc_id").limit(sample_rows) for y in (0, 1)]
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(drawn[0].union(drawn[1])), "doc_id")
     rows = rows.where(F.octet_length("text") <= row_bytes).groupBy("doc_id", "label", "draw").agg(F.min("text").alias("text"))
@@ -288,7 +291,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
             ids.append((r.doc_id,))
     chosen = rows.sparkSession.createDataFrame(ids, "doc_id long")
     found = rows.join(F.broadcast(chosen), "doc_id").orderBy("draw", "doc_id").select("text", "label").collect()  # 2 * sample_bytes at most
-    return train(pa.array([r[0] for r in found], type=pa.string()), np.array([r[1] for r in found], np.int64))
+    drawn_labels = np.array([r[1] for r in found], np.int64)
+    model = train(pa.array([r[0] for r in found], type=pa.string()), drawn_labels)
+    ones = int(drawn_labels.sum())
+    if 0 < ones < len(drawn_labels):
+        model.calibration[0] += np.log(share[1] / share[0]) - np.log(ones / (len(drawn_labels) - ones))
+    return model
 
 
 def annotate(docs: DataFrame, model: Model, out: str = "toxicity") -> DataFrame:
