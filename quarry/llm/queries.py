@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import counts, decontaminate, dedup, jaccard, lattice, licenses, packing, pfor, pii, tokens, toxicity
+from quarry.llm import counts, decontaminate, dedup, jaccard, lattice, licenses, minhash, packing, pfor, pii, tokens, toxicity
 from quarry.llm.frames import shared_dir
 
 
@@ -103,9 +103,17 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+OP11_SQL = OP3_SQL.replace("5 * least(l.n, m.n) >= 4 * greatest(l.n, m.n)", "20 * least(l.n, m.n) >= 17 * greatest(l.n, m.n)").replace("5 * count(*) >= 4 * (l.n + m.n - count(*))", "20 * count(*) >= 17 * (l.n + m.n - count(*))")
+OP11_SQL = f"SELECT *, doc_id = component_id AS kept FROM ({OP11_SQL})"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_lattice_score, op3_jaccard_join, op4_personal_data, op5_binary_output, op6_token_counts, op7_packing, op8_exact_dedup, op9_toxicity, op10_license_scan)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_lattice_score, op3_jaccard_join, op4_personal_data, op5_binary_output, op6_token_counts, op7_packing, op8_exact_dedup, op9_toxicity, op10_license_scan, op11_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op3_jaccard_join": OP3_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op3_jaccard_join": OP3_SQL, "op8_exact_dedup": OP8_SQL, "op11_minhash": OP11_SQL}
