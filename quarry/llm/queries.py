@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import counts, decontaminate, dedup, jaccard, lattice, licenses, minhash, packing, pfor, pii, tokens, toxicity
+from quarry.llm import counts, decontaminate, dedup, jaccard, lattice, licenses, minhash, packing, pfor, pii, resample, tokens, toxicity
 from quarry.llm.frames import shared_dir
 
 
@@ -111,9 +111,37 @@ OP11_SQL = OP3_SQL.replace("5 * least(l.n, m.n) >= 4 * greatest(l.n, m.n)", "20
 OP11_SQL = f"SELECT *, doc_id = component_id AS kept FROM ({OP11_SQL})"
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample.annotate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: The bytes of each distinct word go through the table of CRC32.
+_CRC_TABLE = "range(0, 256)"
+for _ in range(8):
+    _CRC_TABLE = f"list_transform({_CRC_TABLE}, lambda n: CASE WHEN n & 1 = 1 THEN xor(n >> 1, 3988292384) ELSE n >> 1 END)"
+OP12_SQL = f"""
+WITH k AS MATERIALIZED (SELECT {_CRC_TABLE} AS t),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+dw AS MATERIALIZED (SELECT r, unnest(w) AS w FROM d),
+bw AS MATERIALIZED (SELECT unnest(w) AS w FROM b),
+x AS (SELECT w, list_prepend(4294967295, list_transform(range(1, length(hex(w)), 2), lambda i: CAST('0x' || substr(hex(w), i, 2) AS BIGINT))) AS bytes FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+c AS MATERIALIZED (SELECT w, xor(list_reduce(bytes, lambda c, y: xor(c >> 8, t[CAST(xor(c, y) & 255 AS BIGINT) + 1])), 4294967295) % 10000 AS bucket FROM x, k),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN c USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM bw JOIN c USING (w) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) * ((SELECT count(*) FROM dw) + 10000) AS DOUBLE) / CAST((s + 1) * ((SELECT count(*) FROM bw) + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket)),
+m AS (SELECT r, CAST(sum(gain) AS BIGINT) AS total, count(*) AS n FROM dw JOIN c USING (w) JOIN g USING (bucket) GROUP BY r),
+e AS (SELECT doc_id, len(w) AS n_features, CASE WHEN n > 0 THEN CAST((total - ((total % n) + n) % n) // n AS BIGINT) ELSE 0 END AS weight,
+    CAST(floor(-1000 * ln(-ln((CAST('0x' || left(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8) AS BIGINT) + 0.5) / 4294967296.0))) AS BIGINT) AS noise FROM d LEFT JOIN m USING (r)),
+f AS (SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY weight + noise DESC, doc_id) END AS place FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT count(place) * 10 // 100 FROM f) THEN place END AS rank FROM f
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_lattice_score, op3_jaccard_join, op4_personal_data, op5_binary_output, op6_token_counts, op7_packing, op8_exact_dedup, op9_toxicity, op10_license_scan, op11_minhash)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_lattice_score, op3_jaccard_join, op4_personal_data, op5_binary_output, op6_token_counts, op7_packing, op8_exact_dedup, op9_toxicity, op10_license_scan, op11_minhash, op12_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op3_jaccard_join": OP3_SQL, "op8_exact_dedup": OP8_SQL, "op11_minhash": OP11_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op3_jaccard_join": OP3_SQL, "op8_exact_dedup": OP8_SQL, "op11_minhash": OP11_SQL, "op12_importance_resampling": OP12_SQL}
