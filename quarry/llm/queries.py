@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import counts, decontaminate, dedup, jaccard, lattice, licenses, minhash, packing, pfor, pii, resample, tokens, toxicity
+from quarry.llm import centroids, counts, decontaminate, dedup, jaccard, lattice, licenses, minhash, packing, pfor, pii, resample, tokens, toxicity
 from quarry.llm.frames import shared_dir
 
 
@@ -139,9 +139,26 @@ SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT count(place
 """
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.annotate(_read(spark, sf_dir, "embeddings"))
+
+
+_NEAREST = """a{i} AS MATERIALIZED (SELECT r, vec_id, x, arg_min(k, [d, k]) AS k, min(d) AS d FROM
+    (SELECT r, vec_id, v.x AS x, k, CAST(list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i]))) AS BIGINT) AS d FROM v, c{i} c) GROUP BY r, vec_id, x)"""
+_MOVED = """c{j} AS MATERIALIZED (SELECT c{i}.k AS k, coalesce(m.x, c{i}.x) AS x FROM c{i} LEFT JOIN (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM
+    (SELECT k, i, sum(x) AS s, count(*) AS n FROM (SELECT k, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM a{i}) GROUP BY k, i) GROUP BY k) m ON m.k = c{i}.k)"""
+OP13_SQL = f"""
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(embedding) = 64),
+v AS MATERIALIZED (SELECT r, vec_id, list_transform(e, lambda y: CAST(floor(256 * y) AS BIGINT)) AS x FROM e WHERE len(list_filter(e, lambda y: coalesce(isfinite(y), false))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS k, x FROM v QUALIFY k < 40),
+{", ".join(_NEAREST.format(i=i) + ", " + _MOVED.format(i=i, j=i + 1) for i in range(5))}, {_NEAREST.format(i=5)}
+SELECT vec_id, CAST(a5.k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a5.k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c5.x, ',')) AS centroid_sha256 FROM a5 JOIN c5 ON a5.k = c5.k
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_lattice_score, op3_jaccard_join, op4_personal_data, op5_binary_output, op6_token_counts, op7_packing, op8_exact_dedup, op9_toxicity, op10_license_scan, op11_minhash, op12_importance_resampling)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_lattice_score, op3_jaccard_join, op4_personal_data, op5_binary_output, op6_token_counts, op7_packing, op8_exact_dedup, op9_toxicity, op10_license_scan, op11_minhash, op12_importance_resampling, op13_centroids)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op3_jaccard_join": OP3_SQL, "op8_exact_dedup": OP8_SQL, "op11_minhash": OP11_SQL, "op12_importance_resampling": OP12_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op3_jaccard_join": OP3_SQL, "op8_exact_dedup": OP8_SQL, "op11_minhash": OP11_SQL, "op12_importance_resampling": OP12_SQL, "op13_centroids": OP13_SQL}
