@@ -8,27 +8,24 @@ agree in a share E of their minima, by chance alone in C = 1/16 of them, so
 0.85: pairs from 0.65 on are confirmed on their sets, which decide.
 
 Equal sets (told by 128 bits of hash) are one class, and have one signature.
-Classes that share a band are a bucket. Links are only sought between what
-isn't connected yet: first each class meets the one that leads most of its
-buckets; then, in buckets that hold several components, each component names its
-best estimated pairs with others, four times as many in each round until none
-is left out. So a group of near copies is never expanded into its pairs, and no
-pair that could connect anything is passed over. A bucket of more than a chunk is
-compared as pairs of chunks, each in a task of its own; only signatures go there.
+Classes that share a band are a bucket. Within buckets signatures are compared by
+bit counts; what estimates connect is a cell. To a cell's task its texts go, each
+once, and pairs of close estimate that aren't connected yet are confirmed on
+their sets. Tasks return the links that connect, never the pairs of a group.
+Buckets and cells of more than a chunk are dealt out; see connected().
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.llm import words as W
-from quarry.llm.frames import cut, fresh, salted, stored
-from quarry.llm.jaccard import _add, components, lead, shingles
+from quarry.llm.frames import fresh, salted, stored
+from quarry.llm.jaccard import BROADCAST_IDS, _add, components, lead, shingles
 
 #: Two sets link from so many hundredths of similarity on.
 PERCENT = 85
@@ -36,10 +33,10 @@ BANDS, ROWS, BITS = 32, 5, 4
 MINIMA = BANDS * ROWS
 #: Pairs of a lower estimate aren't confirmed; seven standard deviations below PERCENT.
 LEAST_ESTIMATE = 0.65
-#: Members of a bucket that one task compares.
-CHUNK = 1024
-#: Pairs that a component names in a bucket in the first round.
-NAMED = 8
+#: Members that one task compares, and their shingles; a single longer text is compared whole.
+CHUNK, CHUNK_SHINGLES = 1024, 1 << 20
+#: Members of a dealt cell that go to all of its chunks.
+PIVOTS = 8
 
 _rng = np.random.default_rng(85)
 _FACTORS = _rng.integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -105,122 +102,111 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), -1)
 
 
-def _likely(percent: int):
-    """Of rows with two signatures, those whose estimate and sizes allow a link."""
+def _sets(table: pa.Table) -> list[np.ndarray]:
+    """Shingle sets of the rows, which must be those that the first pass has seen."""
+    out: list[np.ndarray] = []
+    sums: list[np.ndarray] = []
+    for batch in W.sliced(iter(table.select(["text"]).to_batches()), "text"):
+        hashes, bounds = shingles(batch.column("text"))
+        out += [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        sums.append(_add(W.mix(hashes), bounds))
+    if [len(x) for x in out] != table["n"].to_pylist() or not np.array_equal(np.concatenate(sums), table["s1"].to_numpy()):
+        raise ValueError("the documents were read in another order than before")
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            near = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
-            near &= estimates(_matrix(batch.column("signature_a")), _matrix(batch.column("signature_b"))) >= LEAST_ESTIMATE
-            yield batch.filter(pa.array(near)).select(["a", "b", "na", "nb", "sa", "sb"])
 
-    return run
+def _comparer(percent: int, confirm: bool):
+    """What finds links (a, b) of a group: those that connect its members whose estimates, and with confirm whose sets, are near enough.
 
-
-def _named(percent: int, most: int):
-    """What finds pairs (a, b) of a group of a bucket's members between different labels: for each label the most best estimated ones.
-    A row with a = -1 says that others are left out."""
+    role: 0 meets all, 1 and 2 meet each other; members of one label are connected.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("id").combine_chunks()
-        ids, n, label = (table[c].to_numpy() for c in ("id", "n", "label"))
-        signature, chunk, low, high = _matrix(table["signature"]), table["chunk"].to_numpy(), table["low"][0].as_py(), table["high"][0].as_py()
-        left, right = np.flatnonzero(chunk == low), np.flatnonzero(chunk == high)
-        found = []
-        for at in range(0, len(left), 128):
-            mine = left[at : at + 128]
-            estimate = estimates(signature[mine][:, None, :], signature[right][None, :, :])
-            near = (estimate >= LEAST_ESTIMATE) & (label[mine][:, None] != label[right]) & (100 * np.minimum(n[mine][:, None], n[right]) >= percent * np.maximum(n[mine][:, None], n[right]))
-            i, j = np.nonzero(near)
-            found.append((mine[i], right[j], estimate[i, j]))
-        i, j, estimate = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        keep = np.zeros(len(i), dtype=bool)
-        for side in (label[i], label[j]):
-            order = np.lexsort((ids[j], ids[i], -estimate, side))
-            held = side[order]
-            keep[order[np.arange(len(held)) - np.searchsorted(held, held) < most]] = True
-        rest = [-1] if not keep.all() else []
-        a, b = np.minimum(ids[i[keep]], ids[j[keep]]), np.maximum(ids[i[keep]], ids[j[keep]])
-        return pa.table({"a": np.concatenate([a, np.array(rest, np.int64)]).astype(np.int64), "b": np.concatenate([b, np.array(rest, np.int64)]).astype(np.int64)})
+        ids, n, role = (table[c].to_numpy() for c in ("id", "n", "role"))
+        group = np.unique(table["label"].to_numpy(), return_inverse=True)[1]
+        edges: list[tuple[int, int]] = []
+        if group.any():
+            signature, sets = _matrix(table["signature"]), _sets(table) if confirm else []
+            left, right = np.flatnonzero(role != 2), np.flatnonzero(role != 1)
+            if confirm:
+                held, owner = np.concatenate([sets[i] for i in right]), np.repeat(np.arange(len(right)), n[right])
+                order = np.argsort(held, kind="stable")
+                held, owner = held[order], owner[order]
+            for at in range(0, len(left), 128):
+                mine = left[at : at + 128]
+                estimate = estimates(signature[mine][:, None, :], signature[right][None, :, :])
+                near = (estimate >= LEAST_ESTIMATE) & (100 * np.minimum(n[mine][:, None], n[right]) >= percent * np.maximum(n[mine][:, None], n[right]))
+                for i, own in zip(mine, near, strict=True):
+                    place = np.flatnonzero(own & (group[right] != group[i]))
+                    if confirm and len(place):
+                        if len(place) < 16:
+                            common = np.array([W.has(sets[right[j]], sets[i]).sum() for j in place])
+                        else:
+                            low, high = np.searchsorted(held, sets[i]), np.searchsorted(held, sets[i], side="right")
+                            common = np.bincount(owner[W.positions(low, high - low)[0]], minlength=len(right))[place]
+                        place = place[100 * common >= percent * (n[i] + n[right[place]] - common)]
+                    if len(place):
+                        met, first = np.unique(group[right[place]], return_index=True)
+                        edges += [(ids[i], ids[right[place[x]]]) for x in first]
+                        group[np.isin(group, met)] = group[i]
+        return pa.table({"a": np.array([x for x, _ in edges], np.int64), "b": np.array([x for _, x in edges], np.int64)})
 
     return run
 
 
-def _confirmed(percent: int):
-    """Of rows with two texts, those whose sets link."""
-
-    def sets(batch: pa.RecordBatch, side: str) -> list[np.ndarray]:
-        ids = batch.column(side).to_numpy()
-        first = np.ones(len(ids), dtype=bool)
-        first[1:] = ids[1:] != ids[:-1]
-        at = np.flatnonzero(first)
-        own = batch.take(pa.array(at))
-        hashes, bounds = shingles(own.column(f"text_{side}"))
-        if not (np.array_equal(np.diff(bounds), own.column(f"n{side}").to_numpy()) and np.array_equal(_add(W.mix(hashes), bounds), own.column(f"s{side}").to_numpy())):
-            raise ValueError("the documents were read in another order than before")
-        parts = [hashes[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-        return [parts[i] for i in np.cumsum(first) - 1]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.sliced(batches, "text_b"):
-            common = [int(W.has(x, y).sum()) for x, y in zip(sets(batch, "a"), sets(batch, "b"), strict=True)]
-            both = np.array(common, np.int64)
-            union = batch.column("na").to_numpy() + batch.column("nb").to_numpy() - both
-            yield batch.filter(pa.array(100 * both >= percent * union)).select(["a", "b"])
+def connected(cells: DataFrame, rows: DataFrame, percent: int, confirm: bool, chunk: int = CHUNK) -> DataFrame:
+    """Links (a, b) that connect what is near within a cell.
 
-    return run
-
-
-def links(sets: DataFrame, texts: DataFrame, percent: int = PERCENT, chunk: int = CHUNK, named: int = NAMED) -> DataFrame:
+    cells: cell, id, size; rows: id, n, signature and, to confirm on sets, s1 and text. Both should be tables. Cells of more than
+    a chunk are dealt out in chunks, to each of which some members of the cell go as pivots. What isn't connected with most of its cell
+    then meets all chunks, so the members of a group of near copies don't meet each other.
+    """
+    run, limit = _comparer(percent, confirm), CHUNK_SHINGLES if confirm else 1 << 62
+    columns = [c for c in rows.columns if c != "id"]
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("members"), F.sum("size").alias("total"), F.min("id").alias("least")).where("members > 1")
+    chunks = F.ceil(F.greatest(F.col("members") / chunk, F.least(F.col("total") / limit, F.col("members")))).cast("int")
+    sizes = stored(sizes.select("cell", "members", "least", chunks.alias("chunks")))
+    dealt = stored(salted(cells, sizes, ["cell"], "id").withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int")))
+    is_pivot = (F.col("id") == F.col("least")) | (F.pmod(F.xxhash64("id", F.lit(1)), "members") < PIVOTS)
+    every = F.sequence(F.lit(0), F.col("chunks") - 1)
+    first = dealt.withColumn("chunk", F.explode(F.when((F.col("chunks") > 1) & is_pivot, every).otherwise(F.array("chunk"))))
+    first = first.select("cell", "chunk", "id", F.col("id").alias("label"), F.lit(0).alias("role")).join(rows, "id")
+    near = stored(first.groupBy("cell", "chunk").applyInArrow(run, "a long, b long"))
+    if sizes.where("chunks > 1").isEmpty():
+        return near
+    labels = components(near)
+    large = stored(dealt.where("chunks > 1").join(labels, "id", "left").select("cell", "chunk", "chunks", "id", "size", F.coalesce("label", "id").alias("label")))
+    leading = large.groupBy("cell", "label").count().groupBy("cell").agg(F.max_by("label", F.struct("count", -F.col("label"))).alias("lead"), F.count("*").alias("labels")).where("labels > 1")
+    mixed = stored(salted(large, stored(leading.select("cell", "lead")), ["cell"], "id"))
+    rest = mixed.where("label <> lead")
+    shares = rest.groupBy("cell").agg(F.ceil(F.greatest(F.count("*") / chunk, F.least(F.sum("size") / limit, F.count("*")))).cast("int").alias("shares"))
+    mixed = stored(salted(mixed, stored(shares), ["cell"], "id"))
+    share = F.explode(F.sequence(F.lit(0), F.col("shares") - 1))
+    one = mixed.where("label <> lead").withColumn("share", F.pmod(F.xxhash64("id"), "shares").cast("int")).withColumn("chunk", F.explode(every)).withColumn("role", F.lit(1))
+    two = mixed.withColumn("share", share).withColumn("role", F.lit(2))
+    last = one.unionByName(two).select("cell", "share", "chunk", "id", "label", "role").join(rows.select("id", *columns), "id")
+    return near.union(stored(last.groupBy("cell", "share", "chunk").applyInArrow(run, "a long, b long")))
+
+
+def links(sets: DataFrame, texts: DataFrame, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
     """id, label (the smallest id that is connected) of all classes that link with another.
 
-    sets: id, n, s1, signature, bands; texts: id, text. Both are read in each round, so they should be tables.
+    sets: id, n, s1, signature, bands, a table; texts: id, text.
     """
     held = sets.select("id", F.explode("bands").alias("bucket"))
-    buckets = held.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x2")).where("members > 1")
-    members = stored(salted(stored(held.join(stored(buckets.select("bucket")), "bucket", "left_semi")), stored(buckets), ["bucket"], "id").select("bucket", "id", "head", "members", "x1", "x2"))
-    texts = stored(texts.join(members.select("id").distinct(), "id", "left_semi"))
-    own = stored(sets.select("id", "n", "s1", "signature").join(members.select("id").distinct(), "id", "left_semi"))
-    side = lambda s: own.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("s1").alias(f"s{s}"), F.col("signature").alias(f"signature_{s}"))
-    written = lambda s: texts.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}"))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        both = salted(stored(salted(pairs, side("b"), ["b"], "a")), side("a"), ["a"], "b")
-        likely = stored(both.mapInArrow(_likely(percent), "a long, b long, na long, nb long, sa long, sb long"))
-        both = salted(salted(likely, written("b"), ["b"], "a"), written("a"), ["a"], "b", likely)
-        return stored(both.mapInArrow(_confirmed(percent), "a long, b long"))
-
-    most = members.where("head <> id").groupBy("id", "head").count()
-    pairs = stored(most.groupBy("id").agg(F.max_by("head", F.struct("count", -F.col("head"))).alias("head")).select(F.col("head").alias("a"), F.col("id").alias("b")))
-    tested, found = [pairs], [confirmed(pairs)]
-    while True:
-        labels = components(reduce(DataFrame.union, found))
-        labelled = stored(members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")))
-        mixed = labelled.groupBy("bucket", "members", "x1", "x2").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        mixed = stored(mixed.groupBy("members", "x1", "x2").agg(F.min("bucket").alias("bucket")))  # of buckets with the same members one
-        if mixed.isEmpty():
-            return labels
-        rows = stored(labelled.select("bucket", "id", "label").join(mixed.select("bucket"), "bucket", "left_semi"))
-        rows = salted(rows, mixed.select("bucket", F.ceil(F.col("members") / chunk).cast("int").alias("chunks")), ["bucket"], "id").join(own, "id")
-        rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        rows = rows.select("bucket", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "id", "n", "label", "signature")
-        out = stored(rows.groupBy("bucket", "low", "high").applyInArrow(_named(percent, named), "a long, b long").distinct())
-        pairs = out.where("a >= 0")
-        for before in tested:
-            pairs = pairs.join(before.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = stored(pairs)
-        if not pairs.isEmpty():
-            tested.append(pairs)
-            found.append(confirmed(pairs))
-        if out.where("a < 0").isEmpty():
-            return components(reduce(DataFrame.union, found))
-        named *= 4
-
-
-def classes(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK, named: int = NAMED) -> DataFrame:
+    buckets = stored(held.groupBy("bucket").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x2")).where("members > 1"))
+    once = stored(buckets.groupBy("members", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket"))  # of buckets with the same members one
+    cells = stored(held.join(once, "bucket", "left_semi").select(F.col("bucket").alias("cell"), "id", F.lit(1).alias("size")))
+    likely = components(connected(cells, sets.select("id", "n", "signature"), percent, False, chunk))
+    wanted = likely.select("id")
+    texts = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "id", "left_semi")  # so that others needn't move
+    rows = stored(texts.join(sets.drop("bands"), "id").join(likely, "id"))
+    cells = rows.select(F.col("label").alias("cell"), "id", F.col("n").alias("size"))
+    return components(connected(cells, rows.drop("label"), percent, True, chunk))
+
+
+def classes(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
     """One row for each row of docs: rid, doc_id, n_shingles, component_id, kept, label (one for each group).
 
     rid is monotonically_increasing_id() over docs, which must read the same
@@ -235,7 +221,7 @@ def classes(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK, named:
     same = ["n", "s1", "s2"]
     groups = stored(seen.where("n > 0").groupBy(*same).agg(F.min("rid").alias("id"), F.min("doc_id").alias("smallest")))
     sets = stored(seen.join(groups.select(F.col("id").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("id"), "n", "s1", "signature", "bands"))
-    labels = links(sets, docs.select(F.col("rid").alias("id"), "text"), percent, chunk, named)
+    labels = links(sets, docs.select(F.col("rid").alias("id"), "text"), percent, chunk)
     labelled = groups.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     smallest = stored(labelled.groupBy("label").agg(F.min("smallest").alias("component_id")))
     found = stored(labelled.join(smallest, "label").select(*same, "label", "component_id"))

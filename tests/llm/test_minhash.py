@@ -98,22 +98,35 @@ def test_extra_columns_and_deduplicate(spark):
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 2, 5]
 
 
-@pytest.mark.parametrize(("chunk", "named"), [(1024, 8), (7, 1)])
-def test_groups(spark, chunk, named):
+@pytest.mark.parametrize("chunk", [1024, 7])
+def test_groups(spark, chunk):
     texts = near_copies(70) + near_copies(40, 5, 60, 6) + near_copies(40, 9, 30, 3) + [(i, f"one two three four five six seven {i}") for i in range(9)]
     texts += [(2000 + i, texts[i][1]) for i in range(20)] + [(3000, None), (3001, ""), (None, texts[3][1])]
-    assert found(spark, texts, chunk=chunk, named=named) == sorted(brute(texts), key=key)
+    assert found(spark, texts, chunk=chunk) == sorted(brute(texts), key=key)
 
 
-def test_other_texts_than_before(spark, tmp_path):
-    batch = pa.RecordBatch.from_pydict({"a": [1], "b": [2], "na": [3], "nb": [3], "sa": [0], "sb": [0], "text_a": ["a b c d e f g"], "text_b": ["a b c d e f g"]})
-    with pytest.raises(ValueError):
-        list(minhash._confirmed(85)(iter([batch])))
+def rows_of(texts, **more):
+    """A group as a task gets it."""
+    hashes, bounds = jaccard.shingles(pa.array(texts))
+    low = minhash.minima(hashes, bounds[:-1])
+    n = len(texts)
+    held = {"id": list(range(n)), "n": np.diff(bounds), "s1": minhash._add(minhash.W.mix(hashes), bounds), "signature": [bytes(x) for x in minhash.packed(low)], "text": texts, "label": list(range(n)), "role": [0] * n}
+    return pa.table(held | more)
 
 
-def test_a_pair_is_named_by_either_component():
-    table = pa.table({"bucket": [1] * 4, "low": [0] * 4, "high": [0] * 4, "chunk": [0] * 4, "id": [1, 2, 3, 4], "n": [10] * 4, "label": [1, 1, 3, 4], "signature": [bytes(80)] * 4})
-    out = minhash._named(85, 1)(table).to_pylist()
-    assert {"a": -1, "b": -1} in out and len(out) >= 3
-    assert {(r["a"], r["b"]) for r in minhash._named(85, 9)(table).to_pylist()} == {(1, 3), (1, 4), (2, 3), (2, 4), (3, 4)}
-    assert jaccard.SHINGLE == 5
+def test_other_texts_than_before():
+    with pytest.raises(ValueError):
+        minhash._comparer(85, True)(rows_of(["a b c d e f g", "a b c d e f h"], text=["a b c d e f g", "a b c d e f i"]))
+
+
+def test_a_task_returns_what_connects():
+    texts = [t for _, t in near_copies(60)]
+    found = minhash._comparer(85, True)(rows_of(texts)).to_pylist()
+    sets = [shingle_set(t) for t in texts]
+    link = lambda i, j: 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])
+    assert all(link(r["a"], r["b"]) for r in found)
+    want = brute(list(enumerate(texts)))
+    assert len(found) == len(texts) - len({c for _, _, c in want})
+    assert minhash._comparer(85, True)(rows_of(texts, label=[0] * 60)).num_rows == 0
+    parted = minhash._comparer(85, True)(rows_of(texts, role=[1] * 30 + [2] * 30)).to_pylist()
+    assert parted and all((r["a"] < 30) != (r["b"] < 30) for r in parted)
