@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quarry.functions import text as T
 
 
-def _windows(text: Column, size: Column, step: Column, trim: bool = True) -> Column:
+def windows_of(text: Column, size: Column, step: Column, trim: bool = True) -> Column:
     """Windows as an array of start_char, end_char (untrimmed), content; the last is the first that reaches the end. They overlap by a step at most.
 
     The text is cut into steps in one pass, and each window is a step and the start of the next.
@@ -29,7 +29,7 @@ def _full(windows: Column) -> Column:
 def fixed_windows(docs: DataFrame, size: int, overlap: int, text: str = "content") -> DataFrame:
     """docs, with text replaced by trimmed windows: chunk_index, start_char, end_char (untrimmed). Blank windows go. No shuffle; overlap is half of size at most."""
     key = [c for c in docs.columns if c != text]
-    windows = _full(_windows(F.col(text), F.lit(size), F.lit(size - overlap)))
+    windows = _full(windows_of(F.col(text), F.lit(size), F.lit(size - overlap)))
     rows = docs.where(F.length(text) > 0).select(*key, F.posexplode(windows).alias("chunk_index", "_w"))
     return rows.select(*key, F.col("_w.content").alias(text), "_w.start_char", "_w.end_char", F.col("chunk_index").cast("long").alias("chunk_index"))
 
@@ -38,7 +38,7 @@ def sliding_windows(blocks: DataFrame, size: int, overlap: int, text: str = "con
     """Windows of blocks that are longer than size, untrimmed: window_index, window_count, content."""
     overlap = max(0, min(overlap, size // 2))
     key = [c for c in blocks.columns if c != text]
-    rows = blocks.where(F.length(text) > size).select(*key, _windows(F.col(text), F.lit(size), F.lit(size - overlap), trim=False).alias("_w"))
+    rows = blocks.where(F.length(text) > size).select(*key, windows_of(F.col(text), F.lit(size), F.lit(size - overlap), trim=False).alias("_w"))
     rows = rows.select(*key, F.size("_w").cast("long").alias("window_count"), F.posexplode("_w").alias("window_index", "_x"))
     return rows.select(*key, F.col("window_index").cast("long").alias("window_index"), "window_count", F.col("_x.content").alias(text))
 
@@ -58,7 +58,7 @@ def adaptive(docs: DataFrame) -> DataFrame:
 
     def cut(p: Column) -> Column:
         size, step = by(p["kind"], 900, 2000, 4000), by(p["kind"], 675, 1800, 3400)
-        return F.transform(_full(_windows(p["content"], size, step)), lambda w: F.struct(p["part"].alias("part"), p["kind"].alias("content_type"), w["content"].alias("content"), w["start_char"].alias("start_char"), w["end_char"].alias("end_char")))
+        return F.transform(_full(windows_of(p["content"], size, step)), lambda w: F.struct(p["part"].alias("part"), p["kind"].alias("content_type"), w["content"].alias("content"), w["start_char"].alias("start_char"), w["end_char"].alias("end_char")))
 
     rows = rows.select("document_id", F.posexplode(F.flatten(F.transform("_parts", cut))).alias("chunk_index", "_w"))
     return rows.select("document_id", "_w.*", F.col("chunk_index").cast("long").alias("chunk_index"))
