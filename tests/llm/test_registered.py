@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import queries, tokens
-from tests.llm import test_decontaminate, test_dedup, test_jaccard, test_lattice, test_licenses, test_pii
+from quarry.llm import centroids, queries, resample, tokens
+from tests.llm import test_centroids, test_decontaminate, test_dedup, test_jaccard, test_lattice, test_licenses, test_minhash, test_pii, test_resample
 from tests.llm.common import documents
 
 TYPES = {
@@ -23,6 +23,9 @@ TYPES = {
     "op8_exact_dedup": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
     "op9_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
     "op10_license_scan": "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double",
+    "op11_minhash": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
+    "op12_importance_resampling": "doc_id bigint, n_features bigint, weight bigint, score bigint, rank bigint",
+    "op13_centroids": "vec_id bigint, cluster int, distance bigint, cluster_inertia bigint, inertia bigint, centroid_sha256 string",
 }
 
 
@@ -45,6 +48,9 @@ def folder(spark, tmp_path_factory):
     extra.repartition(3).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     spark.createDataFrame([(i, 1, int("vile" in (t or ""))) for i, t in texts[:90]], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    draw = np.random.default_rng(4)
+    vectors = [(i, (draw.normal(size=64) / 8).tolist()) for i in range(130)] + [(200, None), (201, [1.0] * 63), (202, [float("nan")] * 64), (203, [None] * 64)]
+    spark.createDataFrame(vectors + vectors[:9], "vec_id long, embedding array<float>").write.parquet(f"{path}/embeddings.parquet")
     return str(path), texts, items
 
 
@@ -150,6 +156,25 @@ def test_op10(spark, folder):
     assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in rows)
 
 
+def test_op11(spark, folder):
+    rows = run(spark, folder, "op11_minhash")
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows) == sorted(test_minhash.brute(folder[1]))
+    assert all(r.kept == (r.doc_id == r.component_id) for r in rows) and not all(r.kept for r in rows)
+
+
+def test_op12(spark, folder):
+    rows = run(spark, folder, "op12_importance_resampling")
+    want = test_resample.plain(folder[1], [t for _, t in folder[2]], resample.Plan())
+    assert sorted(((r.doc_id, r.n_features, r.weight, r.score) for r in rows), key=str) == sorted(((i, n, w, x) for i, n, _, w, x, _ in want), key=str)
+    assert {(r.doc_id, r["rank"]) for r in rows if r["rank"]} == {(r[0], r[5]) for r in want if r[5]} and any(r["rank"] for r in rows)
+
+
+def test_op13(spark, folder):
+    rows = run(spark, folder, "op13_centroids")
+    held = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{folder[0]}/embeddings.parquet").collect()]
+    assert sorted(map(tuple, rows), key=str) == test_centroids.plain(held, centroids.Plan()) and len(rows) == 139
+
+
 def test_pipeline(spark, folder):
     """The whole run against the stages' definitions, one after another."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
