@@ -76,15 +76,3 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     x = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
     with np.errstate(invalid="ignore"):
         return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-
-def resolve(entities: DataFrame, least: float = 0.92) -> DataFrame:
-    """Of entities (entity_id, space_id, entity_type, embedding) the earliest one of the same space and type that is more similar than least.
-
-    An entity without such gets itself: canonical_id, similarity. Entities are compared in their block (space, type) only.
-    """
-    left = entities.select("entity_id", "space_id", "entity_type", F.col("embedding").alias("a"))
-    right = entities.select(F.col("entity_id").alias("other"), "space_id", "entity_type", F.col("embedding").alias("b"))
-    near = left.join(right, ["space_id", "entity_type"]).where("other < entity_id").withColumn("similarity", cosine("a", "b")).where(F.col("similarity") > least)
-    best = near.groupBy("entity_id").agg(F.max_by(F.struct("other", "similarity"), F.struct("similarity", -F.col("other"))).alias("x"))
-    return entities.select("entity_id", "space_id").join(best, "entity_id", "left").select("entity_id", "space_id", F.coalesce("x.other", "entity_id").alias("canonical_id"), F.coalesce("x.similarity", F.lit(1.0)).alias("similarity"))

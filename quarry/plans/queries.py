@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quarry.functions import text as T
-from quarry.operators import catalog, chunking, fusion, graph, lexical, parents, tables, vectors
+from quarry.operators import catalog, chunking, fusion, graph, lexical, parents, resolution, tables, vectors
 from quarry.plans import oracle as O
 from quarry.plans import retrieval
 from quarry.sources import views as V
@@ -58,7 +58,7 @@ def vector_topk(s, d):
     FROM vec a LEFT JOIN vec b ON b.id < a.id AND b.id % 5 = a.id % 5 AND b.label = a.label AND list_cosine_similarity(a.e, b.e) > 0.2 GROUP BY a.id""")
 def entity_resolution(s, d):
     rows = _vectors(s, d).select(F.col("id").alias("entity_id"), (F.col("id") % 5).alias("space_id"), F.col("label").alias("entity_type"), "embedding")
-    return vectors.resolve(rows, 0.2).select("entity_id", "space_id", "canonical_id", _r("similarity"))
+    return resolution.resolve(rows, 0.2).select("entity_id", "space_id", "canonical_id", _r("similarity"))
 
 
 @query("SELECT count(*) AS total, count(embedding) AS embedded, count(*) FILTER (len(embedding) = 64) AS whole, min(len(embedding)) AS dims FROM embeddings")
