@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarry.functions import text as T
+from quarry.session import cut
 
 
 def resolve(leaves: DataFrame, nodes: DataFrame, hops: int = 4) -> DataFrame:
@@ -19,6 +20,32 @@ def resolve(leaves: DataFrame, nodes: DataFrame, hops: int = 4) -> DataFrame:
     return out
 
 
+#: Fixed value: what stands between a section's text and the texts of what was climbed over.
+BETWEEN = "\n\n---\n\n"
+
+
+def climb(leaves: DataFrame, nodes: DataFrame, hops: int = 4) -> DataFrame:
+    """leaves (document_id, parent_node_id, and others) with target_id, content and climbed: the first node above that isn't a leaf itself.
+
+    nodes: document_id, node_id, parent_node_id, is_leaf, content. Texts of nodes that were climbed over stand before the target's,
+    the outermost first; blank ones are left out. Where a node is missing, or none is found in so many hops, target_id and content are null. Each
+    parent is climbed from once, however many leaves it has, and a level is only read for those that still climb.
+    """
+    own = nodes.select("document_id", F.col("node_id").alias("_at"), F.col("parent_node_id").alias("_up"), "is_leaf", F.trim(F.coalesce("content", F.lit(""))).alias("_text"))
+    start = leaves.where("parent_node_id IS NOT NULL").select("document_id", "parent_node_id").distinct()
+    open_rows, ended = start.select("document_id", "parent_node_id", F.col("parent_node_id").alias("_at"), F.array().cast("array<string>").alias("_over")), None
+    for hop in range(1, hops + 1):
+        here = cut(open_rows.join(own, ["document_id", "_at"]))
+        text = F.concat_ws(BETWEEN, F.reverse("_over"), F.col("_text"))
+        found = here.where("NOT is_leaf").select("document_id", "parent_node_id", F.col("_at").alias("target_id"), text.alias("content"), F.lit(hop).alias("climbed"))
+        ended = found if ended is None else ended.union(found)
+        over = F.when(F.col("_text") != "", F.concat("_over", F.array("_text"))).otherwise(F.col("_over"))
+        open_rows = here.where("is_leaf AND _up IS NOT NULL").select("document_id", "parent_node_id", F.col("_up").alias("_at"), over.alias("_over"))
+        if open_rows.isEmpty():
+            break
+    return leaves.drop("content").join(ended, ["document_id", "parent_node_id"], "left")
+
+
 def one_each(resolved: DataFrame, page: str = "page_no") -> DataFrame:
     """One row for each question and target: the best leaf's rank and score, the last leaf's page."""
     by = ["query_id", "document_id", "target_id"]

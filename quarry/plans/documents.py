@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from quarry.operators import hierarchy
+from quarry.operators import hierarchy, parents
 from quarry.plans import oracle as O
 from quarry.plans.queries import query
+from quarry.session import cut
 from quarry.sources import views as V
 
 
@@ -66,3 +67,12 @@ def section_tree(s, d):
     """Sections with whole heading paths, captions and page ranges, their texts, tables, summaries and rows."""
     found = hierarchy.chunks(_leaves(s, d)).withColumn("heading_path", F.array_join("heading_path", " > "))
     return found.drop("node_id", "parent_node_id", "figure_title")
+
+
+@query("""SELECT d AS document_id, kind AS content_type, CASE WHEN kind IN ('table_row', 'table_summary') THEN 2 ELSE 1 END AS climbed, length(t) AS letters, md5(t) AS digest FROM
+    (SELECT x.*, CASE WHEN x.kind IN ('table_row', 'table_summary') THEN f.content || chr(10) || chr(10) || '---' || chr(10) || chr(10) ELSE '' END || p.content AS t FROM ospec x JOIN ospec p ON p.d = x.d AND p.f = x.f AND p.kind = 'section' LEFT JOIN ospec f ON f.d = x.d AND f.f = x.f AND f.i = x.i AND f.kind = 'table_full' WHERE x.kind <> 'section')""")
+def parent_climb(s, d):
+    """Of each leaf the section above, with the texts of tables that were climbed over before it."""
+    nodes = cut(hierarchy.chunks(_leaves(s, d)).select("document_id", "node_id", "parent_node_id", "is_leaf", "content_type", "content"))
+    found = parents.climb(nodes.where("is_leaf").select("document_id", "parent_node_id", "content_type"), nodes)
+    return found.select("document_id", "content_type", "climbed", F.length("content").cast("long").alias("letters"), F.md5(F.encode("content", "UTF-8")).alias("digest"))

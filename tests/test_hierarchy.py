@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quarry.operators import hierarchy as H
+from quarry.operators import hierarchy as H, parents
 
 LEAF = "document_id long, pos int, content string, headings array<string>, caption string, page_no int, label string"
 
@@ -69,3 +69,16 @@ def test_outline(spark):
     found = [(r.content, r.headings, r.caption, r.label) for r in H.outline(held).where("document_id = 2").orderBy("pos").collect()]
     assert found == [("before", [], None, "text"), ("t1", ["A", "A.x.1"], None, "text"), ("t2", ["A", "A.y"], None, "text"), ("| a |", ["A", "A.y"], "Cap", "table"), ("t3", ["B"], None, "text")]
     assert H.outline(held).columns == ["document_id", "pos", "label", "content", "page_no", "caption", "headings"]
+
+
+def test_climb(spark):
+    nodes = [("s", None, False, "Section "), ("t", "s", True, " Table "), ("r", "t", True, "Row"), ("b", "s", True, "  "), ("x", "b", True, "X"), ("lost", "gone", True, "L"), ("c1", "c2", True, "1"), ("c2", "c1", True, "2"), ("d1", "r", True, "d1"), ("d2", "d1", True, "d2")]
+    held = spark.createDataFrame([(1, *n) for n in nodes] + [(2, "t", None, False, "other")], "document_id long, node_id string, parent_node_id string, is_leaf boolean, content string")
+    leaves = spark.createDataFrame([(i, 1, p) for i, p in enumerate(["s", "t", "r", "x", "lost", "c1", None, "none", "d1", "d2", "t"])], "leaf long, document_id long, parent_node_id string")
+    found = {r.leaf: (r.target_id, r.content, r.climbed) for r in parents.climb(leaves, held).collect()}
+    line = "\n\n---\n\n"
+    lost = (None, None, None)
+    assert found == {
+        0: ("s", "Section", 1), 1: ("s", f"Table{line}Section", 2), 2: ("s", f"Table{line}Row{line}Section", 3), 3: ("s", f"X{line}Section", 3), 4: lost, 5: lost, 6: lost, 7: lost,
+        8: ("s", f"Table{line}Row{line}d1{line}Section", 4), 9: lost, 10: ("s", f"Table{line}Section", 2),
+    }
