@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from quarry.operators import hierarchy, parents
+from quarry.functions import text as T
+from quarry.operators import graphbuild, hierarchy, parents
 from quarry.plans import oracle as O
 from quarry.plans.queries import query
 from quarry.session import cut
@@ -76,3 +77,36 @@ def parent_climb(s, d):
     nodes = cut(hierarchy.chunks(_leaves(s, d)).select("document_id", "node_id", "parent_node_id", "is_leaf", "content_type", "content"))
     found = parents.climb(nodes.where("is_leaf").select("document_id", "parent_node_id", "content_type"), nodes)
     return found.select("document_id", "content_type", "climbed", F.length("content").cast("long").alias("letters"), F.md5(F.encode("content", "UTF-8")).alias("digest"))
+
+
+def _names(content):
+    """A stand-in for a model: the first ten different words of eight letters and more."""
+    words = F.slice(F.array_distinct(F.regexp_extract_all(T.fold_accents(F.lower(content)), F.lit("[a-z0-9]{8,}"), F.lit(0))), 1, 10)
+    return F.transform(words, lambda w: F.struct(w.alias("name"), F.lit("concept").alias("type"), F.when(F.length(w) % 2 == 0, 0.0).otherwise(0.5).alias("importance")))
+
+
+def _updated(s: SparkSession, d: str) -> graphbuild.Graph:
+    """The graph of all documents, from one in which the French ones had another text."""
+    rows = V.chunk(s, d).join(V.document(s, d).select("document_id", "lang"), "document_id").join(V.document_space(s, d), "document_id")
+    before = rows.withColumn("content", F.when(F.col("lang") == "fr", F.concat(F.reverse("content"), F.lit(" vorherige Fassung"))).otherwise(F.col("content")))
+    columns = ["space_id", "chunk_id", "content"]
+    return graphbuild.update(graphbuild.build(before.select(columns), _names), rows.select(columns), _names)
+
+
+O.VIEWS |= {
+    "dm": f"""SELECT space_id, chunk_id, name, CASE WHEN length(name) % 2 = 0 THEN 1.0 ELSE 0.5 END AS relevance FROM (SELECT chunk_id, document_id, unnest(list_filter(w, lambda x, i: list_position(w, x) = i)[1:10]) AS name FROM
+        (SELECT chunk_id, document_id, regexp_extract_all(strip_accents(lower(content)), '[a-z0-9]{{8,}}') AS w FROM chunk WHERE length({O.strip('content')}) >= 20)) JOIN ds USING (document_id)""",
+}
+
+
+@query("SELECT x.space_id, x.name AS a, y.name AS b, count(*) AS weight FROM dm x JOIN dm y ON x.space_id = y.space_id AND x.chunk_id = y.chunk_id AND x.name < y.name GROUP BY ALL")
+def updated_edges(s, d):
+    """Edges after an update; the SQL builds all anew."""
+    return _updated(s, d).edges
+
+
+@query("SELECT space_id, name, count(*) AS mention_count, sum(relevance) AS relevance FROM dm GROUP BY ALL")
+def updated_entities(s, d):
+    """Entities after an update, with the sum of their mentions' relevance."""
+    graph = _updated(s, d)
+    return graph.entities.join(graph.mentions.groupBy("space_id", "name").agg(F.sum("relevance").alias("relevance")), ["space_id", "name"])
