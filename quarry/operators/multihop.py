@@ -16,8 +16,8 @@ from quarry.session import cut
 
 #: Most terms of a question's search and of a hop's, terms that may be parts of names, names beside the found ones, what these lose.
 MOST_TERMS, HOP_TERMS, PARTIAL_TERMS, NEIGHBOURS, DECAY = 120, 80, 5, 40, 0.88
-#: Hops, candidates of all hops, new candidates of a hop, names that lead on, hops without new candidates before the end.
-MOST_HOPS, BUDGET, PER_HOP, LEADING, PATIENCE = 3, 80, 20, 12, 1
+#: Hops, candidates of all hops, new candidates of a hop, names that lead on. One hop without new candidates is the last.
+MOST_HOPS, BUDGET, PER_HOP, LEADING = 3, 80, 20, 12
 
 _KEY = ["query_id", "space_id"]
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quarry.functions import text as T
 from quarry.operators import chunking
+from quarry.session import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +34,7 @@ def mention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names in chunks: document_id, chunk_id, name, n, relevance. A name is a folded word of eight letters or more
     that two documents hold; a chunk mentions its ten most frequent ones."""
     found = chunk(spark, sf_dir).select("document_id", "chunk_id", F.explode(F.regexp_extract_all(T.fold_accents(F.lower("content")), F.lit("[a-z0-9]{8,}"), F.lit(0))).alias("name"))
-    found = found.groupBy("document_id", "chunk_id", "name").agg(F.count("*").alias("n"))
+    found = cut(found.groupBy("document_id", "chunk_id", "name").agg(F.count("*").alias("n")))  # read twice
     shared = found.groupBy("name").agg(F.countDistinct("document_id").alias("d")).where("d >= 2").select("name")
     by = Window.partitionBy("chunk_id").orderBy(F.desc("n"), "name")
     found = found.join(shared, "name", "left_semi").withColumn("rank", F.row_number().over(by)).where("rank <= 10").drop("rank")
