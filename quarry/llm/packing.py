@@ -24,6 +24,8 @@ CAPACITY = 2048
 END = 1
 #: Ids that a task holds before it packs them.
 GROUP_IDS = 8 << 20
+#: Bytes of text that are encoded at once.
+SLICE_BYTES = 1 << 20
 #: Windows that stay open from group to group at most.
 OPEN_WINDOWS = 1 << 16
 
@@ -116,7 +118,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, w
         encoder, packer = tokens.encoder(path, tokens.before_spaces), Packer(capacity)
         base = TaskContext.get().partitionId() << 33
         held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
-        for batch in W.sliced(batches, "text"):
+        for batch in W.sliced(batches, "text", SLICE_BYTES):
             held.append((batch.column("doc_id"), *encoder.encode(batch.column("text"), end)))
             if sum(len(x[1]) for x in held) >= GROUP_IDS:  # the last text may be longer than a group; it is packed whole
                 yield _pieces(held, packer, base, with_ids)

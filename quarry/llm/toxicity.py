@@ -31,6 +31,8 @@ from quarry.llm.frames import fresh, stored
 SAMPLE_ROWS = 4000
 SAMPLE_BYTES = 4 << 20
 ROW_BYTES = 1 << 20
+#: Bytes of text that are scored at once; one longer text is scored whole.
+SLICE_BYTES = 1 << 20
 #: Lower bounds of the log-odds buckets above 0, which is for all other words.
 BUCKETS = np.array([1.0, 2.0, 3.0, 4.0, 5.0, 6.0])
 #: Standard errors by which a word's log-odds are lowered.
@@ -310,7 +312,7 @@ def annotate(docs: DataFrame, model: Model, out: str = "toxicity") -> DataFrame:
     cols = [f"c{i}" if c != "text" else c for i, c in enumerate(docs.columns)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.sliced(batches, "text"):
+        for batch in W.sliced(batches, "text", SLICE_BYTES):
             words = W.scan(batch.column("text"), W.ALNUM)
             p, scores = held.value.tag(words)
             spans = _spans(p, words.bounds, _characters(words, W.buffer(batch.column("text"))[1]))
