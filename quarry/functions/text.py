@@ -89,6 +89,12 @@ def needs_several_steps(question: Column | str, n_pivots: Column) -> Column:
 
 def mime_type(name: Column | str) -> Column:
     """By the extension; fixed values."""
-    kinds = {"pdf": "application/pdf", "txt": "text/plain", "md": "text/markdown", "csv": "text/csv", "json": "application/json", "html": "text/html", "png": "image/png", "jpg": "image/jpeg"}
+    office = "application/vnd.openxmlformats-officedocument."
+    kinds = {
+        "pdf": "application/pdf", "doc": "application/msword", "docx": office + "wordprocessingml.document", "docm": "application/vnd.ms-word.document.macroEnabled.12",
+        "xls": "application/vnd.ms-excel", "xlsx": office + "spreadsheetml.sheet", "ppt": "application/vnd.ms-powerpoint", "pptx": office + "presentationml.presentation",
+        "txt": "text/plain", "md": "text/markdown", "csv": "text/csv", "json": "application/json", "html": "text/html", "htm": "text/html", "epub": "application/epub+zip",
+        "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "tiff": "image/tiff", "tif": "image/tiff",
+    }
     table = F.create_map(*(F.lit(x) for kv in kinds.items() for x in kv))
     return F.coalesce(F.try_element_at(table, F.lower(F.regexp_extract(col(name), r"\.([A-Za-z0-9]+)$", 1))), F.lit("application/octet-stream"))

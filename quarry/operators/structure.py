@@ -17,15 +17,19 @@ def clean(html: Column) -> Column:
     return T.strip(F.regexp_replace(F.regexp_replace(html, "<[^>]*>", " "), r"\s+", " "))
 
 
-def elements(pages: DataFrame) -> DataFrame:
-    """Titles, paragraphs and list items of pages (page_id, html) in order: page_id, pos, kind, content. Blank ones are left out; no shuffle."""
-    marked = F.regexp_replace("html", r"(?i)<(h[1-6]|p|li)(\s[^>]*)?>", "\u0001$1\u0002")
-    parts = F.slice(F.split(marked, "\u0001"), 2, F.size(F.split(marked, "\u0001")))
+def element_list(html: Column | str) -> Column:
+    """Titles, paragraphs and list items of a page in order, as an array of kind and content; blank ones are left out."""
+    marked = F.split(F.regexp_replace(T.col(html), r"(?i)<(h[1-6]|p|li)(\s[^>]*)?>", "\u0001$1\u0002"), "\u0001")
+    parts = F.slice(marked, 2, F.size(marked))
     tag = lambda x: F.lower(F.split_part(x, F.lit("\u0002"), F.lit(1)))
     kind = lambda x: F.when(tag(x) == "p", "paragraph").when(tag(x) == "li", "list").otherwise("title")
     body = lambda x: clean(F.split_part(F.split_part(F.split_part(x, F.lit("\u0002"), F.lit(2)), F.lit("</ul>"), F.lit(1)), F.lit("</article>"), F.lit(1)))
-    found = F.filter(F.transform(parts, lambda x: F.struct(kind(x).alias("kind"), body(x).alias("content"))), lambda x: x["content"] != "")
-    return pages.select("page_id", F.posexplode(found).alias("pos", "x")).select("page_id", "pos", "x.kind", "x.content")
+    return F.filter(F.transform(parts, lambda x: F.struct(kind(x).alias("kind"), body(x).alias("content"))), lambda x: x["content"] != "")
+
+
+def elements(pages: DataFrame) -> DataFrame:
+    """The elements of pages (page_id, html): page_id, pos, kind, content; no shuffle."""
+    return pages.select("page_id", F.posexplode(element_list("html")).alias("pos", "x")).select("page_id", "pos", "x.kind", "x.content")
 
 
 def sections(rows: DataFrame) -> DataFrame:

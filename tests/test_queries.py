@@ -9,7 +9,7 @@ import os
 import duckdb
 import pytest
 
-from quarry.plans import documents, more, queries, search  # noqa: F401
+from quarry.plans import documents, more, queries, search, uploads  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
