@@ -47,7 +47,9 @@ def _crcs(runs: Iterator[bytes], n: int) -> np.ndarray:
 
 def features(texts: pa.Array, longest: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of all runs of the texts, the text of each run, and the number of words of each text."""
-    lists = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")), BETWEEN)
+    data, bounds = W.buffer(texts)  # ascii_lower reads arrays wrong whose first offset isn't 0, as slices' are
+    texts = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(np.ascontiguousarray(bounds)), pa.py_buffer(np.ascontiguousarray(data)))
+    lists = pc.split_pattern_regex(pc.ascii_lower(texts), BETWEEN)
     flat, owner = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy()
     full = pc.greater(pc.binary_length(flat), 0)  # texts that start or end between words have empty parts there
     flat, owner = flat.filter(full), owner[full.to_numpy(zero_copy_only=False)]

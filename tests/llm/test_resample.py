@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -73,3 +74,18 @@ def test_runs(texts, longest):
     found = Counter(zip(owner.tolist(), bucket.tolist(), strict=True))
     want = Counter((i, zlib.crc32(x.encode()) % (1 << 31)) for i, t in enumerate(texts) for x in runs_of(t, longest)[1])
     assert found == want and n_words.tolist() == [len(runs_of(t, 1)[0]) for t in texts]
+
+
+def test_slices_of_a_batch():
+    texts = pa.array([f"One two word{i} x" * 40 for i in range(300)] + [None, ""], pa.string())
+    whole = resample.features(texts, 2, 1 << 31)
+    found = [resample.features(texts.slice(a, 100), 2, 1 << 31) for a in range(0, 302, 100)]
+    assert np.concatenate([n for _, _, n in found]).tolist() == whole[2].tolist()
+    assert Counter(b for held, _, _ in found for b in held.tolist()) == Counter(whole[0].tolist())
+
+
+def test_texts_of_several_slices(spark):
+    texts, target = [(i, f"Alpha beta w{i % 50} " * 400) for i in range(900)], ["alpha w3 w4"]
+    held = spark.createDataFrame([(t,) for t in target], "text string")
+    out = resample.annotate(documents(spark, texts).coalesce(1), held).select("doc_id", "n_features", "n_words", "weight", "score", "rank")
+    assert sorted(map(tuple, out.collect()), key=str) == plain(texts, target, resample.Plan())
