@@ -68,3 +68,31 @@ def test_within_spaces(spark, texts):
 def test_empty_tables(spark):
     q, c = spark.createDataFrame([], "query_id int, content string"), spark.createDataFrame([], "chunk_id long, content string")
     assert lexical.top_k(q, c, 5).count() == 0 and lexical.top_k(spark.createDataFrame([(1, "alpha")], "query_id int, content string"), c, 5).count() == 0
+
+
+def test_only_best_chunks_leave_their_task(spark):
+    """400 chunks with a word of 60 questions: what meets isn't shuffled."""
+    q = spark.createDataFrame([(i, f"common rare{i % 3}") for i in range(60)], "query_id int, content string")
+    c = spark.createDataFrame([(i, f"common words rare{i % 7}") for i in range(400)], "chunk_id long, content string").coalesce(2)
+    for held in (lexical.top_k(q, c, 2), lexical.keyword_fallback(q, c, 2)):
+        tracker, group = spark.sparkContext.statusTracker(), uuid.uuid4().hex
+        spark.sparkContext.setJobGroup(group, "top")
+        assert held.count() == 120
+        stages = {i for j in tracker.getJobIdsForGroup(group) for i in tracker.getJobInfo(j).stageIds}
+        store = spark.sparkContext._jsc.sc().statusStore()
+        assert sum(store.lastStageAttempt(i).shuffleWriteRecords() for i in stages if tracker.getStageInfo(i)) < 400
+
+
+@pytest.mark.parametrize("meetings", [1_000_000, 1, 40])
+def test_any_word(spark, texts, monkeypatch, meetings):
+    monkeypatch.setattr(lexical, "MEETINGS", meetings)
+    questions, chunks = texts
+    q = spark.createDataFrame([(i, t, i % 3) for i, t in questions], "query_id int, content string, space int")
+    c = spark.createDataFrame([(i, t, i % 3) for i, t in chunks], "chunk_id long, content string, space int")
+    for by in (None, "space"):
+        want = set()
+        for i, text in questions:
+            terms = {w for w in re.findall("[A-Za-zÀ-ÿ0-9]+", (text or "").lower()) if len(w) >= 3 and w not in STOPWORDS}
+            held = [(len(terms & {w.lower() for w in re.findall("[A-Za-zÀ-ÿ0-9]+", body or "")}), j) for j, body in chunks if by is None or i % 3 == j % 3]
+            want |= {(i, j, round(n / len(terms), 6), r) for r, (n, j) in enumerate(sorted((x for x in held if x[0]), reverse=True)[:7], 1)}
+        assert rows(lexical.keyword_fallback(q, c, 7, by)) == want
