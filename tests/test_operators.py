@@ -174,3 +174,30 @@ def test_extraction(spark):
 
     found = {r.id: r.embedding for r in extraction.embed(rows, embedder, batch=1, tries=2, wait=0).collect()}
     assert found == {1: [1.0], 2: None, 3: None, 4: None, 5: [2.0]}
+
+
+def test_nearest_rows_in_bounded_memory(monkeypatch):
+    """2,048 queries over five batches of 10,000 rows, many of them equal: small products, and the same rows as all scores sorted."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    monkeypatch.setattr(vectors, "WAITING", 200_000, raising=False)
+    rng = np.random.default_rng(5)
+    units = rng.integers(-1, 2, (50_000, 8)).astype(np.float64)
+    units[0] = 1.0, *[0.0] * 7
+    units = units[np.linalg.norm(units, axis=1) > 0]
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    queries, k = rng.normal(size=(2048, 8)), 15
+    queries /= np.linalg.norm(queries, axis=1, keepdims=True)
+    batches = [pd.DataFrame({"id": np.arange(a, min(a + 10_000, len(units))), "embedding": list(units[a : a + 10_000]), "by": 0}) for a in range(0, len(units), 10_000)]
+    tracemalloc.start()
+    out = pd.concat(vectors._keeper(np.arange(2048), queries, np.zeros(2048, np.int64), k)(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    print("peak MB", peak / 1e6)
+    assert peak < 100e6
+    for q in range(0, 2048, 97):
+        scores = np.round(units @ queries[q], 9)
+        assert out[out.query_id == q].row_id.tolist() == np.lexsort((np.arange(len(units)), -scores))[:k].tolist()
