@@ -201,3 +201,26 @@ def test_nearest_rows_in_bounded_memory(monkeypatch):
     for q in range(0, 2048, 97):
         scores = np.round(units @ queries[q], 9)
         assert out[out.query_id == q].row_id.tolist() == np.lexsort((np.arange(len(units)), -scores))[:k].tolist()
+
+
+def test_names_meet_their_best_chunks_alone(spark):
+    """A name of 400 chunks, 40 questions: what meets isn't all of both; the result is that of all meetings."""
+    import random
+
+    from pyspark.sql import Window
+
+    pick = random.Random(2)
+    names = ["everywhere"] + [f"name{i}" for i in range(60)]
+    rows = [(0, c, n, pick.randint(1, 5) / 5) for c in range(400) for n in {"everywhere" if c % 4 else "name0", *pick.choices(names[1:], k=2)}]
+    mentions = spark.createDataFrame(rows + rows[:9], "space_id int, chunk_id long, name string, relevance double")
+    terms = spark.createDataFrame([(q, 0, n) for q in range(40) for n in ({names[q % 61]} if q % 3 else {names[q], "nowhere", names[0]})] + [(50, 0, "nowhere")], "query_id int, space_id int, name string")
+    for k in (4, 25):
+        held = mentions.distinct()
+        exact = held.join(terms, ["space_id", "name"]).selectExpr("query_id", "space_id", "chunk_id", "relevance", "0 AS stage")
+        second = held.join(graph.mentioned_with(held, terms), ["space_id", "name"]).selectExpr("query_id", "space_id", "chunk_id", "relevance * 0.88D AS relevance", "1 AS stage")
+        all_of = exact.union(second).groupBy("query_id", "space_id", "chunk_id").agg(F.min("stage").alias("stage"), F.max_by("relevance", F.struct(-F.col("stage"), F.col("relevance"))).alias("score"))
+        by = Window.partitionBy("query_id").orderBy("stage", F.desc(F.round("score", 9)), "chunk_id")
+        want = all_of.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+        keyed = lambda x: sorted((r.query_id, r.chunk_id, r.stage, round(r.score, 9), r["rank"]) for r in x.collect())
+        assert keyed(graph.retrieve(terms, mentions, k)) == keyed(want)
+    assert graph._best_of_names(held, 8).count() == sum(min(8, len({c for _, c, n, _ in rows if n == name})) for name in {n for _, _, n, _ in rows})
