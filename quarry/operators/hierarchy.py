@@ -60,11 +60,14 @@ def caption_of(metadata: Column, items: Column) -> Column:
 def holds_table(text: Column) -> Column:
     """Whether a text begins with a table of a heading and a row that isn't blank."""
     lines = F.filter(F.transform(F.split(text, r"\r?\n"), T.strip), lambda x: x != "")
-    barred = F.filter(lines, lambda x: x.startswith("|"))
-    ruled = F.replace(F.get(barred, F.lit(1)), F.lit(" "), F.lit("")).rlike(r"^\|?[\s\-:|]+\|[\s\-:|]*$")
-    data = F.slice(barred, F.when(ruled, 3).otherwise(2), F.greatest(F.size(barred), F.lit(1)))
     full = lambda x: F.exists(tables.cells(x), lambda c: c != "")
-    return F.coalesce(F.get(lines, F.lit(0)).startswith("|") & (F.size(barred) >= 2) & full(F.get(barred, F.lit(0))) & F.exists(data, full), F.lit(False))
+
+    def holds(barred: Column) -> Column:
+        ruled = F.replace(F.get(barred, F.lit(1)), F.lit(" "), F.lit("")).rlike(r"^\|?[\s\-:|]+\|[\s\-:|]*$")
+        data = F.slice(barred, F.when(ruled, 3).otherwise(2), F.greatest(F.size(barred), F.lit(1)))
+        return F.when(F.size(barred) >= 2, F.when(full(F.get(barred, F.lit(0))), F.exists(data, full)))
+
+    return F.coalesce(F.when(T.strip(text).startswith("|"), tables.let(F.filter(lines, lambda x: x.startswith("|")), holds)), F.lit(False))
 
 
 def text_block(body: Column, headings: Column, page: Column) -> Column:
@@ -94,13 +97,12 @@ def chunks(leaves: DataFrame, threshold: int = 0, overlap: int = 200) -> DataFra
     page_start, page_end, image_anchor, figure_title, contains_image, row_index, suspicious, content. Windows are made of texts of more
     than threshold characters if it isn't 0. Sections of blank leaves alone are left out, as are blank leaves.
     """
-    rows = leaves.repartition("document_id").withColumn("_label", heading_label(F.col("headings")))
+    rows = tables.once(leaves.repartition("document_id"), _path=path(F.col("headings")), _body=T.strip(F.coalesce("content", F.lit(""))))
+    joined = F.array_join("_path", " ")
+    rows = tables.once(rows, _label=F.when(joined == "", NO_HEADING).otherwise(joined), heading=joined)
     own = Window.partitionBy("document_id", "_label")
     held = F.array_sort(F.collect_list(F.when(F.col("caption").isNotNull(), F.struct("pos", "caption"))).over(own))
-    rows = rows.withColumns({
-        "_first": F.min("pos").over(own), "_anchors": F.array_distinct(F.transform(held, lambda x: x["caption"])), "_body": T.strip(F.coalesce("content", F.lit(""))),
-        "heading": F.when(F.col("_label") == NO_HEADING, "").otherwise(F.col("_label")), "_path": path(F.col("headings")),
-    })
+    rows = rows.withColumns({"_first": F.min("pos").over(own), "_anchors": F.array_distinct(F.transform(held, lambda x: x["caption"]))})
     texts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "_body"))), lambda x: x["_body"])
     parents = rows.groupBy("document_id", "_first", "heading", "_anchors").agg(T.strip(F.array_join(texts, "\n\n")).alias("content"), F.min("page_no").alias("page_start"), F.max("page_no").alias("page_end"))
     section = F.concat_ws(":", "document_id", "_first")
@@ -115,10 +117,11 @@ def chunks(leaves: DataFrame, threshold: int = 0, overlap: int = 200) -> DataFra
     body = F.when(captioned & F.col("caption").isNotNull(), F.concat(body, F.lit("\n\n"), "caption")).otherwise(body)
     title = F.coalesce(F.try_element_at("_path", F.lit(-1)), F.col("heading"))
     body = F.when((F.col("label") == "list") & (title != ""), F.concat(F.lit("[Liste: "), title, F.lit("]\n"), body)).otherwise(body)
-    rows = rows.where("_body <> ''").withColumn("_raw", body)
-    start = T.strip(F.get(F.split("_raw", "\n\n"), F.lit(0)))
-    source = F.when(holds_table(start), start).when(holds_table(F.col("_raw")), F.col("_raw"))
-    rows = rows.withColumn("_table", F.when((F.col("label") == "table") | F.col("_raw").startswith("|"), source))
+    rows = tables.once(rows.where("_body <> ''"), _raw=body)
+    tabled = (F.col("label") == "table") | F.col("_raw").startswith("|")
+    rows = tables.once(rows, _start=F.when(tabled, T.strip(F.get(F.split("_raw", "\n\n"), F.lit(0)))))
+    source = F.when(holds_table(F.col("_start")), F.col("_start")).when(holds_table(F.col("_raw")), F.col("_raw"))
+    rows = tables.once(rows, _table=F.when(tabled, source))
 
     plain = rows.where("_table IS NULL")
     parts = F.array(_part("", "", 1, "text_full", text_block(F.col("_raw"), F.col("_path"), page)))

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from quarry.operators import hierarchy as H, parents
+from quarry.operators import hierarchy as H, parents, tables
+from quarry.plans import documents, queries
 
 LEAF = "document_id long, pos int, content string, headings array<string>, caption string, page_no int, label string"
 
@@ -82,3 +83,39 @@ def test_climb(spark):
         0: ("s", "Section", 1), 1: ("s", f"Table{line}Section", 2), 2: ("s", f"Table{line}Row{line}Section", 3), 3: ("s", f"X{line}Section", 3), 4: lost, 5: lost, 6: lost, 7: lost,
         8: ("s", f"Table{line}Row{line}d1{line}Section", 4), 9: lost, 10: ("s", f"Table{line}Section", 2),
     }
+
+
+def computed(df, what):
+    """How often the optimised plan computes an expression."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count(what)
+
+
+def test_tables_are_parsed_once(spark):
+    text = spark.createDataFrame([(1, "| a | b |\n|---|---|\n| c | d |")], "document_id long, content string")
+    parsed = tables.parse(text).where("size(lines) > 0").select("headers", "lines", tables.canonical(F.col("headers"), F.col("lines")).alias("grid"))
+    assert computed(parsed, "split(content") == 1 and computed(parsed, "rpad(") == 2
+    assert parsed.collect() == [(["a", "b"], [["c", "d"]], "| a | b |\n|---|---|\n| c | d |")]
+    leaves = spark.createDataFrame([(1, 0, "| a |\n| c |", None, None, None, "table")], LEAF)
+    assert computed(H.chunks(leaves), "split(") <= 40
+
+
+def test_cells_and_blanks(spark):
+    text = "|\u00a0x | a \u2013 b \\| c |\t\n"
+    assert [r.c for r in spark.createDataFrame([(text,)], "t string").select(tables.cells(F.col("t")).alias("c")).collect()] == [["x", "a - b \\| c"]]
+
+
+def test_rows_of_one_file_are_parsed_by_many_tasks(spark):
+    assert queries._table_rows(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
+
+
+def test_climb_reads_texts_of_parents_alone(spark):
+    """The texts of rows and summaries aren't kept, and a section's is hashed once."""
+    held = []
+    climb, parents.climb = parents.climb, lambda leaves, nodes: held.append((leaves, nodes)) or climb(leaves, nodes)
+    try:
+        documents.parent_climb(spark, "/root/testdata/sf0.001")
+    finally:
+        parents.climb = climb
+    leaves, nodes = held[0]
+    assert leaves.count() == leaves.select("document_id", "parent_node_id").distinct().count()
+    assert nodes.where("content_type IN ('table_row', 'table_summary')").count() == 0
