@@ -67,7 +67,7 @@ def holds_table(text: Column) -> Column:
         data = F.slice(barred, F.when(ruled, 3).otherwise(2), F.greatest(F.size(barred), F.lit(1)))
         return F.when(F.size(barred) >= 2, F.when(full(F.get(barred, F.lit(0))), F.exists(data, full)))
 
-    return F.coalesce(F.when(T.strip(text).startswith("|"), tables.let(F.filter(lines, lambda x: x.startswith("|")), holds)), F.lit(False))
+    return F.coalesce(F.when(T.strip(text).startswith("|"), T.let(F.filter(lines, lambda x: x.startswith("|")), holds)), F.lit(False))
 
 
 def text_block(body: Column, headings: Column, page: Column) -> Column:
