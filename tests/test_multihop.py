@@ -3,7 +3,9 @@
 import random
 from collections import Counter
 
-from quarry.operators import multihop as M
+from pyspark.sql import functions as F
+
+from quarry.operators import graph, multihop as M
 
 
 def plain_closure(terms, known, most):
@@ -131,3 +133,42 @@ def test_hops(spark):
         reached = {h for cs in want.values() for h, _, _ in cs.values()}
         assert reached == ({0, 1, 2, 3} if expanding else {0})
     assert len(want[5]) == 80 and not any(h for h, _, _ in want[4].values())
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_questions_meet_the_best_mentions_of_a_name(spark):
+    """A name in very many chunks: what a question meets is bounded, and its first rows are the same."""
+    rows = [(0, c, n, 1.0 / (1 + c % 7 + len(n))) for c in range(300) for n in ("common", f"n{c % 5}")]
+    held = spark.createDataFrame(rows, "space_id long, chunk_id long, name string, relevance double")
+    known = held.selectExpr("space_id", "name AS entity", "name AS term").distinct()
+    terms = spark.createDataFrame([(q, 0, "common", 1) for q in range(5)], "query_id long, space_id long, name string, pos long")
+    met, real = [], M._held
+    M._held = lambda names, mentions: met.append(mentions.where("name = 'common'").count()) or real(names, mentions)
+    try:
+        found = M.search(terms, held, known, 4).collect()
+    finally:
+        M._held = real
+    best = [c for _, c, n, r in sorted(rows, key=lambda x: (-round(x[3], 9), x[1])) if n == "common"][:4]
+    assert met and max(met) == 4 and all(sorted(r.chunk_id for r in found if r.query_id == q) == best for q in range(5))
+
+
+def test_neighbours_are_bounded_without_loss(spark):
+    rows = [(0, c, n, 1.0) for c in range(60) for n in {"s", f"a{c % 9}", f"b{c % 4}", "t" if c % 2 else "u"}]
+    held = spark.createDataFrame(rows, "space_id long, chunk_id long, name string, relevance double")
+    seeds = spark.createDataFrame([(q, 0, n) for q, x in ((1, "s"), (2, "stu"), (3, "t")) for n in x], "query_id long, space_id long, name string")
+    first = lambda x: {q: sorted((-r.weight, r.name) for r in x if r.query_id == q)[:4] for q in (1, 2, 3)}
+    whole, few = graph.mentioned_with(held, seeds).collect(), graph.mentioned_with(held, seeds, 4 + 3).collect()
+    assert first(whole) == first(few) and len(few) < len(whole)
+
+
+def test_names_are_counted_in_chunks(spark):
+    """Names are shuffled as arrays of chunks, not as a row each, and the digest is that of counting rows."""
+    from quarry.sources import views
+
+    found = views.named(spark, "/root/testdata/sf0.001")
+    assert "Window" not in plan_of(found) and max(len(r.names) for r in found.collect()) == 10
+    counted = spark.createDataFrame([(["b", "a", "b", "c", "a", "b"],), ([],), (None,)], "x array<string>").select(views._counted(F.col("x")).alias("n"))
+    assert [r.n and [tuple(e) for e in r.n] for r in counted.collect()] == [[(-3, "b"), (-2, "a"), (-1, "c")], None, None]
