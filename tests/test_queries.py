@@ -47,3 +47,8 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).columns == ["query_id", "document_id", "score", "rank"]
     assert set(queries.QUERIES) <= set(__spark_entry__.queries()) and set(queries.SQL) <= set(__spark_entry__.oracle_sql())
+
+
+def test_pairs_of_titles_and_questions_stay_where_they_are(spark):
+    plan = queries.QUERIES["title_boost"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" not in plan and "hashpartitioning(document_id" in plan
