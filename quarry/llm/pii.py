@@ -1,11 +1,11 @@
 """Personal data by candidate spans and gradient-boosted trees, in DataFrame operations only.
 
 High-recall generators propose overlapping spans. Those that meet a rule (the
-base) always stay. Of the candidates beside the base a bounded sample is
+base) always stay. The candidates beside the base are all
 labelled by evidence, other for each kind: digit groups, announcing words,
 mixture of the characters, an ending like a domain's. Trees, boosted on features
 of format and context that don't restate the base's rules, learn these labels;
-for each kind a threshold that is calibrated on the rest of the sample selects
+for each kind a threshold that is calibrated on the other half selects
 candidates. A kind too rare or too mixed to calibrate is selected by its evidence.
 """
 
@@ -45,8 +45,6 @@ NAME, DOMAIN = r"(?i)^[^\[(]*[a-z]", r"(?i)[\])\x20.][a-z]{2,}+$"
 #: Evidence of a secret: bits a character, and changes between letters and digits (fewer where it is announced).
 BITS, CHANGES = 3.0, 6
 AROUND = 24  # characters of context on the left
-#: Candidates that the trees are fitted on, half of them for calibration.
-SAMPLE = 20_000
 #: The share of selected candidates of a kind that should have evidence, and the fewest calibration candidates above a threshold.
 PRECISION, SUPPORT = 0.98, 20
 FEATURES = ["n_chars", "n_digits", "n_letters", "n_marks", "n_groups", "first_group", "last_group", "longest_group", "changes", "bits", "announced", "glued"]
@@ -133,20 +131,20 @@ def _beside_base(found: DataFrame) -> DataFrame:
     return found.withColumn("inside", F.coalesce(reach > F.col("start"), F.lit(False)) | F.coalesce(ahead < F.col("end"), F.lit(False)))
 
 
-def additions(found: DataFrame, sample: int = SAMPLE, precision: float = PRECISION, support: int = SUPPORT) -> DataFrame:
+def additions(found: DataFrame, precision: float = PRECISION, support: int = SUPPORT) -> DataFrame:
     """What the selected candidates cover beside the base; overlapping ones are one span."""
     found = cut(_beside_base(found))
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(found.where("not valid").withColumn("y", F.col("evidence").cast("double")))
-    # Drawn and halved by document and span, not by row, so that the layout of files doesn't matter; what ties is alike.
-    own = F.xxhash64("key", "kind", "start", "end", *FEATURES)
-    drawn = vectors.where("not inside").orderBy(own).limit(sample).withColumn("fit", F.xxhash64(F.col("key") + 1) % 2 == 0)
-    drawn = cut(drawn.select("kind", "x", "y", "fit"))
-    seen = {(r.fit, r.y): r["count"] for r in drawn.groupBy("fit", "y").count().collect()}
+    # All are halved by document; equal ones are one row with a weight, in an order that doesn't depend on the layout of files.
+    drawn = vectors.where("not inside").withColumn("fit", F.xxhash64(F.col("key") + 1) % 2 == 0)
+    drawn = drawn.groupBy("kind", "y", "fit", *FEATURES).agg(F.count("*").cast("double").alias("n"), F.first("x").alias("x"))
+    drawn = cut(drawn.orderBy("kind", "y", "fit", *FEATURES).select("kind", "x", "y", "fit", "n"))
+    seen = {(r.fit, r.y): r["n"] for r in drawn.groupBy("fit", "y").agg(F.sum("n").alias("n")).collect()}
     selected, chosen = F.col("evidence"), vectors
     if all(seen.get((True, y), 0) >= support for y in (0.0, 1.0)):
-        trees = GBTClassifier(featuresCol="x", labelCol="y", maxIter=8, maxDepth=4, stepSize=0.3, seed=1, checkpointInterval=-1).fit(drawn.where("fit").select("x", "y"))
+        trees = GBTClassifier(featuresCol="x", labelCol="y", weightCol="n", maxIter=8, maxDepth=4, stepSize=0.3, seed=1, checkpointInterval=-1).fit(drawn.where("fit").select("x", "y", "n"))
         p = vector_to_array("probability")[1]
-        bins = trees.transform(drawn.where("not fit")).groupBy("kind", F.floor(p * 50).alias("bin")).agg(F.sum("y").alias("like"), F.count("*").alias("n")).orderBy("kind", F.desc("bin")).collect()  # 51 bins a kind at most
+        bins = trees.transform(drawn.where("not fit")).groupBy("kind", F.floor(p * 50).alias("bin")).agg(F.sum(F.col("y") * F.col("n")).alias("like"), F.sum("n").alias("n")).orderBy("kind", F.desc("bin")).collect()  # 51 bins a kind at most
         chosen = trees.transform(vectors).withColumn("p", p)
         for kind in KINDS:
             threshold, like, n = None, 0.0, 0

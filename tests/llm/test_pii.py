@@ -114,3 +114,14 @@ def test_no_selected_character_is_left_out(spark):
     assert sorted(r for r in out if r[0] < 3) == [(1, "number", 0, 30), (1, "number", 30, 33), (2, "number", 0, 5), (2, "secret", 12, 20)]
     places = lambda rows: {(rid, x) for rid, _, a, b in rows for x in range(a, b)}
     assert places(out) == places(spans) - places(base) and len(places(out)) == sum(b - a for *_, a, b in out)
+
+
+def test_trees_learn_from_all_candidates(spark, monkeypatch):
+    kept, cut = [], pii.cut
+    monkeypatch.setattr(pii, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    texts = mixed(30)[0]
+    n = 20_400
+    found = pii.find(documents(spark, [*texts, *((10_000 + i, "count 123456789 of them; " * 51) for i in range(n // 51))]))
+    assert found.count() == len(texts) + n // 51
+    drawn = next(df for df in kept if df.columns == ["kind", "x", "y", "fit", "n"])
+    assert drawn.where("kind = 'number'").agg(F.sum("n")).first()[0] >= n and drawn.count() < n
