@@ -32,19 +32,44 @@ def elements(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.posexplode(element_list("html")).alias("pos", "x")).select("page_id", "pos", "x.kind", "x.content")
 
 
-def sections(rows: DataFrame) -> DataFrame:
-    """Elements below titles: page_id, section (running number), heading, pos, kind, content; titles themselves are left out."""
-    order = Window.partitionBy("page_id").orderBy("pos")
-    heading = F.coalesce(F.last(F.when(F.col("kind") == "title", F.col("content")), ignorenulls=True).over(order), F.lit(NO_HEADING))
-    rows = rows.withColumn("heading", heading).where("kind <> 'title'")
-    first = F.min("pos").over(Window.partitionBy("page_id", "heading"))  # sections of one heading are one, where it is first seen
-    return rows.withColumn("section", F.dense_rank().over(Window.partitionBy("page_id").orderBy(first)) - 1)
+def section_list(found: Column) -> Column:
+    """Sections of a page's elements, element_list(), as an array of heading and items (pos, kind, content); titles themselves are left out.
+
+    Sections of one heading are one, where it is first seen. Elements are parted at titles, and what lies between is put in order of headings.
+    """
+    item = lambda e, i: F.struct(i.alias("pos"), e["kind"].alias("kind"), e["content"].alias("content"))
+    title = lambda e: e["kind"] == "title"
+    full = lambda x: F.filter(x, lambda i: i.isNotNull())
+    until = lambda starts, i, x: F.coalesce(F.get(starts, i + 1), F.size(x))
+
+    def between(x: Column, starts: Column) -> Column:
+        def run(s: Column, i: Column) -> Column:
+            own = F.when(title(F.get(x, s)), 1).otherwise(0)
+            items = F.slice(x, s + own + 1, until(starts, i, x) - s - own)
+            return F.struct(F.when(own == 1, F.get(x, s)["content"]).otherwise(NO_HEADING).alias("heading"), s.alias("start"), items.alias("items"))
+
+        return F.sort_array(F.filter(F.transform(starts, run), lambda r: F.size(r["items"]) > 0))
+
+    def joined(x: Column, starts: Column) -> Column:
+        one = lambda s, i: F.struct(F.get(x, s)["start"].alias("start"), F.get(x, s)["heading"].alias("heading"), F.flatten(F.transform(F.slice(x, s + 1, until(starts, i, x) - s), lambda r: r["items"])).alias("items"))
+        return F.sort_array(F.transform(starts, one))
+
+    parted = T.let(F.transform(found, item), lambda x: T.let(full(F.transform(x, lambda e, i: F.when((i == 0) | title(e), i))), lambda starts: between(x, starts)))
+    return T.let(parted, lambda x: T.let(full(F.transform(x, lambda r, i: F.when((i == 0) | (r["heading"] != F.get(x, i - 1)["heading"]), i))), lambda starts: joined(x, starts)))
+
+
+def sections(pages: DataFrame) -> DataFrame:
+    """Sections of pages (page_id, html): page_id, section (running number), heading, items (pos, kind, content); no shuffle, and a task holds a page."""
+    return pages.select("page_id", F.posexplode(section_list(element_list("html"))).alias("section", "x")).select("page_id", "section", "x.heading", "x.items")
+
+
+def _text(items: str = "items") -> Column:
+    return F.array_join(F.transform(items, lambda e: e["content"]), "\n\n")
 
 
 def section_parents(rows: DataFrame) -> DataFrame:
     """page_id, section, heading, leaves, first_pos, last_pos, content (the leaves' texts, parted by blank lines)."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"]), "\n\n")
-    return rows.groupBy("page_id", "section", "heading").agg(F.count("*").alias("leaves"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), text.alias("content"))
+    return rows.select("page_id", "section", "heading", F.size("items").cast("long").alias("leaves"), F.get("items", F.lit(0))["pos"].alias("first_pos"), F.element_at("items", -1)["pos"].alias("last_pos"), _text().alias("content"))
 
 
 def text_block(heading: Column, page: Column, body: Column) -> Column:
@@ -57,17 +82,17 @@ def section_chunks(rows: DataFrame, limit: int, overlap: int) -> DataFrame:
 
     page_id, node_id, parent_id (null for parents), level (0, 1, 2), is_leaf, content. A leaf with windows isn't one itself.
     """
-    node = F.concat_ws(":", "page_id", "section")
-    parents = section_parents(rows).select("page_id", node.alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("level"), F.lit(False).alias("is_leaf"), "content")
-    own = F.concat_ws(":", "page_id", "section", "pos")
-    block = text_block(F.col("heading"), F.col("page_id"), F.col("content"))
-    long = F.length("content") > limit
-    leaves = rows.select("page_id", own.alias("node_id"), node.alias("parent_id"), F.lit(1).alias("level"), (~long).alias("is_leaf"), block.alias("content"))
-    step = limit - overlap
-    starts = F.sequence(F.lit(0), F.ceil((F.length("content") - limit) / step).cast("int"))
-    parts = rows.where(long).select("page_id", own.alias("parent_id"), "content", F.posexplode(starts).alias("i", "n"))
-    parts = parts.select("page_id", F.concat_ws(":", "parent_id", "i").alias("node_id"), "parent_id", F.lit(2).alias("level"), F.lit(True).alias("is_leaf"), T.strip(F.substring("content", F.col("n") * step + 1, F.lit(limit))).alias("content"))
-    return parents.unionByName(leaves).unionByName(parts)
+    node, step = F.concat_ws(":", "page_id", "section"), limit - overlap
+    row = lambda own, parent, level, leaf, content: F.struct(own.alias("node_id"), parent.cast("string").alias("parent_id"), F.lit(level).alias("level"), leaf.alias("is_leaf"), content.alias("content"))
+
+    def below(e: Column) -> Column:
+        own, n = F.concat_ws(":", "page_id", "section", e["pos"]), F.length(e["content"])
+        leaf = row(own, node, 1, n <= limit, text_block(F.col("heading"), F.col("page_id"), e["content"]))
+        starts = F.when(n > limit, F.sequence(F.lit(0), F.ceil((n - limit) / step).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.concat(F.array(leaf), F.transform(starts, lambda i: row(F.concat_ws(":", own, i), own, 2, F.lit(True), T.strip(F.substring(e["content"], i * step + 1, F.lit(limit))))))
+
+    nodes = F.concat(F.array(row(node, F.lit(None), 0, F.lit(False), _text())), F.flatten(F.transform("items", below)))
+    return rows.select("page_id", F.inline(nodes))
 
 
 def element_chunks(rows: DataFrame, size: int = WHOLE) -> DataFrame:

@@ -16,7 +16,7 @@ _TYPES = "[" + ", ".join(f"'{t}'" for t in extraction.TYPES) + "]"
 
 
 def _sections(s, d):
-    return structure.sections(structure.elements(V.table(s, d, "pages")))
+    return structure.sections(V.table(s, d, "pages"))
 
 
 # elements and sections
