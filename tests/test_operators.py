@@ -224,3 +224,12 @@ def test_names_meet_their_best_chunks_alone(spark):
         keyed = lambda x: sorted((r.query_id, r.chunk_id, r.stage, round(r.score, 9), r["rank"]) for r in x.collect())
         assert keyed(graph.retrieve(terms, mentions, k)) == keyed(want)
     assert graph._best_of_names(held, 8).count() == sum(min(8, len({c for _, c, n, _ in rows if n == name})) for name in {n for _, _, n, _ in rows})
+
+
+def test_canonical_of_arrays(spark):
+    """The same as canonical(), but no row leaves its chunk."""
+    found = [("Vis-M4", "x", 0.4), ("vis m4", "x", 2.0), ("VIS_M4", "x", 1.0), ("?", "x", 1.0), ("Vis M4", "y", None), (None, "x", 1.0), (" été ", None, -1.0), ("ete", None, 0.0), ("a", "x", 1.0), ("ab1", "x", 0.5), ("ab1", "x", 0.5)]
+    chunks = spark.createDataFrame([(1, found), (2, found[::-1]), (3, []), (4, None)], "chunk_id long, mentions array<struct<name:string,entity_type:string,importance:double>>")
+    held, rows = graph.canonical_of(chunks), chunks.select("chunk_id", F.posexplode("mentions").alias("pos", "m")).select("chunk_id", "m.*", "pos")
+    assert held.count() == 8 and sorted(map(str, held.collect())) == sorted(map(str, graph.canonical(rows).collect()))
+    assert "Exchange" not in held._jdf.queryExecution().executedPlan().toString()
