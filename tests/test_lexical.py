@@ -3,6 +3,7 @@
 import random
 import re
 import uuid
+from collections import Counter
 
 import pytest
 
@@ -96,3 +97,47 @@ def test_any_word(spark, texts, monkeypatch, meetings):
             held = [(len(terms & {w.lower() for w in re.findall("[A-Za-zÀ-ÿ0-9]+", body or "")}), j) for j, body in chunks if by is None or i % 3 == j % 3]
             want |= {(i, j, round(n / len(terms), 6), r) for r, (n, j) in enumerate(sorted((x for x in held if x[0]), reverse=True)[:7], 1)}
         assert rows(lexical.keyword_fallback(q, c, 7, by)) == want
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_are_counted_and_indexed_where_chunks_are(spark, texts):
+    _, chunks = texts
+    c = spark.createDataFrame([*chunks, (None, "alpha alpha")], "chunk_id long, content string")
+    n, held = Counter(), Counter()
+    for i, body in [*chunks, (None, "alpha alpha")]:
+        words = [w.lower() for w in re.findall("[A-Za-zÀ-ÿ0-9]+", body or "")]
+        n.update(words)
+        held.update(set(words) if i is not None else ())
+    found = lexical.statistics(c)
+    assert {(r.term, r.n_chunks, r.n) for r in found.collect()} == {(w, held[w], n[w]) for w in n}
+    assert _plan(lexical.statistics(c)).count("Exchange hashpartitioning") == 1 and "Exchange" not in _plan(lexical.index(c))
+
+
+@pytest.mark.parametrize("size", ["3", "10000"])
+def test_stored_look_up_by_batches(spark, texts, tmp_path, size):
+    """Chunks whose postings lie in several batches; what meets isn't shuffled."""
+    questions, chunks = texts
+    q, c = spark.createDataFrame(questions, "query_id int, content string"), spark.createDataFrame(chunks, "chunk_id long, content string")
+    name = f"postings_{uuid.uuid4().hex}"
+    stored = lexical.store(c, name, f"file://{tmp_path}/{name}", buckets=4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        assert rows(lexical.top_k_stored(q, stored, 10)) == plain(questions, chunks, 10)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_meetings_of_a_stored_index_are_not_shuffled(spark, tmp_path):
+    q = spark.createDataFrame([(i, f"common rare{i % 3} word{i}") for i in range(60)], "query_id int, content string")
+    c = spark.createDataFrame([(i, "common rare0 rare1 rare2 " + " ".join(f"word{j}" for j in range(60))) for i in range(50)], "chunk_id long, content string").coalesce(2)
+    name = f"postings_{uuid.uuid4().hex}"
+    stored = lexical.store(c, name, f"file://{tmp_path}/{name}", buckets=4)
+    tracker, group = spark.sparkContext.statusTracker(), uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "stored")
+    assert lexical.top_k_stored(q, stored, 2).count() == 120
+    stages = {i for j in tracker.getJobIdsForGroup(group) for i in tracker.getJobInfo(j).stageIds}
+    store = spark.sparkContext._jsc.sc().statusStore()
+    assert sum(store.lastStageAttempt(i).shuffleWriteRecords() for i in stages if tracker.getStageInfo(i)) < 5000  # 50 chunks of 64 asked words; 9,000 places meet
