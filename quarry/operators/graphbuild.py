@@ -8,7 +8,7 @@ Tables of a graph are written once each and aren't read as a whole but for joins
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -17,16 +17,29 @@ from quarry.operators.extraction import ENTITY_TEXT, MOST_ENTITIES
 from quarry.session import cut
 
 
-@dataclass
 class Graph:
-    """chunks: space_id, chunk_id, hash. memo: hash, names (name, type, importance). mentions: space_id, chunk_id, name, entity_type, relevance,
-    times. entities: space_id, name, mention_count. edges: space_id, a, b, weight (a < b)."""
+    """named: space_id, chunk_id, hash, names (name, entity_type, relevance, times). memo: hash, names (name, type, importance). Of these come
+    chunks: space_id, chunk_id, hash; mentions: space_id, chunk_id, name, entity_type, relevance, times; and, written when they are first asked for,
+    entities: space_id, name, mention_count; edges: space_id, a, b, weight (a < b)."""
 
-    chunks: DataFrame
-    memo: DataFrame
-    mentions: DataFrame
-    entities: DataFrame
-    edges: DataFrame
+    def __init__(self, named: DataFrame, memo: DataFrame, entities: Callable[[], DataFrame], edges: Callable[[], DataFrame]):
+        self.named, self.memo, self._made = named, memo, (entities, edges)
+
+    @property
+    def chunks(self) -> DataFrame:
+        return self.named.select("space_id", "chunk_id", "hash")
+
+    @property
+    def mentions(self) -> DataFrame:
+        return _mentions(self.named)
+
+    @cached_property
+    def entities(self) -> DataFrame:
+        return self._made[0]()
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return self._made[1]()
 
 
 def canonical(found: Column) -> Column:
@@ -37,7 +50,7 @@ def canonical(found: Column) -> Column:
     rows = F.transform(F.coalesce(found, F.array().cast("array<struct<name:string,type:string,importance:double>>")), lambda e: F.struct(T.normalize_name(e["name"]).alias("name"), e["type"].alias("type"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(e["importance"], F.lit(1.0)))).alias("importance")))
     rows = F.filter(rows, lambda e: F.coalesce(e["name"] != "", F.lit(False)) & (F.length(e["name"]) >= 2))
     best = lambda e, o: (o["name"] == e["name"]) & o["type"].eqNullSafe(e["type"]) & (o["importance"] > e["importance"])
-    kept = F.filter(rows, lambda e: ~F.exists(rows, lambda o: best(e, o)))
+    kept = T.let(rows, lambda x: F.filter(x, lambda e: ~F.exists(x, lambda o: best(e, o))))
     return F.slice(F.array_sort(F.array_distinct(kept)), 1, MOST_ENTITIES)
 
 
@@ -51,23 +64,30 @@ def _extracted(rows: DataFrame, extract: Callable[[Column], Column]) -> DataFram
     return cut(once.select("hash", canonical(extract(F.substring("content", 1, ENTITY_TEXT[1]))).alias("names")))
 
 
-def _mentions(chunks: DataFrame, memo: DataFrame) -> DataFrame:
-    """One row for each chunk and name; a name of several types has its first one. An importance of exactly 0 counts as 1."""
-    rows = chunks.join(memo, "hash").select("space_id", "chunk_id", F.posexplode("names").alias("pos", "e"))
-    relevance = F.coalesce(F.nullif(F.col("e.importance"), F.lit(0.0)), F.lit(1.0))
-    rows = rows.select("space_id", "chunk_id", "pos", F.col("e.name").alias("name"), F.col("e.type").alias("entity_type"), relevance.alias("relevance"))
-    return rows.groupBy("space_id", "chunk_id", "name").agg(F.min_by("entity_type", "pos").alias("entity_type"), F.min_by("relevance", "pos").alias("relevance"), F.count("*").alias("times"))
+def _named(chunks: DataFrame, memo: DataFrame) -> DataFrame:
+    """Chunks with their names; a name of several types has its first one. An importance of exactly 0 counts as 1."""
+
+    def once(x: Column) -> Column:
+        same = lambda e: F.filter(x, lambda o: o["name"] == e["name"])
+        first = F.filter(x, lambda e, i: ~F.exists(F.slice(x, F.lit(1), i), lambda o: o["name"] == e["name"]))
+        relevance = lambda e: F.coalesce(F.nullif(e["importance"], F.lit(0.0)), F.lit(1.0))
+        return F.transform(first, lambda e: F.struct(e["name"].alias("name"), e["type"].alias("entity_type"), relevance(e).alias("relevance"), F.size(same(e)).cast("long").alias("times")))
 
+    return cut(chunks.join(memo, "hash").select("space_id", "chunk_id", "hash", T.let(F.col("names"), once).alias("names")))
 
-def _pairs(mentions: DataFrame, sign: int) -> DataFrame:
+
+def _mentions(named: DataFrame) -> DataFrame:
+    return named.select("space_id", "chunk_id", F.inline("names"))
+
+
+def _pairs(named: DataFrame, sign: int) -> DataFrame:
     """Pairs of names of a chunk, 45 at most, as it mentions ten; made where its names are."""
-    names = mentions.groupBy("space_id", "chunk_id").agg(F.array_sort(F.collect_set("name")).alias("names")).where(F.size("names") > 1)
-    pairs = F.flatten(F.transform("names", lambda a, i: F.transform(F.slice("names", i + 2, F.size("names")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    return names.select("space_id", F.explode(pairs).alias("p")).select("space_id", "p.a", "p.b", F.lit(sign).cast("long").alias("weight"))
+    pairs = lambda x: F.flatten(F.transform(x, lambda a, i: F.transform(F.slice(x, i + 2, F.size(x)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return named.select("space_id", F.inline(T.let(F.array_sort("names.name"), pairs)), F.lit(sign).cast("long").alias("weight"))
 
 
-def _counted(mentions: DataFrame, sign: int) -> DataFrame:
-    return mentions.select("space_id", "name", (F.col("times") * sign).alias("mention_count"))
+def _counted(named: DataFrame, sign: int) -> DataFrame:
+    return _mentions(named).select("space_id", "name", (F.col("times") * sign).alias("mention_count"))
 
 
 def _edges(*parts: DataFrame) -> DataFrame:
@@ -88,20 +108,24 @@ def build(rows: DataFrame, extract: Callable[[Column], Column]) -> Graph:
     """The graph of rows (space_id, chunk_id, content; one for each chunk and space). extract: from a text to an array of name, type, importance."""
     held = cut(_hashed(rows))
     memo = _extracted(held, extract)
-    chunks = cut(held.drop("content"))
-    mentions = cut(_mentions(chunks, memo))
-    return Graph(chunks, memo, mentions, _entities(_counted(mentions, 1)), _edges(_pairs(mentions, 1)))
+    named = _named(held.drop("content"), memo)
+    return Graph(named, memo, lambda: _entities(_counted(named, 1)), lambda: _edges(_pairs(named, 1)))
 
 
 def update(graph: Graph, rows: DataFrame, extract: Callable[[Column], Column]) -> Graph:
-    """The graph of rows, from that of earlier ones: equal to build(rows, extract), but only new texts are extracted and only what changed is counted."""
+    """The graph of rows, from that of earlier ones: equal to build(rows, extract), but only new texts are extracted and only what changed is counted.
+
+    Texts are shuffled only where they are new; all else is found by keys.
+    """
     key = ["space_id", "chunk_id", "hash"]
     held = _hashed(rows)
-    new = cut(held.join(graph.chunks, key, "left_anti"))
-    gone = cut(graph.chunks.join(held.select(*key), key, "left_anti"))
-    memo = graph.memo.union(_extracted(new.join(graph.memo.select("hash"), "hash", "left_anti"), extract))
-    added = cut(_mentions(new.drop("content"), memo))
-    lost = cut(graph.mentions.join(gone, ["space_id", "chunk_id"], "left_semi"))
-    mentions = cut(graph.mentions.join(gone, ["space_id", "chunk_id"], "left_anti").unionByName(added))
-    chunks = cut(graph.chunks.join(gone, key, "left_anti").unionByName(new.select(*key)))
-    return Graph(chunks, memo, mentions, _entities(graph.entities, _counted(added, 1), _counted(lost, -1)), _edges(graph.edges, _pairs(added, 1), _pairs(lost, -1)))
+    keys = cut(held.select(*key))
+    new = cut(keys.join(graph.chunks, key, "left_anti"))
+    fresh = new.select("hash").distinct().join(graph.memo.select("hash"), "hash", "left_anti")
+    memo = graph.memo.union(_extracted(held.join(cut(fresh), "hash", "left_semi"), extract))
+    added = _named(new, memo)
+    both = graph.named.join(keys.withColumn("_held", F.lit(True)), key, "left")
+    both = cut(both)  # read twice
+    lost, same = both.where("_held IS NULL").drop("_held"), both.where("_held").drop("_held")
+    named = same.unionByName(added)
+    return Graph(named, memo, lambda: _entities(graph.entities, _counted(added, 1), _counted(lost, -1)), lambda: _edges(graph.edges, _pairs(added, 1), _pairs(lost, -1)))

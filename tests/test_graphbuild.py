@@ -69,3 +69,14 @@ def test_canonical(spark):
     found = [("A-b", "t", 0.2), ("a b", "t", 0.9), ("a_b", "u", None), ("x", "t", 1.0), (None, "t", 1.0), ("??", "t", 1.0)] + [(f"n{i}x", None, -1.0) for i in range(12)]
     row = spark.createDataFrame([(found,)], "f array<struct<name:string,type:string,importance:double>>").select(G.canonical(F.col("f")).alias("x")).first().x
     assert [(e["name"], e["type"], e["importance"]) for e in row][:2] == [("a b", "t", 0.9), ("a b", "u", 1.0)] and len(row) == 10
+
+
+def test_only_what_is_asked_for_is_made(spark):
+    """Entities need no edges and edges no entities; names of a chunk aren't dealt out to be counted or paired."""
+    old, new = corpus(5, 30), corpus(6, 30)
+    for asked, other in (("entities", "edges"), ("edges", "entities")):
+        first = G.build(rows_of(spark, old), extract)
+        graph = G.update(first, rows_of(spark, new), extract)
+        assert getattr(graph, asked).count() and asked in first.__dict__ and not {other} & (set(first.__dict__) | set(graph.__dict__))
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (graph.mentions, G._pairs(graph.named, 1))]
+    assert not any("Exchange" in p for p in plans)
