@@ -233,3 +233,29 @@ def test_canonical_of_arrays(spark):
     held, rows = graph.canonical_of(chunks), chunks.select("chunk_id", F.posexplode("mentions").alias("pos", "m")).select("chunk_id", "m.*", "pos")
     assert held.count() == 8 and sorted(map(str, held.collect())) == sorted(map(str, graph.canonical(rows).collect()))
     assert "Exchange" not in held._jdf.queryExecution().executedPlan().toString()
+
+
+def test_title_boosts_are_counted_in_arrays(spark, monkeypatch):
+    """Pairs of titles and questions don't become rows before they are counted, few are held at once; repeated and null ids count as SQL counts them."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    words = ["stone", "garden", "facade", "timber", "copper", "window"]
+    titles = [(i if i % 40 else None, " ".join(w for j, w in enumerate(words) if (i >> j) % 2)) for i in range(200)] + [(7, "Façade timber the"), (8, None)]
+    asked = [(0, "garden stone garden"), (0, "facade"), (50, "copper window timber facade stone garden"), (100, "nowhere"), (150, ""), (200, None)]
+    docs, questions = spark.createDataFrame(titles, "document_id long, title string"), spark.createDataFrame(asked, "query_id long, content string")
+    own = lambda text: {w.lower().replace("ç", "c") for w in (text or "").split()} - {"the"}
+    shared = Counter((q, d) for d, title in titles for q, content in asked for _ in own(title) & own(content))
+    want = {pair: min(0.5 * n, 2.0) for pair, n in shared.items()}
+    out = fusion.title_boosts(questions, docs)
+    assert {(r.query_id, r.document_id): r.boost for r in out.collect()} == want and out.count() == len(want)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "query_id, document_id" not in plan.split("MapInArrow", 1)[1]
+    assert fusion.title_boosts(questions.limit(0), docs).count() == 0 and fusion.title_boosts(questions, docs.limit(0)).count() == 0
+    monkeypatch.setattr(fusion, "MEETINGS", 20)
+    monkeypatch.setattr(fusion, "BLOCK", 2)
+    batch = pa.table({"document_id": pa.array([d for d, _ in titles]), "words": pa.array([sorted(own(t)) for _, t in titles])}).combine_chunks().to_batches()
+    held = list(fusion._boosting(pa.table({"query_id": pa.array([q for q, _ in asked]), "words": pa.array([sorted(own(c)) for _, c in asked])}))(iter(batch)))
+    assert len(held) > 20 and max(map(len, held)) <= 40
+    assert fusion.title_boosts(questions, docs).count() == len(want)
