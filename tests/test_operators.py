@@ -259,3 +259,53 @@ def test_title_boosts_are_counted_in_arrays(spark, monkeypatch):
     held = list(fusion._boosting(pa.table({"query_id": pa.array([q for q, _ in asked]), "words": pa.array([sorted(own(c)) for _, c in asked])}))(iter(batch)))
     assert len(held) > 20 and max(map(len, held)) <= 40
     assert fusion.title_boosts(questions, docs).count() == len(want)
+
+
+def test_letters_of_a_text_are_counted_once(spark):
+    """Not once a window, which made long texts take time by the square of their length."""
+    out = spark.createDataFrame([("ab " * 50,)], "t string").select(chunking.windows_of(F.col("t"), F.lit(20), F.lit(15)).alias("w"))
+    assert out._jdf.queryExecution().analyzed().toString().count("length(t#") == 1
+    assert [(w.start_char, w.end_char) for w in out.first().w] == [(s, min(s + 20, 150)) for s in range(0, 136, 15)]
+
+
+def test_words_meet_their_neighbours_in_arrays(spark, monkeypatch):
+    """Meetings of neighbours and questions don't become rows, and few are held at once; the result is that of a plain count."""
+    import random
+    from collections import Counter, defaultdict
+
+    import pyarrow as pa
+
+    pick = random.Random(4)
+    known = [f"name{i}" for i in range(30)]
+    chunks = [(s, c, pick.sample(known, pick.randrange(0, 6))) for c in range(120) for s in (c % 3 if c % 10 else None, 7)] + [(0, 999, ["name1"]), (0, 1000, None)]
+    asked = [(q, n) for q in range(0, 400, 10) for n in pick.sample(known + ["nowhere"], 3)] * 2
+    words, weight = defaultdict(set), Counter((s, a, b) for s, _, x in chunks for a in x or [] for b in x or [] if a != b)
+    for q, n in asked:
+        words[q].add(n)
+    want = {}
+    for (s, a, b), n in weight.items():
+        for q, own in words.items():
+            if a in own and b not in own:
+                want[q, s, b] = max(want.get((q, s, b), 0), n)
+    names, questions = spark.createDataFrame(chunks, "space_id int, chunk_id long, names array<string>"), spark.createDataFrame(asked, "query_id long, name string")
+    out = graph.beside_words(names, questions)
+    keyed = lambda x: {(r.query_id, r.space_id, r.name): r.weight for r in x.collect()}
+    assert keyed(out) == want and out.count() == len(want)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "hashpartitioning(space_id" in plan and "hashpartitioning(query_id" not in plan
+    assert graph.beside_words(names.limit(0), questions).count() == 0 and graph.beside_words(names, questions.limit(0)).count() == 0
+    monkeypatch.setattr(graph, "BLOCK", 15)
+    assert keyed(graph.beside_words(names, questions)) == want
+    block = pa.table({"query_id": [q for q, x in words.items() for _ in x], "name": [n for x in words.values() for n in x]})
+    places = {n: i for i, n in enumerate(block["name"].unique().to_pylist())}
+    edges = defaultdict(list)
+    for (s, a, b), n in weight.items():
+        if a in places:
+            edges[s, b] += [(places[a], n - 1), (places[a], 1)]  # in two parts, as two batches give them
+    rows = [(s, b, [x for x, _ in e], [n for _, n in e]) for (s, b), e in edges.items()]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.list_(pa.int32())), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=["space_id", "name", "seeds", "weights"])
+    for few in (1, 60, 10**6):
+        monkeypatch.setattr(graph, "MEETINGS", few)
+        held = [x.to_pylist() for x in graph._asked_beside(block)(iter([batch]))]
+        assert {(m["query_id"], r["space_id"], r["name"]): m["weight"] for x in held for r in x for m in r["met"]} == want
+        assert few > 1 or all(len(x) == 1 for x in held)
