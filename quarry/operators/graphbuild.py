@@ -7,23 +7,34 @@ Tables of a graph are written once each and aren't read as a whole but for joins
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.functions import text as T
 from quarry.operators.extraction import ENTITY_TEXT, MOST_ENTITIES
-from quarry.session import cut
+from quarry.operators.lexical import _spans
+from quarry.session import stored
+
+#: What stands between names in one text, and in none; new texts at most by whose short hashes all texts are looked through where they are.
+BETWEEN, MOST_SENT = "\u0001", 2_000_000
 
 
 class Graph:
-    """named: space_id, chunk_id, hash, names (name, entity_type, relevance, times). memo: hash, names (name, type, importance). Of these come
-    chunks: space_id, chunk_id, hash; mentions: space_id, chunk_id, name, entity_type, relevance, times; and, written when they are first asked for,
-    entities: space_id, name, mention_count; edges: space_id, a, b, weight (a < b)."""
+    """memo: hash, names (name, type, importance). named: space_id, chunk_id, hash, names (name, entity_type, relevance, times), written when it is
+    first asked for. Of it come chunks: space_id, chunk_id, hash; mentions: space_id, chunk_id, name, entity_type, relevance, times. Counted when
+    they are read are entities: space_id, name, mention_count; edges: space_id, a, b, weight (a < b). An update of an updated graph writes its own first."""
+
+    def __init__(self, named: Callable[[], DataFrame], memo: DataFrame, entities: Callable[[], DataFrame], edges: Callable[[], DataFrame], updated: bool = False):
+        self.memo, self._made, self.updated = memo, (named, entities, edges), updated
 
-    def __init__(self, named: DataFrame, memo: DataFrame, entities: Callable[[], DataFrame], edges: Callable[[], DataFrame]):
-        self.named, self.memo, self._made = named, memo, (entities, edges)
+    @cached_property
+    def named(self) -> DataFrame:
+        return self._made[0]()
 
     @property
     def chunks(self) -> DataFrame:
@@ -35,11 +46,11 @@ class Graph:
 
     @cached_property
     def entities(self) -> DataFrame:
-        return self._made[0]()
+        return self._made[1]()
 
     @cached_property
     def edges(self) -> DataFrame:
-        return self._made[1]()
+        return self._made[2]()
 
 
 def canonical(found: Column) -> Column:
@@ -59,9 +70,16 @@ def _hashed(rows: DataFrame) -> DataFrame:
     return rows.where(F.length(T.strip("content")) >= ENTITY_TEXT[0]).select("space_id", "chunk_id", F.sha2("content", 256).alias("hash"), "content")
 
 
+def _new_texts(held: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Rows of held with a hash of fresh. Short hashes, eight bytes each, leave out most others before texts are dealt."""
+    if fresh.count() <= MOST_SENT:
+        held = held.join(F.broadcast(fresh.select(F.xxhash64("hash").alias("_short"))), F.xxhash64("hash") == F.col("_short"), "left_semi")
+    return held.join(fresh, "hash", "left_semi")
+
+
 def _extracted(rows: DataFrame, extract: Callable[[Column], Column]) -> DataFrame:
     once = rows.groupBy("hash").agg(F.first("content").alias("content"))
-    return cut(once.select("hash", canonical(extract(F.substring("content", 1, ENTITY_TEXT[1]))).alias("names")))
+    return stored(once.select("hash", canonical(extract(F.substring("content", 1, ENTITY_TEXT[1]))).alias("names")))
 
 
 def _named(chunks: DataFrame, memo: DataFrame) -> DataFrame:
@@ -73,7 +91,7 @@ def _named(chunks: DataFrame, memo: DataFrame) -> DataFrame:
         relevance = lambda e: F.coalesce(F.nullif(e["importance"], F.lit(0.0)), F.lit(1.0))
         return F.transform(first, lambda e: F.struct(e["name"].alias("name"), e["type"].alias("entity_type"), relevance(e).alias("relevance"), F.size(same(e)).cast("long").alias("times")))
 
-    return cut(chunks.join(memo, "hash").select("space_id", "chunk_id", "hash", T.let(F.col("names"), once).alias("names")))
+    return stored(chunks.join(memo, "hash").select("space_id", "chunk_id", "hash", T.let(F.col("names"), once).alias("names")))
 
 
 def _mentions(named: DataFrame) -> DataFrame:
@@ -81,35 +99,70 @@ def _mentions(named: DataFrame) -> DataFrame:
 
 
 def _pairs(named: DataFrame, sign: int) -> DataFrame:
-    """Pairs of names of a chunk, 45 at most, as it mentions ten; made where its names are."""
-    pairs = lambda x: F.flatten(F.transform(x, lambda a, i: F.transform(F.slice(x, i + 2, F.size(x)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    return named.select("space_id", F.inline(T.let(F.array_sort("names.name"), pairs)), F.lit(sign).cast("long").alias("weight"))
+    """Pairs of names of a chunk, 45 at most, as it mentions ten; counted in batches where its names are: space_id, a, b (all of a batch that come after a, in one text), weights."""
+    space = named.schema["space_id"].dataType.simpleString()
+    return named.select("space_id", F.col("names.name").alias("names")).where(F.size("names") > 1).mapInArrow(_paired(sign), f"space_id {space}, a string, b string, weights array<int>")
+
+
+def _paired(sign: int):
+    """What counts the pairs of each batch of chunks (space_id, names)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            space, found = batch.column("space_id").dictionary_encode("encode"), pc.list_flatten(batch.column("names")).cast(pa.string())
+            row, names = pc.list_parent_indices(batch.column("names")).to_numpy(), pc.unique(found)
+            names = names.take(pc.sort_indices(names))
+            name, n = pc.index_in(found, names).to_numpy().astype(np.int64), len(names)
+            other, mine = _spans(np.searchsorted(row, np.arange(batch.num_rows + 1)), row)
+            after = name[other] > name[mine]
+            other, mine = other[after], mine[after]
+            met, weight = np.unique((space.indices.to_numpy().astype(np.int64)[row[mine]] * n + name[mine]) * n + name[other], return_counts=True)
+            own, b = np.divmod(met, max(n, 1))
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            others, weights = (pa.ListArray.from_arrays(pa.array(np.append(first, len(own)).astype(np.int32)), x) for x in (names.take(pa.array(b)), pa.array(weight * sign, pa.int32())))
+            key = own[first]
+            yield pa.RecordBatch.from_arrays([space.dictionary.take(pa.array(key // max(n, 1))), names.take(pa.array(key % max(n, 1))), pc.binary_join(others, BETWEEN), weights], names=["space_id", "a", "b", "weights"])
+
+    return run
 
 
 def _counted(named: DataFrame, sign: int) -> DataFrame:
     return _mentions(named).select("space_id", "name", (F.col("times") * sign).alias("mention_count"))
 
 
-def _edges(*parts: DataFrame) -> DataFrame:
+def _union(*parts: DataFrame) -> DataFrame:
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    return cut(rows.groupBy("space_id", "a", "b").agg(F.sum("weight").alias("weight")).where("weight > 0"))
+    return rows
+
+
+def _summed(rows: DataFrame, key: list[str], n: str) -> DataFrame:
+    """Sums of n, those above 0; counted when they are read."""
+    return rows.groupBy(*key).agg(F.sum(n).alias(n)).where(F.col(n) > 0)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """By space and first name, where edges are summed; as a batch counts its pairs, a name of all chunks has few rows."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "space_id", "a")
+
+
+def _edges(held: DataFrame | None, *pairs: DataFrame) -> DataFrame:
+    """Edges with pairs added. Edges that were dealt stay where they are."""
+    new = _dealt(_union(*pairs)).select("space_id", "a", "weights", F.posexplode(F.split("b", BETWEEN)).alias("_i", "b")).select("space_id", "a", "b", F.get("weights", F.col("_i")).cast("long").alias("weight"))
+    return _summed(new if held is None else held.unionByName(new), ["space_id", "a", "b"], "weight")
 
 
 def _entities(*parts: DataFrame) -> DataFrame:
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return cut(rows.groupBy("space_id", "name").agg(F.sum("mention_count").alias("mention_count")).where("mention_count > 0"))
+    return _summed(_union(*parts), ["space_id", "name"], "mention_count")
 
 
 def build(rows: DataFrame, extract: Callable[[Column], Column]) -> Graph:
     """The graph of rows (space_id, chunk_id, content; one for each chunk and space). extract: from a text to an array of name, type, importance."""
-    held = cut(_hashed(rows))
+    held = _hashed(rows)  # texts are made twice, as they are larger than all that comes of them
     memo = _extracted(held, extract)
     named = _named(held.drop("content"), memo)
-    return Graph(named, memo, lambda: _entities(_counted(named, 1)), lambda: _edges(_pairs(named, 1)))
+    return Graph(lambda: named, memo, lambda: _entities(_counted(named, 1)), lambda: _edges(None, _pairs(named, 1)))
 
 
 def update(graph: Graph, rows: DataFrame, extract: Callable[[Column], Column]) -> Graph:
@@ -119,13 +172,13 @@ def update(graph: Graph, rows: DataFrame, extract: Callable[[Column], Column]) -
     """
     key = ["space_id", "chunk_id", "hash"]
     held = _hashed(rows)
-    keys = cut(held.select(*key))
-    new = cut(keys.join(graph.chunks, key, "left_anti"))
+    keys = stored(held.select(*key))
+    new = stored(keys.join(graph.chunks, key, "left_anti"))
     fresh = new.select("hash").distinct().join(graph.memo.select("hash"), "hash", "left_anti")
-    memo = graph.memo.union(_extracted(held.join(cut(fresh), "hash", "left_semi"), extract))
+    memo = graph.memo.union(_extracted(_new_texts(held, stored(fresh)), extract))
     added = _named(new, memo)
-    both = graph.named.join(keys.withColumn("_held", F.lit(True)), key, "left")
-    both = cut(both)  # read twice
-    lost, same = both.where("_held IS NULL").drop("_held"), both.where("_held").drop("_held")
-    named = same.unionByName(added)
-    return Graph(named, memo, lambda: _entities(graph.entities, _counted(added, 1), _counted(lost, -1)), lambda: _edges(graph.edges, _pairs(added, 1), _pairs(lost, -1)))
+    lost = graph.named.join(keys, key, "left_anti")
+    named = lambda: stored(graph.named.join(keys, key, "left_semi").unionByName(added))
+    entities = lambda: _entities(stored(graph.entities) if graph.updated else graph.entities, _counted(added, 1), _counted(lost, -1))
+    edges = lambda: _edges(_dealt(stored(graph.edges)) if graph.updated else graph.edges, _pairs(added, 1), _pairs(lost, -1))
+    return Graph(named, memo, entities, edges, updated=True)

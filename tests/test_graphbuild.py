@@ -80,3 +80,35 @@ def test_only_what_is_asked_for_is_made(spark):
         assert getattr(graph, asked).count() and asked in first.__dict__ and not {other} & (set(first.__dict__) | set(graph.__dict__))
     plans = [x._jdf.queryExecution().executedPlan().toString() for x in (graph.mentions, G._pairs(graph.named, 1))]
     assert not any("Exchange" in p for p in plans)
+
+
+def test_no_text_is_written_and_edges_are_dealt_once(spark, monkeypatch):
+    """Tables of a graph lie in columns, without texts; old edges aren't dealt again; pairs of a batch are counted before they are dealt."""
+    import os
+
+    import pyarrow as pa
+
+    place = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    held = lambda: set(os.listdir(place)) if os.path.isdir(place) else set()
+    old, new = corpus(7), corpus(8) | {k: t for k, t in corpus(7).items() if k[1] % 2}
+    before = held()
+    graph = G.update(G.build(rows_of(spark, old), extract), rows_of(spark, new), extract)
+    plan = graph.edges._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(space_id") == plan.count("REPARTITION_BY_NUM") == 2
+    whole, came = tables(G.build(rows_of(spark, new), extract)), held() - before
+    assert tables(graph) == whole and came and all(x.startswith("stored-") and "content" not in spark.read.parquet(f"{place}/{x}").columns for x in came)
+    monkeypatch.setattr(G, "MOST_SENT", 0)
+    assert tables(G.update(G.build(rows_of(spark, old), extract), rows_of(spark, new), extract)) == whole
+    batch = pa.RecordBatch.from_arrays([pa.array([1, None] * 500), pa.array([["b c", "a", "d"], ["a", "b c"]] * 500)], names=["space_id", "names"])
+    out = [tuple(r.values()) for x in G._paired(-1)(iter([batch])) for r in x.to_pylist()]
+    assert sorted(out, key=str) == sorted([(1, "a", "b c\x01d", [-500, -500]), (1, "b c", "d", [-500]), (None, "a", "b c", [-500])], key=str)
+
+
+def test_the_query_deals_no_texts_to_documents(spark, monkeypatch):
+    from quarry.plans import documents
+
+    seen = []
+    monkeypatch.setattr(documents.graphbuild, "build", lambda rows, extract: seen.append(rows))
+    monkeypatch.setattr(documents.graphbuild, "update", lambda graph, rows, extract: seen.append(rows))
+    documents._updated(spark, "/root/testdata/sf0.001")
+    assert len(seen) == 2 and not any("Exchange" in x._jdf.queryExecution().executedPlan().toString() for x in seen)
