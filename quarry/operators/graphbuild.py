@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.functions import text as T
 from quarry.operators.extraction import ENTITY_TEXT, MOST_ENTITIES
-from quarry.operators.lexical import _spans
 from quarry.session import stored
 
-#: What stands between names in one text, and in none; new texts at most by whose short hashes all texts are looked through where they are.
-BETWEEN, MOST_SENT = "\u0001", 2_000_000
+#: What stands between names in one text, and in none; texts at most by whose short hashes others are looked
+#: through where they are; names whose pairs are counted at once.
+BETWEEN, MOST_SENT, NAMES = "\u0001", 2_000_000, 250_000
 
 
 class Graph:
@@ -67,14 +67,14 @@ def canonical(found: Column) -> Column:
 
 def _hashed(rows: DataFrame) -> DataFrame:
     """Chunks with a text that is long enough to be asked about."""
-    return rows.where(F.length(T.strip("content")) >= ENTITY_TEXT[0]).select("space_id", "chunk_id", F.sha2("content", 256).alias("hash"), "content")
+    return rows.where(F.length(T.strip("content")) >= ENTITY_TEXT[0]).select("space_id", "chunk_id", F.base64(F.unhex(F.sha2("content", 256))).alias("hash"), "content")
 
 
-def _new_texts(held: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Rows of held with a hash of fresh. Short hashes, eight bytes each, leave out most others before texts are dealt."""
-    if fresh.count() <= MOST_SENT:
-        held = held.join(F.broadcast(fresh.select(F.xxhash64("hash").alias("_short"))), F.xxhash64("hash") == F.col("_short"), "left_semi")
-    return held.join(fresh, "hash", "left_semi")
+def _likely(rows: DataFrame, some: DataFrame) -> DataFrame:
+    """Rows with a hash of some, and few others: by short hashes of eight bytes, where rows are; all rows if some are too many to be sent."""
+    if some.count() > MOST_SENT:
+        return rows
+    return rows.join(F.broadcast(some.select(F.xxhash64("hash").alias("_short"))), F.xxhash64("hash") == F.col("_short"), "left_semi")
 
 
 def _extracted(rows: DataFrame, extract: Callable[[Column], Column]) -> DataFrame:
@@ -104,18 +104,32 @@ def _pairs(named: DataFrame, sign: int) -> DataFrame:
     return named.select("space_id", F.col("names.name").alias("names")).where(F.size("names") > 1).mapInArrow(_paired(sign), f"space_id {space}, a string, b string, weights array<int>")
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold NAMES names."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(pc.list_flatten(batch.column("names")))
+        if n >= NAMES:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _paired(sign: int):
     """What counts the pairs of each batch of chunks (space_id, names)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _gathered(batches):
             space, found = batch.column("space_id").dictionary_encode("encode"), pc.list_flatten(batch.column("names")).cast(pa.string())
-            row, names = pc.list_parent_indices(batch.column("names")).to_numpy(), pc.unique(found)
+            row, names = pc.list_parent_indices(batch.column("names")).to_numpy().astype(np.int64), pc.unique(found)
             names = names.take(pc.sort_indices(names))
             name, n = pc.index_in(found, names).to_numpy().astype(np.int64), len(names)
-            other, mine = _spans(np.searchsorted(row, np.arange(batch.num_rows + 1)), row)
-            after = name[other] > name[mine]
-            other, mine = other[after], mine[after]
+            name = name[np.lexsort((name, row))]
+            left = np.searchsorted(row, row, side="right") - np.arange(len(row)) - 1  # names of the chunk that come after each
+            mine = np.repeat(np.arange(len(row)), left)
+            other = mine + 1 + np.arange(len(mine)) - np.repeat(np.cumsum(left) - left, left)
             met, weight = np.unique((space.indices.to_numpy().astype(np.int64)[row[mine]] * n + name[mine]) * n + name[other], return_counts=True)
             own, b = np.divmod(met, max(n, 1))
             first = np.flatnonzero(np.diff(own, prepend=-1))
@@ -173,11 +187,13 @@ def update(graph: Graph, rows: DataFrame, extract: Callable[[Column], Column]) -
     key = ["space_id", "chunk_id", "hash"]
     held = _hashed(rows)
     keys = stored(held.select(*key))
-    new = stored(keys.join(graph.chunks, key, "left_anti"))
-    fresh = new.select("hash").distinct().join(graph.memo.select("hash"), "hash", "left_anti")
-    memo = graph.memo.union(_extracted(_new_texts(held, stored(fresh)), extract))
-    added = _named(new, memo)
-    lost = graph.named.join(keys, key, "left_anti")
+    both = graph.named.withColumn("_was", F.lit(True)).join(keys.withColumn("_is", F.lit(True)), key, "full")
+    changed = stored(both.where("_was IS NULL OR _is IS NULL"))
+    new, lost = changed.where("_was IS NULL").select(*key), changed.where("_is IS NULL").drop("_was", "_is")
+    hashes = stored(new.select("hash").distinct())
+    fresh = stored(hashes.join(graph.memo.select("hash"), "hash", "left_anti"))
+    memo = graph.memo.union(_extracted(_likely(held, fresh).join(fresh, "hash", "left_semi"), extract))
+    added = _named(new, _likely(memo, hashes))
     named = lambda: stored(graph.named.join(keys, key, "left_semi").unionByName(added))
     entities = lambda: _entities(stored(graph.entities) if graph.updated else graph.entities, _counted(added, 1), _counted(lost, -1))
     edges = lambda: _edges(_dealt(stored(graph.edges)) if graph.updated else graph.edges, _pairs(added, 1), _pairs(lost, -1))
